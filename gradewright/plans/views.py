@@ -128,6 +128,89 @@ VIEWS: dict[str, str] = {
                          ELSE (l_orderkey + 1) % 3 END
                     WHEN 0 THEN 'URGENT' WHEN 1 THEN 'NORMAL' ELSE 'LOW' END AS opinion_priority
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    # ---- response logs ---------------------------------------------------------------
+    "calls": f"""
+        SELECT event_id, {_id('C', 'CAST(floor(event_id / 8) AS BIGINT)')} AS record_id,
+               'run-' || CAST(CAST(floor(event_id / 8) AS BIGINT) % 2 AS STRING) AS run_id,
+               CASE WHEN CAST(floor(event_id / 4) AS BIGINT) % 2 = 0 THEN 'triage' ELSE 'draft' END
+                 AS stage,
+               CAST(event_id % 4 + 1 AS INT) AS attempt,
+               CAST(substr(props, 7, length(props) - 7) AS INT) AS k,
+               event_type, value, user_id, ts
+        FROM events""",
+    "responses": f"""
+        SELECT run_id, record_id, stage, attempt, event_id,
+               CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'refused' END
+                 AS provider_error,
+               CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN NULL
+                    WHEN event_type <> 'error' AND stage = 'triage' THEN
+                      (CASE WHEN event_type = 'click' THEN '```json' || chr(10) ELSE '' END)
+                      || '{{"case_type": "' || {_cls('k % 6')} || '", "priority": "'
+                      || (CASE k % 3 WHEN 0 THEN 'URGENT' WHEN 1 THEN 'NORMAL' ELSE 'LOW' END)
+                      || '"}}' || (CASE WHEN event_type = 'click' THEN chr(10) || '```' ELSE '' END)
+                    WHEN event_type <> 'error' THEN
+                      (CASE WHEN event_type = 'click' THEN '``` ' ELSE ' ' END)
+                      || '{{"summary": "s' || CAST(k AS STRING) || '", "draft_reply": "r'
+                      || CAST(event_id AS STRING) || '"}}'
+                      || (CASE WHEN event_type = 'click' THEN ' ```' ELSE ' ' END)
+                    WHEN stage = 'triage' THEN CASE event_id % 13
+                      WHEN 0 THEN 'not json at all'
+                      WHEN 1 THEN '{{"case_type": "CLAIM", "priority": "URGENT"'
+                      WHEN 2 THEN '[{{"case_type": "CLAIM", "priority": "LOW"}}]'
+                      WHEN 3 THEN '{{"case_type": "CLAIM", "priority": "LOW", "confidence": 0.9}}'
+                      WHEN 4 THEN '{{"case_type": "claim", "priority": "LOW"}}'
+                      WHEN 5 THEN '{{"case_type": "CLAIM"}}'
+                      WHEN 6 THEN '{{"case_type": 3, "priority": "LOW"}}'
+                      WHEN 7 THEN '{{"case_type": "CLAIM", "priority": "LOW"}} thanks'
+                      WHEN 8 THEN ''
+                      WHEN 9 THEN '{{"case_type": "CLAIM", "priority": "LOW"}}], [1'
+                      WHEN 10 THEN '{{"case_type": "CLAIM", "priority": null}}'
+                      WHEN 11 THEN '"CLAIM"'
+                      ELSE '{{"case_type": "CLAIM", "priority": "LOW"}} {{"a": 1}}' END
+                    ELSE CASE event_id % 6
+                      WHEN 0 THEN '{{"summary": "", "draft_reply": "x"}}'
+                      WHEN 1 THEN '{{"summary": "x", "draft_reply": 5}}'
+                      WHEN 2 THEN '{{"summary": true, "draft_reply": "x"}}'
+                      WHEN 3 THEN '{{"draft_reply": "x"}}'
+                      WHEN 4 THEN 'Sure! {{"summary": "x", "draft_reply": "y"}}'
+                      ELSE '{{"summary": "x", "draft_reply": "y", "note": []}}' END
+               END AS raw
+        FROM calls""",
+    "votes": f"""
+        SELECT 'V' || lpad(CAST(CAST(floor(event_id / 4) AS BIGINT) AS STRING), 9, '0') AS record_id,
+               event_id % 4 AS vote_no,
+               CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'broken'
+                    ELSE '{{"case_type": "' || {_cls('CAST(floor(k / 40) AS BIGINT)')}
+                         || '", "priority": "LOW"}}' END AS raw
+        FROM calls""",
+    "token_streams": f"""
+        SELECT 'T' || lpad(CAST(event_id AS STRING), 9, '0') AS record_id,
+               {_cls('k % 6')} AS case_type,
+               '{{"types": "POLICY_QUERY CLAIM OTHER"' AS tok1, ', "case' AS tok2,
+               CASE WHEN k % 13 = 0 THEN 'type": "' ELSE '_type": "' END AS tok3,
+               CASE WHEN k % 17 = 0 THEN 'NONE' ELSE substr({_cls('k % 6')}, 1, 3) END AS tok4,
+               CASE WHEN k % 17 = 0 THEN '' ELSE substr({_cls('k % 6')}, 4) END AS tok5,
+               '", "priority": "LOW"}}' AS tok6,
+               (0 - (k % 7)) / 50.0E0 AS lp1, (0 - (event_id % 5)) / 40.0E0 AS lp2,
+               (0 - (event_id % 3)) / 30.0E0 AS lp3, (0 - (k % 50)) / 100.0E0 AS lp4,
+               (0 - (event_id % 11)) / 200.0E0 AS lp5, -0.01E0 AS lp6
+        FROM calls WHERE event_type <> 'error'""",
+    "enquiry_lines": """
+        SELECT event_id AS line_no,
+               CASE WHEN event_type = 'view' AND event_id % 10 = 0 THEN '  '
+                    WHEN event_type <> 'error' THEN
+                      '{{"id": "ENQ-' || lpad(CAST(CASE WHEN event_id % 97 = 5 THEN event_id - 1
+                          ELSE event_id END AS STRING), 9, '0')
+                      || '", "subject": "' || event_type || '", "body": "k is '
+                      || CAST(k AS STRING) || '"}}'
+                    ELSE CASE event_id % 5
+                      WHEN 0 THEN '{{"id": "ENQ-1", "subject": "s", "body": "b"}}'
+                      WHEN 1 THEN '{{"id": "ENQ-000000001", "subject": "s"}}'
+                      WHEN 2 THEN '{{"id": "ENQ-000000001", "subject": "", "body": "b"}}'
+                      WHEN 3 THEN '{{"id": "ENQ-000000001", "subject": "s", "body": 7}}'
+                      ELSE '{{"id": "ENQ-000000001", "subject": "s", "body": "b", "x": 1}}' END
+               END AS value
+        FROM calls""".replace("{{", "{").replace("}}", "}"),
 }
 
 
