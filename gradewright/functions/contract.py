@@ -72,77 +72,100 @@ def unwrap(raw: Column) -> Column:
     return F.when(raw.rlike(fixed.FENCE), F.regexp_extract(raw, fixed.FENCE, 1)).otherwise(raw)
 
 
-def _type_ok(field: Field, kind: Column) -> Column:
-    if field.kind == "string":
-        return kind == "STRING"
-    if field.kind == "number":
-        return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-    if field.kind == "integer":
-        return kind == "BIGINT"
-    return kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
-
-
-def _defect(field: Field, obj: Column) -> Column:
-    """NULL when the field is fine, otherwise the reason as text."""
-    path = f"$[0].{field.name}"
-    node = F.variant_get(obj, path, "variant")
-    kind = F.schema_of_variant(node)
-    value = F.try_variant_get(obj, path, _SPARK_TYPE[field.kind])
-    absent = node.isNull()
-    out = F.when(absent, F.lit(f"{field.name}: missing") if field.required else None)
-    if field.nullable:
-        out = out.when(kind == "VOID", None)
-    out = out.when(~_type_ok(field, kind), F.lit(f"{field.name}: wrong type"))
+_SHAPE = {
+    "string": "STRING",
+    "number": r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))",
+    "integer": "BIGINT",
+    "strings": "ARRAY<(?:STRING|VOID)>",
+}
+
+
+def _type_pattern(field: Field) -> str:
+    kind = _SHAPE[field.kind]
+    return f"(?:{kind}|VOID)" if field.nullable else kind
+
+
+def _shape_pattern(spec: tuple[Field, ...]) -> str:
+    """Regex over the parsed type text: exactly the declared keys, each of its type.
+
+    The type text lists keys in sorted order, so one match checks key set and
+    types together. Optional keys may be absent.
+    """
+    body = ""
+    for index, field in enumerate(sorted(spec, key=lambda f: f.name)):
+        entry = f"{field.name}: {_type_pattern(field)}(?:, |(?=>))"
+        body += entry if field.required else f"(?:{entry})?"
+    return f"^ARRAY<OBJECT<{body}>>$"
+
+
+def _shape_defect(spec: tuple[Field, ...], shape: Column, text: Column) -> Column:
+    """Why a parsed object does not have the declared keys and types."""
+    extra = F.size(F.array_except(F.json_object_keys(text), lits([f.name for f in spec]))) > 0
+    out = F.when(extra, F.lit("unexpected field"))
+    for field in spec:
+        key = rf"(?:<|, ){field.name}: "
+        if field.required:
+            out = out.when(~shape.rlike(key), F.lit(f"{field.name}: missing"))
+        out = out.when(shape.rlike(key) & ~shape.rlike(key + _type_pattern(field) + "[,>]"),
+                       F.lit(f"{field.name}: wrong type"))
+    return out.otherwise(F.lit("wrong shape"))
+
+
+def _value_defect(field: Field, value: Column) -> Column | None:
+    """Reason a well-typed value is refused, NULL when it is fine."""
+    checks: list[tuple[Column, str]] = []
     if field.kind == "strings":
         if field.allowed is not None:
-            out = out.when(F.size(F.array_except(value, lits(field.allowed))) > 0,
-                           F.lit(f"{field.name}: not allowed"))
-        return out
-    if field.allowed is not None:
-        out = out.when(~value.isin(*field.allowed), F.lit(f"{field.name}: not allowed"))
+            checks.append((F.size(F.array_except(value, lits(field.allowed))) > 0, "not allowed"))
+    elif field.allowed is not None:
+        checks.append((~value.isin(*field.allowed), "not allowed"))
     if field.low is not None:
-        out = out.when((value < field.low) | F.isnan(value), F.lit(f"{field.name}: out of range"))
+        checks.append((value < field.low, "out of range"))
     if field.high is not None:
-        out = out.when(value > field.high, F.lit(f"{field.name}: out of range"))
+        checks.append((value > field.high, "out of range"))
     if field.min_length:
-        out = out.when(F.length(value) < field.min_length, F.lit(f"{field.name}: too short"))
+        checks.append((F.length(value) < field.min_length, "too short"))
     if field.pattern is not None:
-        out = out.when(~value.rlike(field.pattern), F.lit(f"{field.name}: bad format"))
+        checks.append((~value.rlike(field.pattern), "bad format"))
+    out = None
+    for broken, why in checks:
+        text = F.lit(f"{field.name}: {why}")
+        out = F.when(broken, text) if out is None else out.when(broken, text)
     return out
 
 
-def parse(df, raw: str, contract: tuple[Field, ...], prefix: str = ""):
+def parse(df, raw: str, contract: tuple[Field, ...]):
     """Add ``valid``, ``reason`` and one typed column per contract field.
 
     Typed columns are NULL on rows that do not validate, so an invalid response
-    can never leak a half-read value.
+    can never leak a half-read value. Each step is its own projection, so the
+    text is parsed once and the steps stay small enough to compile.
     """
-    text = f"{prefix}_text"
-    node = f"{prefix}_node"
-    names = [f.name for f in contract]
-    staged = df.withColumn(text, unwrap(F.col(raw)))
-    staged = staged.withColumn(
-        node, F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]"))))
-    t, n = F.col(text), F.col(node)
-    closed_early = F.contains(t, F.lit("]")) & F.try_parse_json(
-        F.concat(F.lit('{"v":'), t, F.lit("}"))).isNull()
-    first = F.schema_of_variant(F.variant_get(n, "$[0]", "variant"))
-    extra = F.size(F.array_except(F.json_object_keys(t), lits(names))) > 0
+    text, node, shape = F.col("_text"), F.col("_node"), F.col("_shape")
+    staged = (df.withColumn("_text", unwrap(F.col(raw)))
+              .withColumn("_node", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+              .withColumn("_shape", F.schema_of_variant(node))
+              .withColumns({f"_v_{f.name}": F.try_variant_get(
+                  node, f"$[0].{f.name}", _SPARK_TYPE[f.kind]) for f in contract}))
+    closed_early = F.contains(text, F.lit("]")) & F.try_parse_json(
+        F.concat(F.lit('{"v":'), text, F.lit("}"))).isNull()
+    checks = [c for c in (_value_defect(f, F.col(f"_v_{f.name}")) for f in contract)
+              if c is not None]
     reason = (
         F.when(F.col(raw).isNull(), F.lit("response is missing"))
-        .when(n.isNull() | closed_early, F.lit("response is not JSON"))
-        .when(F.variant_get(n, "$[0]", "variant").isNull()
-              | F.variant_get(n, "$[1]", "variant").isNotNull(),
+        .when(shape.isNull() | (shape == "ARRAY<VOID>") | closed_early,
               F.lit("response is not JSON"))
-        .when(~first.startswith("OBJECT"), F.lit("response is not an object"))
-        .when(extra, F.lit("unexpected field"))
-        .otherwise(F.coalesce(*[_defect(f, n) for f in contract]))
+        .when(F.variant_get(node, "$[1]", "variant").isNotNull(), F.lit("response is not JSON"))
+        .when(~shape.startswith("ARRAY<OBJECT<"), F.lit("response is not an object"))
+        .when(~shape.rlike(_shape_pattern(contract)), _shape_defect(contract, shape, text))
+        .otherwise(F.coalesce(*checks, F.lit(None).cast("string")))
     )
-    staged = staged.withColumn(f"{prefix}reason", reason)
-    ok = F.col(f"{prefix}reason").isNull()
-    typed = [
-        F.when(ok, F.try_variant_get(n, f"$[0].{f.name}", _SPARK_TYPE[f.kind])).alias(f.name)
-        for f in contract
-    ]
+    staged = staged.withColumn("reason", reason)
+    ok = F.col("reason").isNull()
+    names = [f.name for f in contract]
+    typed = [F.when(ok, F.col(f"_v_{n}")).alias(n) for n in names]
     keep = [c for c in df.columns if c not in names]
-    return staged.select(*keep, ok.alias(f"{prefix}valid"), f"{prefix}reason", *typed)
+    # The one-element inline keeps a later filter on ``valid`` above this point:
+    # pushed down, it would repeat the whole parse inside the predicate.
+    return staged.select(*keep, F.inline(F.array(F.struct(
+        ok.alias("valid"), F.col("reason"), *typed))))
