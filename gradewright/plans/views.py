@@ -211,6 +211,89 @@ VIEWS: dict[str, str] = {
                       ELSE '{{"id": "ENQ-000000001", "subject": "s", "body": "b", "x": 1}}' END
                END AS value
         FROM calls""".replace("{{", "{").replace("}}", "}"),
+    # ---- traces and prices -------------------------------------------------------------
+    "traces": f"""
+        SELECT event_id, {_id('E', 'CAST(floor(event_id / 2) AS BIGINT)')} AS record_id,
+               'run-' || CAST(CAST(floor(event_id / 2) AS BIGINT) % 3 AS STRING) AS run_id,
+               CASE WHEN event_id % 2 = 0 THEN 'triage' ELSE 'draft' END AS stage,
+               CASE (event_id % 2) + CAST(floor(event_id / 2) AS BIGINT) % 3
+                    WHEN 0 THEN 'swift-1' WHEN 1 THEN 'deep-1' WHEN 2 THEN 'swift-2'
+                    ELSE 'deep-2' END AS model,
+               event_type <> 'error' AS success, value AS seconds,
+               CAST(1 + user_id % 3 AS BIGINT) AS attempts,
+               CAST(500 + k AS BIGINT) AS prompt_tokens,
+               CAST(20 + 3 * k + event_id % 50 AS BIGINT) AS completion_tokens,
+               CASE WHEN k % 4 = 0 THEN NULL ELSE CAST(k AS BIGINT) END AS reasoning_tokens,
+               CAST(k % 3 AS BIGINT) AS extra_calls, k % 10 <> 0 AS has_logprobs,
+               k % 23 = 0 AS degraded,
+               CASE WHEN k % 10 = 0 THEN 'SELF_CONSISTENCY' ELSE 'LOGPROBS' END
+                 AS confidence_method, event_type, ts, {{micros}} AS micros
+        FROM (SELECT *, CAST(substr(props, 7, length(props) - 7) AS INT) AS k FROM events) e""",
+    "prices": """
+        SELECT 'swift-' || CAST(p_size % 2 + 1 AS STRING) AS model,
+               round(min(p_retailprice), 2) AS input_per_mtok,
+               CASE WHEN p_size % 2 = 0 THEN round(max(p_retailprice), 2) END AS output_per_mtok
+        FROM part GROUP BY p_size % 2
+        UNION ALL
+        SELECT 'deep-1', round(min(p_retailprice) / 2, 2), round(max(p_retailprice) * 2, 2)
+        FROM part""",
+    "price_documents": """
+        SELECT p_brand AS vendor, '{"_currency": "CNY", "prices": {"' || lower(p_brand)
+                 || '-small": {"input_per_mtok": ' || CAST(min(p_size) AS STRING)
+                 || ', "output_per_mtok": ' || CAST(max(p_size) AS STRING) || '}, "' || lower(p_brand)
+                 || '-large": {"input_per_mtok": ' || CAST(count(*) AS STRING)
+                 || ', "output_per_mtok": null}}}' AS value
+        FROM part GROUP BY p_brand""",
+    # ---- cells ---------------------------------------------------------------------------
+    "cell_ratings": """
+        SELECT 'cell-' || CAST(l_linenumber AS STRING) AS combination, l_linenumber AS cell_no,
+               CASE l_suppkey % 10 WHEN 0 THEN 'entity groundedness' WHEN 1 THEN 'urgent recall'
+                    WHEN 2 THEN 'commitment groundedness' WHEN 3 THEN 'injection resistance'
+                    WHEN 4 THEN 'refusal correctness' WHEN 5 THEN 'case type accuracy'
+                    WHEN 6 THEN 'priority accuracy' WHEN 7 THEN 'tone match'
+                    WHEN 8 THEN 'summary quality' ELSE 'actionability' END AS metric,
+               CASE WHEN (l_partkey * 7 + l_orderkey) % 1000 < 1000 - l_linenumber
+                         OR l_suppkey % 10 IN (3, 4) AND l_linenumber < 4
+                         OR l_linenumber < 3 THEN 1 ELSE 0 END AS hit,
+               l_orderkey
+        FROM lineitem""",
+    "cell_scores": """
+        SELECT combination, metric,
+               CASE WHEN cell_no = 2 AND metric = 'injection resistance'
+                      OR cell_no = 4 AND metric = 'tone match'
+                      OR cell_no = 6 AND metric = 'actionability' THEN NULL
+                    ELSE sum(hit) / CAST(count(*) AS DOUBLE) END AS value, count(*) AS n
+        FROM cell_ratings GROUP BY combination, cell_no, metric""",
+    "cell_rates": """
+        SELECT combination, sum(CASE WHEN l_orderkey % (40 + 10 * cell_no) = 0 THEN 1 ELSE 0 END)
+                 / CAST(2 * count(*) AS DOUBLE) AS schema_failure_rate
+        FROM cell_ratings GROUP BY combination""",
+    # ---- banded validation sets -----------------------------------------------------------
+    "variants": f"""
+        SELECT 'set-' || CAST(CAST(floor(o_orderkey / 18) AS BIGINT) AS STRING) AS set_name,
+               o_orderkey, o_custkey, o_orderpriority,
+               {_id('B', 'o_orderkey')} AS blind_id,
+               {_id('P', 'CAST(floor(o_orderkey / 2) AS BIGINT)')} AS pair_id,
+               {_id('R', 'CAST(floor(o_orderkey / 2) AS BIGINT) - CASE WHEN o_custkey % 101 = 0 THEN o_orderkey % 2 ELSE 0 END')}
+                 AS record_id,
+               CASE WHEN o_custkey % 67 = 0 THEN 5
+                    ELSE CAST(2 + 3 * (CAST(floor(o_orderkey / 2) AS BIGINT) % 3) + o_orderkey % 2
+                         AS INT) END AS target_score,
+               'commitment groundedness v2' AS metric,
+               CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS noise,
+               o_orderstatus
+        FROM orders""",
+    "scored_variants": """
+        SELECT set_name, o_orderkey, blind_id, pair_id, record_id, target_score, metric,
+               CASE WHEN target_score <= 2 THEN 0 WHEN target_score <= 5 THEN 1
+                    WHEN target_score <= 8 THEN 2 ELSE 3 END AS expected_band,
+               greatest(0, least(1000, target_score * 100 + noise % 140 - 65)) / 1000.0E0
+                 AS judge_score,
+               greatest(0, least(10, target_score + CASE WHEN noise % 11 = 0 THEN 1
+                    WHEN noise % 13 = 0 THEN 0 - 1 ELSE 0 END)) / 10.0E0 AS blind_score,
+               CASE WHEN noise % 97 = 0 THEN 'timeout' END AS error,
+               noise % 53 <> 0 AS has_logprobs, noise % 89 = 0 AS degraded
+        FROM variants""",
 }
 
 
