@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -13,13 +13,6 @@ from ..functions.columns import lits
 from .classify import confusion_matrix, label_margins
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out + c
-    return out
-
-
 def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
               a: str = "human_band", b: str = "judge_band") -> DataFrame:
     """Quadratic-weighted kappa, Spearman, exact and within-one rates and n.
@@ -30,42 +23,43 @@ def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
     side has no variance. Every metric of an empty set is absent, not zero.
     """
     known = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    names = [[f"_o{i}_{j}" for j in range(bands)] for i in range(bands)]
+    side = range(bands)
     counted = known.groupBy(*keys).agg(*[
-        F.count_if((F.col(a) == i) & (F.col(b) == j)).cast("double").alias(names[i][j])
-        for i in range(bands) for j in range(bands)])
-    cell = [[F.col(c) for c in row] for row in names]
-    rows = {f"_r{i}": _total(cell[i]) for i in range(bands)}
-    cols = {f"_c{j}": _total([cell[i][j] for i in range(bands)]) for j in range(bands)}
-    staged = counted.select("*", *[v.alias(k) for k, v in {**rows, **cols}.items()])
-    r = [F.col(f"_r{i}") for i in range(bands)]
-    c = [F.col(f"_c{j}") for j in range(bands)]
-    staged = staged.withColumn("_n", _total(r))
-    n = F.col("_n")
-    observed = _total([cell[i][j] * ((i - j) ** 2) for i in range(bands) for j in range(bands)])
-    chance = _total([r[i] * c[j] * ((i - j) ** 2)
-                     for i in range(bands) for j in range(bands)]) / n
-
-    def midranks(counts: list[Column]) -> list[Column]:
-        return [_total([F.lit(0.0), *counts[:i]]) + (counts[i] + 1) / 2 for i in range(bands)]
-
-    staged = staged.select(
-        "*", observed.alias("_seen"), chance.alias("_chance"),
-        *[(m - (n + 1) / 2).alias(f"_x{i}") for i, m in enumerate(midranks(r))],
-        *[(m - (n + 1) / 2).alias(f"_y{j}") for j, m in enumerate(midranks(c))])
-    x = [F.col(f"_x{i}") for i in range(bands)]
-    y = [F.col(f"_y{j}") for j in range(bands)]
-    cov = _total([cell[i][j] * x[i] * y[j] for i in range(bands) for j in range(bands)])
-    spread = F.sqrt(_total([r[i] * x[i] * x[i] for i in range(bands)])
-                    * _total([c[j] * y[j] * y[j] for j in range(bands)]))
-    exact = _total([cell[i][i] for i in range(bands)])
-    near = _total([cell[i][j] for i in range(bands) for j in range(bands) if abs(i - j) <= 1])
-    return staged.select(
-        *keys, n.cast("bigint").alias("n"),
-        (1 - F.try_divide(F.col("_seen"), F.col("_chance"))).alias("kappa"),
-        F.when(n > 2, F.try_divide(cov, spread)).alias("spearman"),
-        F.try_divide(exact, n).alias("exact"),
-        F.try_divide(near, n).alias("within_one")).filter(F.col("n") > 0)
+        F.count_if((F.col(a) == i) & (F.col(b) == j)).alias(f"_o{i}_{j}")
+        for i in side for j in side])
+    # The counts travel as one array: a wide projection of derived columns makes
+    # the optimizer's constraint inference very slow.
+    staged = counted.select(*keys, F.array(*[
+        F.col(f"_o{i}_{j}").cast("double") for i in side for j in side]).alias("_o"))
+
+    def total(terms) -> str:
+        return " + ".join(terms)
+
+    def rank(counts: str) -> str:
+        """Average rank of each band minus the mean rank."""
+        return (f"transform({counts}, (k, i) -> aggregate(slice({counts}, 1, i), 0D, "
+                "(s, v) -> s + v) + (k + 1) / 2 - (_n + 1) / 2)")
+
+    cells = [(i, j, f"_o[{i * bands + j}]") for i in side for j in side]
+    apart = [(i, j, o, (i - j) ** 2) for i, j, o in cells if i != j]
+    by_row = ", ".join(total(o for i, _, o in cells if i == k) for k in side)
+    by_col = ", ".join(total(o for _, j, o in cells if j == k) for k in side)
+    staged = staged.selectExpr(*keys, "_o", f"array({by_row}) AS _r", f"array({by_col}) AS _c",
+                               "aggregate(_o, 0D, (s, v) -> s + v) AS _n")
+    staged = staged.selectExpr(*keys, "_o", "_r", "_c", "_n", f"{rank('_r')} AS _x",
+                               f"{rank('_c')} AS _y")
+    seen = total(f"{o} * {w}" for _, _, o, w in apart)
+    chance = total(f"_r[{i}] * _c[{j}] * {w}" for i, j, _, w in apart)
+    cov = total(f"{o} * _x[{i}] * _y[{j}]" for i, j, o in cells)
+    spread_x = total(f"_r[{i}] * _x[{i}] * _x[{i}]" for i in side)
+    spread_y = total(f"_c[{i}] * _y[{i}] * _y[{i}]" for i in side)
+    exact = total(o for i, j, o in cells if i == j)
+    near = total(o for i, j, o in cells if abs(i - j) <= 1)
+    return staged.selectExpr(
+        *keys, "CAST(_n AS BIGINT) AS n",
+        f"1 - try_divide({seen}, try_divide({chance}, _n)) AS kappa",
+        f"CASE WHEN _n > 2 THEN try_divide({cov}, sqrt(({spread_x}) * ({spread_y}))) END AS spearman",
+        f"try_divide({exact}, _n) AS exact", f"try_divide({near}, _n) AS within_one")
 
 
 def band_scores(scores: DataFrame, score: str = "score", metric: str = "metric",
