@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 
-Recognizer = tuple[str, str, float]
+# (entity, pattern, score, literal that every match contains or None)
+Recognizer = tuple[str, str, float, str | None]
+
+_MARK = "\x01"
 
 _EMPTY = "array<struct<entity:string,start:int,end:int,score:double,text:string>>"
 
@@ -24,25 +27,39 @@ def recognizers_for(entities: Sequence[str],
     return [r for r in registered if r[0] in entities]
 
 
-def _one(text: Column, entity: str, pattern: str, score: float) -> Column:
-    """Spans of one pattern. Offsets come from the lengths of the text between matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"),
+def _pieces(text: Column, pattern: str) -> Column:
+    """Text cut into gap, match, gap, match, ..., gap.
+
+    One regex pass marks the matches and a literal split cuts at the marks. A
+    text that already holds the mark takes two passes instead.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
+                          F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    slow = F.flatten(F.transform(zipped, lambda p: F.filter(
+        F.array(p["gap"], p["hit"]), lambda x: x.isNotNull())))
+    return F.when(F.contains(text, F.lit(_MARK)), slow).otherwise(marked)
+
+
+def _one(text: Column, entity: str, pattern: str, score: float, literal: str | None) -> Column:
+    """Spans of one pattern; every second piece is a match."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"),
                      F.array().cast(_EMPTY).alias("spans"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        stop = begin + F.length(p["hit"])
-        span = F.struct(F.lit(entity).alias("entity"), begin.alias("start"), stop.alias("end"),
-                        F.lit(score).alias("score"), p["hit"].alias("text"))
-        return F.struct(stop.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
-
-    # The last gap has no match after it; it is sliced off before the fold.
-    whole = F.slice(pairs, F.lit(1), F.size(found))
-    folded = F.aggregate(whole, start, step, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(_EMPTY))
+    def step(acc: Column, piece: Column) -> Column:
+        stop = acc["at"] + F.length(piece)
+        span = F.struct(F.lit(entity).alias("entity"), acc["at"].alias("start"),
+                        stop.alias("end"), F.lit(score).alias("score"), piece.alias("text"))
+        return F.struct(
+            stop.alias("at"), (~acc["hit"]).alias("hit"),
+            F.when(acc["hit"], F.array_append(acc["spans"], span))
+            .otherwise(acc["spans"]).alias("spans"))
+
+    spans = F.aggregate(_pieces(text, pattern), start, step, lambda acc: acc["spans"])
+    if literal is None:
+        return spans
+    return F.when(F.contains(text, F.lit(literal)), spans).when(
+        text.isNotNull(), F.array().cast(_EMPTY))
 
 
 def find(text: Column, recognizers: Sequence[Recognizer]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -23,14 +23,26 @@ def leakage_probes(protected: DataFrame, text: str, order: str,
             .groupBy("probe").agg(F.min(F.struct("_row", "_pos")).alias("ord")))
 
 
-def _ngrams(text, size: int):
-    """Hashes of ``size`` neighbouring whitespace-delimited words."""
-    tokens = F.split(text, r"\s+")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(0)))
-    return F.when(F.size(tokens) >= size, F.transform(
-        starts, lambda i: F.struct(
-            F.xxhash64(F.array_join(F.slice(tokens, i, size), " ")).alias("h"),
-            F.length(F.array_join(F.slice(tokens, i, size), " ")).alias("len"))))
+def _runs(frame: DataFrame, text: Column, out: str, *keep: str) -> DataFrame:
+    """Hash and length of every run of neighbouring whitespace-delimited words.
+
+    The words are their own projection step: inside the loop over positions they
+    must be a stored array, or the text would be split again for every position.
+    """
+    staged = frame.select(*keep, F.split(text, r"\s+").alias("_w"))
+    words = F.col("_w")
+    starts = F.sequence(F.lit(0), F.size(words) - ANCHOR_WORDS)
+    run = F.transform(starts, lambda i: F.struct(
+        _sum([F.length(F.get(words, i + k)) for k in range(ANCHOR_WORDS)]).alias("len"),
+        F.xxhash64(*[F.get(words, i + k) for k in range(ANCHOR_WORDS)]).alias("h")))
+    return staged.select(*keep, F.when(F.size(words) >= ANCHOR_WORDS, run).alias(out))
+
+
+def _sum(columns: list[Column]) -> Column:
+    out = columns[0]
+    for c in columns[1:]:
+        out = out + c
+    return out
 
 
 def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str) -> DataFrame:
@@ -44,13 +56,13 @@ def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str) ->
     nothing is missed.
     """
     inner = F.regexp_replace(F.regexp_replace(F.col("probe"), r"^\S*\s+", ""), r"\s+\S*$", "")
-    best = F.array_max(F.transform(_ngrams(inner, ANCHOR_WORDS), lambda g: F.struct(
-        g["len"].alias("len"), g["h"].alias("h"))))
-    anchored = probes.select("probe", best["h"].alias("h"))
-    runs = drafts.select(key, F.explode(F.array_distinct(F.transform(
-        _ngrams(F.col(draft), ANCHOR_WORDS), lambda g: g["h"]))).alias("h"))
-    candidates = runs.join(anchored.filter(F.col("h").isNotNull()), "h").select(key, "probe")
-    exact = (candidates.join(drafts.select(key, draft), key)
+    anchored = _runs(probes, inner, "_runs", "probe").select(
+        "probe", F.array_max("_runs")["h"].alias("h"))
+    runs = (_runs(drafts, F.col(draft), "_runs", key)
+            .select(key, F.explode(F.transform("_runs", lambda r: r["h"])).alias("h")))
+    candidates = (runs.join(anchored.filter(F.col("h").isNotNull()), "h")
+                  .select(key, "probe").distinct())
+    exact = (drafts.select(key, draft).join(candidates, key)
              .filter(F.contains(F.col(draft), F.col("probe"))).select(key, "probe"))
     short = anchored.filter(F.col("h").isNull()).select("probe")
     direct = drafts.join(short, F.contains(F.col(draft), F.col("probe"))).select(key, "probe")

@@ -18,7 +18,7 @@ def _spans_sql(table: str, key: str, text: str, entities) -> str:
     """All spans with offsets, one branch per pattern. RE2 has no look-behind, so the
     bare-dollar pattern takes the character before it and the offset is corrected."""
     parts = []
-    for entity, pattern, score in fixed.RECOGNIZERS:
+    for entity, pattern, score, _ in fixed.RECOGNIZERS:
         if entity not in entities:
             continue
         lead = pattern == _DOLLAR
