@@ -1,6 +1,6 @@
 """All registered queries. Importing a module registers what it defines."""
 
-from . import intake, quality, release, texts  # noqa: F401
+from . import checks, intake, quality, release, streams, texts  # noqa: F401
 from .registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

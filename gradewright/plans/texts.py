@@ -14,12 +14,12 @@ from .registry import Tables, query
 _DOLLAR = fixed.RECOGNIZERS[5][1]
 
 
-def _spans_sql(table: str, key: str, text: str, entities) -> str:
+def _spans_sql(table: str, key: str, text: str, entities, registered) -> str:
     """All spans with offsets, one branch per pattern. RE2 has no look-behind, so the
     bare-dollar pattern takes the character before it and the offset is corrected."""
     parts = []
-    for entity, pattern, score, _ in fixed.RECOGNIZERS:
-        if entity not in entities:
+    for entity, pattern, score, _ in registered:
+        if entities is not None and entity not in entities:
             continue
         lead = pattern == _DOLLAR
         p = pattern.replace("(?<![A-Z])", "(?:^|[^A-Z])") if lead else pattern
@@ -37,8 +37,10 @@ def _spans_sql(table: str, key: str, text: str, entities) -> str:
     return " UNION ALL ".join(parts)
 
 
-def spans_cte(name: str, table: str, key: str, text: str, entities) -> str:
-    return f"""{name} AS (SELECT *, s + length(text) AS e FROM ({_spans_sql(table, key, text, entities)}))"""
+def spans_cte(name: str, table: str, key: str, text: str, entities=None,
+              registered=fixed.RECOGNIZERS) -> str:
+    return (f"{name} AS (SELECT *, s + length(text) AS e FROM "
+            f"({_spans_sql(table, key, text, entities, registered)}))")
 
 
 def winners_cte(name: str, source: str, key: str) -> str:
@@ -86,11 +88,67 @@ def _(t):
     return _exploded(won, "doc_id").drop("score")
 
 
-@query("x5_pseudonymised", None)
+# Recognizers a user registers for identifiers of their own.
+CUSTOM = (
+    ("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", 0.8, "."),
+    ("CARD_NUMBER", r"\b[0-9]{16}\b", 0.7, None),
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9.]+@[a-z0-9.]+\.com\b", 0.9, "@"),
+    ("SECRET", r"token = \"[0-9a-f]+\"", 0.9, "token"),
+)
+
+
+@query("d4_custom_recognizers", f"""
+    WITH {spans_cte('sp', 'documents', 'doc_id', 'text', registered=CUSTOM)}
+    SELECT doc_id, entity, s AS start, e AS "end", score, text FROM sp""")
+def _(t):
+    return _exploded(redact.find_entities(
+        t.base("documents").select("doc_id", "text"), "text", recognizers=CUSTOM), "doc_id")
+
+
+_HEX = "CAST('0x' || substr(sha256(record_id || '{s}:' || o), 1, 8) AS BIGINT) % {m}"
+
+
+def _hex(salt: str, modulus: int) -> str:
+    return _HEX.replace("{s}", salt).replace("{m}", str(modulus))
+
+
+@query("x5_pseudonymised", f"""
+    WITH {spans_cte('sa', 'id_texts', 'record_id', 'subject', fixed.PSEUDONYMISED)},
+    {spans_cte('sb', 'id_texts', 'record_id', 'text', fixed.PSEUDONYMISED)},
+    u AS (SELECT record_id, 0 AS f, entity, s, e, score FROM sa
+          UNION ALL SELECT record_id, 1, entity, s, e, score FROM sb),
+    o AS (SELECT *, max(e) OVER w AS before FROM u WINDOW w AS (PARTITION BY record_id, f
+            ORDER BY s, e DESC, score DESC, entity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER
+            (PARTITION BY record_id, f ORDER BY s, e DESC, score DESC, entity
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM o),
+    m AS (SELECT record_id, f, first(entity ORDER BY score DESC, s, e DESC) AS entity, min(s) AS s, max(e) AS e
+          FROM g GROUP BY record_id, f, island),
+    x AS (SELECT m.record_id, m.f, m.s, m.entity,
+                 trim(substr(CASE WHEN f = 0 THEN i.subject ELSE i.text END, s + 1, e - s)) AS o
+          FROM m JOIN id_texts i ON i.record_id = m.record_id),
+    y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, o ORDER BY f, s) AS rn
+                         FROM x WHERE length(o) >= 3) WHERE rn = 1),
+    z AS (SELECT record_id, f, s, o, CASE entity
+            WHEN 'PHONE_NUMBER' THEN '9' || lpad(CAST({_hex('p', 10000000)} AS STRING), 7, '0')
+            WHEN 'EMAIL_ADDRESS' THEN 'customer' || CAST({_hex('e', 9000)} + 1000 AS STRING) || '@example.com'
+            WHEN 'HK_ID' THEN 'X' || lpad(CAST({_hex('h', 1000000)} AS STRING), 6, '0') || '(A)'
+            WHEN 'POLICY_NUMBER' THEN CASE WHEN regexp_extract(o, '^[A-Z]{{1,4}}') = '' THEN 'HK'
+                 ELSE regexp_extract(o, '^[A-Z]{{1,4}}') END || '-'
+                 || CAST({_hex('n', 90000000)} + 10000000 AS STRING) END AS n FROM y),
+    l AS (SELECT record_id, list(o || chr(1) || n ORDER BY length(o) DESC, f, s) AS pairs FROM z GROUP BY 1)
+    SELECT i.record_id,
+           list_reduce(list_concat([i.subject], l.pairs), lambda acc, p:
+             replace(acc, split_part(p, chr(1), 1), split_part(p, chr(1), 2))) AS subject,
+           list_reduce(list_concat([i.text], l.pairs), lambda acc, p:
+             replace(acc, split_part(p, chr(1), 1), split_part(p, chr(1), 2))) AS text,
+           len(l.pairs) AS replaced
+    FROM id_texts i JOIN l ON l.record_id = i.record_id""")
 def _(t):
     rows = t.view("id_texts").select("record_id", "subject", "text")
     done = redact.pseudonymise(rows, "record_id", ["subject", "text"])
-    return done.select("record_id", "subject", "text", F.size("mapping").alias("replaced"))
+    return done.select("record_id", "subject", "text",
+                       F.size("mapping").cast("bigint").alias("replaced"))
 
 
 @query("x5_fake_identifiers", """

@@ -367,6 +367,58 @@ VIEWS: dict[str, str] = {
                '2024-0' || CAST(1 + s_suppkey % 9 AS STRING) || '-10' AS verified_on,
                'scope ' || CAST(s_nationkey AS STRING) AS scope
         FROM supplier""",
+    # ---- queue and decisions ----------------------------------------------------------------
+    "queue": f"""
+        SELECT {_id('Q', 'user_id * 100 + k')} AS record_id,
+               {_cls('k % 6')} AS case_type, 'NORMAL' AS priority,
+               (user_id * 7 + k * 13) % 1001 / 1000.0E0 + 0.0004E0 AS confidence,
+               's' || CAST(k AS STRING) AS summary, 'r' || CAST(k AS STRING) AS draft_reply,
+               CASE WHEN k % 17 = 0 THEN 'accept' END AS decision,
+               CAST(NULL AS STRING) AS reviewer_text, user_id, k
+        FROM calls GROUP BY user_id, k""",
+    "decisions": f"""
+        SELECT event_id, ts, {_id('Q', 'user_id * 100 + k')} AS record_id,
+               CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'click' THEN 'edit'
+                    WHEN 'signup' THEN 'edit' WHEN 'error' THEN 'discard' ELSE 'skip' END AS decision,
+               CASE event_type WHEN 'click' THEN 'better ' || CAST(event_id % 5 AS STRING)
+                    WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN ' r' || CAST(k AS STRING) || ' ' END
+                    WHEN 'purchase' THEN 'ignored' END AS reviewer_text, k
+        FROM calls""",
+    "queue_lines": """
+        SELECT record_id, '{"record_id": "' || record_id || '", "draft_reply": "' || draft_reply
+                 || '", "decision": ' || coalesce('"' || decision || '"', 'null')
+                 || ', "reviewer_text": null, "x": ' || CAST(k AS STRING) || ', "deep": {"a": ['
+                 || CAST(user_id AS STRING) || ', "q"]}, "t": "say ' || chr(92) || '"hi' || chr(92)
+                 || '""}' AS value
+        FROM queue""",
+    "band_variants": f"""
+        SELECT 'set-' || CAST(CAST(floor(o_orderkey / 24) AS BIGINT) AS STRING) AS set_name,
+               o_orderkey, o_custkey,
+               CAST(CASE WHEN o_custkey % 211 = 0 THEN 3 ELSE o_orderkey % 4 END AS INT) AS expected_band,
+               'JV-' || lpad(CAST(CAST(floor(o_orderkey / 4) AS BIGINT) AS STRING), 9, '0') || '-'
+                 || chr(65 + CAST(CASE WHEN o_custkey % 199 = 0 THEN 0 ELSE o_orderkey % 4 END AS INT))
+                 AS variant_id,
+               'ENQ-' || lpad(CAST(CAST(floor(o_orderkey / 4) AS BIGINT)
+                 + CASE WHEN o_custkey % 223 = 0 THEN 1 ELSE 0 END AS STRING), 9, '0') AS record_id,
+               'reply ' || CAST(CASE WHEN o_custkey % 97 = 0 THEN o_orderkey - o_orderkey % 3
+                                     ELSE o_orderkey END AS STRING) AS draft_reply,
+               CAST(CASE WHEN o_custkey % 151 = 0 THEN 5 WHEN o_orderkey % 4 = 3 THEN 0
+                         WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS INT) AS fault_count,
+               CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 9 END AS INT)
+                 AS score_low,
+               CAST(CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 8 ELSE 10 END AS INT)
+                 AS score_high
+        FROM orders""",
+    "plan_slots": f"""
+        SELECT p_partkey + CASE WHEN p_partkey > 900 THEN 1 ELSE 0 END AS slot,
+               'SLOT-' || CAST(p_partkey AS STRING) AS slot_id,
+               {_cls('p_size % 6')} AS case_type,
+               CASE p_partkey % 3 WHEN 0 THEN 'URGENT' WHEN 1 THEN 'NORMAL' ELSE 'LOW' END AS priority,
+               (CASE WHEN p_partkey % 20 = 0 THEN 'REFUSAL,' ELSE '' END)
+                 || (CASE WHEN p_partkey % 21 = 0 THEN 'INJECTION,' ELSE '' END) AS tag_list,
+               CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name || ' ' || p_brand END AS note,
+               p_size, p_partkey
+        FROM part WHERE p_partkey > 0""",
 }
 
 

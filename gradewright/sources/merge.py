@@ -30,11 +30,11 @@ def merge_by_key(existing: DataFrame, regenerated: DataFrame,
     return kept.unionByName(regenerated)
 
 
-def provenance_document(records: DataFrame, totals: DataFrame) -> DataFrame:
-    """Run totals (one row, replaced every run) beside a per-record provenance map.
+def upsert_provenance(existing: DataFrame, regenerated: DataFrame, generator: str,
+                      keys: Sequence[str]) -> DataFrame:
+    """Per-record provenance with the regenerated records pointing at their new generator.
 
-    The map is for the document sink only; keep the table form for anything large.
+    Kept as rows. Run totals belong to the run and are written anew each time.
     """
-    entries = records.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-        F.col("record_id"), F.struct("generator_model", "flagged").alias("v"))))).alias("records"))
-    return totals.join(entries)
+    stamped = regenerated.select(*keys, F.lit(generator).alias("generator_model"))
+    return merge_by_key(existing, stamped, keys)
