@@ -27,8 +27,8 @@ def band_of(score: Column, metric: Column,
 
 def rater_band(score: Column, metric: Column,
                rubric: Mapping[str, tuple] = fixed.RUBRIC) -> Column:
-    """Band of a 0-1 score, rounded half-even to 0-10 first."""
-    return band_of(F.bround(score * 10).cast("int"), metric, rubric)
+    """Band of a 0-1 score, rounded half-even to 0-10 first (``rint`` rounds half-even)."""
+    return band_of(F.rint(score * 10), metric, rubric)
 
 
 def wilson(hits: Column, n: Column, z: float = fixed.WILSON_Z) -> tuple[Column, Column]:

@@ -27,6 +27,16 @@ def compact(columns: Sequence[Column]) -> Column:
     return F.filter(F.array(*columns), lambda x: x.isNotNull())
 
 
+def inline_items(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """Struct items of an array column as rows, without evaluating the array twice.
+
+    A plain ``inline`` makes the optimizer add a size filter, which is pushed
+    into the projection and repeats whatever built the array.
+    """
+    first = df.schema[array].dataType.elementType.fields[0].name
+    return df.select(*keep, F.inline_outer(array)).filter(F.col(first).isNotNull())
+
+
 def violations(df: DataFrame, key: Column | str, rules: Mapping[str, Column],
                detail: Column | None = None) -> DataFrame:
     """One row per (key, rule) broken. Each rule is a predicate that is true when broken.

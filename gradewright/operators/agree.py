@@ -17,20 +17,20 @@ def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
               a: str = "human_band", b: str = "judge_band") -> DataFrame:
     """Quadratic-weighted kappa, Spearman, exact and within-one rates and n.
 
-    One aggregate of ``bands``² conditional counts, combined map-side; ranks for
-    Spearman come from the cumulative band counts, so no sort and no window.
+    Rows are counted per band pair, combined map-side; ranks for Spearman come
+    from the cumulative band counts, so no sort and no window.
     Kappa is NULL when chance agreement is total, Spearman when n <= 2 or one
     side has no variance. Every metric of an empty set is absent, not zero.
     """
-    known = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     side = range(bands)
-    counted = known.groupBy(*keys).agg(*[
-        F.count_if((F.col(a) == i) & (F.col(b) == j)).alias(f"_o{i}_{j}")
-        for i in side for j in side])
-    # The counts travel as one array: a wide projection of derived columns makes
-    # the optimizer's constraint inference very slow.
-    staged = counted.select(*keys, F.array(*[
-        F.col(f"_o{i}_{j}").cast("double") for i in side for j in side]).alias("_o"))
+    joint = (pairs.groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+             .agg(F.count(F.lit(1)).alias("_k")))
+    # At most (bands + 1)² rows per key from here on; unbanded rows fall out of the
+    # sums (a filter would be pushed down and repeat the banding per row). The counts
+    # travel as one array: a wide projection makes constraint inference very slow.
+    staged = joint.groupBy(*keys).agg(F.array(*[
+        F.sum(F.when((F.col("_a") == i) & (F.col("_b") == j), F.col("_k")).otherwise(0))
+        .cast("double") for i in side for j in side]).alias("_o"))
 
     def total(terms) -> str:
         return " + ".join(terms)
@@ -59,7 +59,8 @@ def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
         *keys, "CAST(_n AS BIGINT) AS n",
         f"1 - try_divide({seen}, try_divide({chance}, _n)) AS kappa",
         f"CASE WHEN _n > 2 THEN try_divide({cov}, sqrt(({spread_x}) * ({spread_y}))) END AS spearman",
-        f"try_divide({exact}, _n) AS exact", f"try_divide({near}, _n) AS within_one")
+        f"try_divide({exact}, _n) AS exact",
+        f"try_divide({near}, _n) AS within_one").filter(F.col("n") > 0)
 
 
 def band_scores(scores: DataFrame, score: str = "score", metric: str = "metric",

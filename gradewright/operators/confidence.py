@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.logprob import label_probability
+from ..functions.logprob import with_label_probability
 
 
 def from_logprobs(decisions: DataFrame, key: str = "case_type",
                   value: str = "case_type") -> DataFrame:
     """Add ``logprob_confidence`` from the token stream of the deciding response."""
-    return decisions.withColumn(
-        "logprob_confidence", label_probability(F.col("logprobs"), F.col(value), key))
+    return with_label_probability(decisions, "logprobs", value, key)
 
 
 def self_consistency(decisions: DataFrame, votes: DataFrame,

@@ -9,28 +9,32 @@ from .. import fixed
 from ..functions.columns import lits
 from .redact import winning_spans
 
-WORD = "[A-Za-z]+|[0-9]+"
-_MONTH_START = "^(?:" + "|".join(fixed.MONTHS) + ")"
+WORD = "[a-z]+|[0-9]+"
+_DATE_PART = "(?<![a-z])(?:" + "|".join(fixed.MONTHS) + ")|[0-9]+"
 _MONTH_WORD = r"(?i)\b(?:" + "|".join(fixed.MONTHS) + ")"
+# The two non-ASCII letters whose lower case is or holds an ASCII letter.
+_FOLDING = "\u212a\u0130"
 
 
 def normalise(text: Column) -> Column:
     """Comparable form: lower case, no commas, no trailing .00, single spaces."""
-    plain = F.replace(F.replace(F.lower(text), F.lit(","), F.lit("")), F.lit(" "), F.lit(" "))
+    plain = F.translate(F.lower(text), "\u00a0,", " ")
     whole = F.regexp_replace(plain, r"([0-9])\.00\b", "$1")
     return F.trim(F.regexp_replace(whole, r"\s+", " "))
 
 
+def _lowered(text: Column) -> Column:
+    return F.lower(F.translate(text, _FOLDING, "  "))
+
+
 def words(text: Column) -> Column:
     """Letter runs and digit runs, so respaced times compare alike."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(_lowered(text), F.lit(WORD), F.lit(0))
 
 
-def date_core(tokens: Column) -> Column:
-    """Numbers and month prefixes among tokens. A word that starts like a month counts."""
-    kept = F.filter(tokens, lambda w: w.rlike("^[0-9]") | w.rlike(_MONTH_START))
-    return F.transform(kept, lambda w: F.when(w.rlike("^[0-9]"), w).otherwise(
-        F.substring(w, 1, 3)))
+def date_core(text: Column) -> Column:
+    """Numbers and month prefixes of a text. A word that starts like a month counts."""
+    return F.regexp_extract_all(_lowered(text), F.lit(_DATE_PART), F.lit(0))
 
 
 def entity_groundedness(pairs: DataFrame, source: str = "source", draft: str = "draft",
@@ -49,20 +53,21 @@ def entity_groundedness(pairs: DataFrame, source: str = "source", draft: str = "
     ignored = lits(fixed.HONORIFICS + fixed.SALUTATIONS)
     staged = found.select(
         key, F.col(draft).alias("_draft"), normalise(F.col(source)).alias("_norm"),
-        words(F.col(source)).alias("_words"),
+        words(F.col(source)).alias("_words"), date_core(F.col(source)).alias("_core"),
         F.transform("_spans", lambda s: F.struct(
             s["entity"].alias("entity"), F.trim(s["text"]).alias("text"),
-            normalise(s["text"]).alias("norm"), words(s["text"]).alias("words"))).alias("_e"))
-    asked = F.flatten(F.transform("_e", lambda e: F.concat(e["words"], date_core(e["words"]))))
-    staged = staged.withColumn("_asked", asked)
+            normalise(s["text"]).alias("norm"), words(s["text"]).alias("words"),
+            date_core(s["text"]).alias("core"))).alias("_e"))
     staged = staged.select(
-        "*", F.array_intersect("_asked", "_words").alias("_known"),
-        F.array_intersect("_asked", date_core(F.col("_words"))).alias("_dates"))
+        "*", F.array_intersect(F.flatten(F.transform("_e", lambda e: e["words"])),
+                               "_words").alias("_known"),
+        F.array_intersect(F.flatten(F.transform("_e", lambda e: e["core"])),
+                          "_core").alias("_dates"))
 
     def unsupported(e: Column) -> Column:
         date = e["entity"] == "DATE_TIME"
         vague = ~(e["text"].rlike("[0-9]") | e["text"].rlike(_MONTH_WORD))
-        dated = F.size(F.array_except(date_core(e["words"]), F.col("_dates"))) == 0
+        dated = F.size(F.array_except(e["core"], F.col("_dates"))) == 0
         worded = F.size(F.array_except(F.array_except(e["words"], ignored), F.col("_known"))) == 0
         return (e["norm"] != "") & ~(date & (vague | dated)) & ~(
             F.contains(F.col("_norm"), e["norm"]) | worded)

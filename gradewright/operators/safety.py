@@ -58,8 +58,9 @@ def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str) ->
     inner = F.regexp_replace(F.regexp_replace(F.col("probe"), r"^\S*\s+", ""), r"\s+\S*$", "")
     anchored = _runs(probes, inner, "_runs", "probe").select(
         "probe", F.array_max("_runs")["h"].alias("h"))
+    # The outer form keeps the optimizer from building the runs twice for a size filter.
     runs = (_runs(drafts, F.col(draft), "_runs", key)
-            .select(key, F.explode(F.transform("_runs", lambda r: r["h"])).alias("h")))
+            .select(key, F.explode_outer(F.transform("_runs", lambda r: r["h"])).alias("h")))
     candidates = (runs.join(anchored.filter(F.col("h").isNotNull()), "h")
                   .select(key, "probe").distinct())
     exact = (drafts.select(key, draft).join(candidates, key)

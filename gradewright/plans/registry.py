@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from . import views
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over the cores when it has fewer partitions than there are cores.
+
+    Text work is CPU-bound, and a small table in one file would run in one task.
+    A large table has more partitions than cores and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
 class Tables:
     """Reads base tables and input views of one data folder."""
 
@@ -21,7 +33,8 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        rows = self.spark.read.parquet(self.path(name))
+        return spread(rows, "doc_id") if name == "documents" else rows
 
     def sql(self, statement: str) -> DataFrame:
         text = views.compose(statement, "spark")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.columns import inline_items
 from ..operators import evidence, ground, redact, safety
 from ..sources import dimensions
 from .quality import r9, split_list
@@ -54,7 +55,7 @@ def winners_cte(name: str, source: str, key: str) -> str:
 
 
 def _exploded(df, key: str):
-    return df.select(key, F.inline("spans"))
+    return inline_items(df, "spans", key)
 
 
 @query("x4_entity_spans", f"""
@@ -249,9 +250,9 @@ _IGNORED = "[" + ", ".join(f"'{w}'" for w in fixed.HONORIFICS + fixed.SALUTATION
     {spans_cte('sp', 'drafted', 'record_id', 'draft', fixed.CHECKED)},
     {winners_cte('wn', 'sp', 'record_id')},
     src AS (SELECT record_id, {_norm_sql('source')} AS norm,
-                   regexp_extract_all(lower(source), '{ground.WORD}') AS words FROM drafted),
+                   regexp_extract_all(lower(source), '[a-z]+|[0-9]+') AS words FROM drafted),
     ent AS (SELECT wn.record_id, w.entity AS entity, trim(w.text) AS text, {_norm_sql('w.text')} AS n,
-                   regexp_extract_all(lower(w.text), '{ground.WORD}') AS tk FROM wn),
+                   regexp_extract_all(lower(w.text), '[a-z]+|[0-9]+') AS tk FROM wn),
     judged AS (
       SELECT e.record_id, NOT (
           n = '' OR (entity = 'DATE_TIME' AND (
