@@ -272,8 +272,8 @@ ints AS (
 
 
 @query("a9_calibration_table", f"""WITH {_PAIRS_CTE}
-    SELECT triage_model, low, CASE low WHEN 0.0 THEN 0.5 WHEN 0.5 THEN 0.6 WHEN 0.6 THEN 0.7
-             WHEN 0.7 THEN 0.8 WHEN 0.8 THEN 0.9 ELSE 1.0001 END AS high, n, hits,
+    SELECT triage_model, low, CAST(CASE low WHEN 0.0 THEN 0.5 WHEN 0.5 THEN 0.6 WHEN 0.6 THEN 0.7
+             WHEN 0.7 THEN 0.8 WHEN 0.8 THEN 0.9 ELSE 1.0001 END AS DOUBLE) AS high, n, hits,
            round(accuracy, 9) AS accuracy, round(mean_confidence, 9) AS mean_confidence
     FROM buckets""")
 def _(t):
