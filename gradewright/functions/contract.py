@@ -135,36 +135,52 @@ def _value_defect(field: Field, value: Column) -> Column | None:
 
 
 def parse(df, raw: str, contract: tuple[Field, ...]):
-    """Add ``valid``, ``reason`` and one typed column per contract field.
+    """Add ``valid``, ``reason`` and one typed column per contract field."""
+    return parse_by(df, raw, F.lit(""), {"": contract})
+
+
+def parse_by(df, raw: str, stage: Column, contracts: dict[str, tuple[Field, ...]]):
+    """Validate each row against the contract of its stage, in one pass over the log.
 
     Typed columns are NULL on rows that do not validate, so an invalid response
     can never leak a half-read value. Each step is its own projection, so the
-    text is parsed once and the steps stay small enough to compile.
+    text is parsed once and the steps stay small enough to compile. A row of an
+    undeclared stage is invalid.
     """
     text, node, shape = F.col("_text"), F.col("_node"), F.col("_shape")
+    here = {name: stage == name for name in contracts}
     staged = (df.withColumn("_text", unwrap(F.col(raw)))
               .withColumn("_node", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
               .withColumn("_shape", F.schema_of_variant(node))
-              .withColumns({f"_v_{f.name}": F.try_variant_get(
-                  node, f"$[0].{f.name}", _SPARK_TYPE[f.kind]) for f in contract}))
+              .withColumns({f"_v{i}_{f.name}": F.when(here[name], F.try_variant_get(
+                  node, f"$[0].{f.name}", _SPARK_TYPE[f.kind]))
+                  for i, (name, spec) in enumerate(contracts.items()) for f in spec}))
     closed_early = F.contains(text, F.lit("]")) & F.try_parse_json(
         F.concat(F.lit('{"v":'), text, F.lit("}"))).isNull()
-    checks = [c for c in (_value_defect(f, F.col(f"_v_{f.name}")) for f in contract)
-              if c is not None]
+    nothing = F.lit(None).cast("string")
+    detail = None
+    for i, (name, spec) in enumerate(contracts.items()):
+        checks = [c for c in (_value_defect(f, F.col(f"_v{i}_{f.name}")) for f in spec)
+                  if c is not None]
+        found = F.when(~shape.rlike(_shape_pattern(spec)),
+                       _shape_defect(spec, shape, text)).otherwise(F.coalesce(*checks, nothing))
+        detail = F.when(here[name], found) if detail is None else detail.when(here[name], found)
     reason = (
         F.when(F.col(raw).isNull(), F.lit("response is missing"))
         .when(shape.isNull() | (shape == "ARRAY<VOID>") | closed_early,
               F.lit("response is not JSON"))
         .when(F.variant_get(node, "$[1]", "variant").isNotNull(), F.lit("response is not JSON"))
         .when(~shape.startswith("ARRAY<OBJECT<"), F.lit("response is not an object"))
-        .when(~shape.rlike(_shape_pattern(contract)), _shape_defect(contract, shape, text))
-        .otherwise(F.coalesce(*checks, F.lit(None).cast("string")))
+        .otherwise(detail.otherwise(F.lit("no contract for this stage")))
     )
     staged = staged.withColumn("reason", reason)
     ok = F.col("reason").isNull()
-    names = [f.name for f in contract]
-    typed = [F.when(ok, F.col(f"_v_{n}")).alias(n) for n in names]
-    keep = [c for c in df.columns if c not in names]
+    sources: dict[str, list[Column]] = {}
+    for i, spec in enumerate(contracts.values()):
+        for f in spec:
+            sources.setdefault(f.name, []).append(F.col(f"_v{i}_{f.name}"))
+    typed = [F.when(ok, F.coalesce(*cols)).alias(n) for n, cols in sources.items()]
+    keep = [c for c in df.columns if c not in sources]
     # The one-element inline keeps a later filter on ``valid`` above this point:
     # pushed down, it would repeat the whole parse inside the predicate.
     return staged.select(*keep, F.inline(F.array(F.struct(

@@ -218,20 +218,25 @@ def validation_measures(items: DataFrame, keys: Sequence[str],
     failure and enters neither agreement nor ordering.
     """
     good = items.filter(F.col("error").isNull())
-    banded = (good.withColumn("judge_band", rater_band(F.col("judge_score"), F.col("metric")))
-              .withColumn("blind_band", rater_band(F.col("blind_score"), F.col("metric"))))
-    parts = []
-    for side in ("judge", "blind"):
-        agreed = agreement(banded, keys, a="expected_band", b=f"{side}_band")
-        parts.append(agreed.select(*keys, F.inline(F.array(*[
-            F.struct(F.lit(f"{side}_{m}").alias("measure"), F.col(m).cast("double").alias("value"))
-            for m in ("kappa", "spearman", "exact", "within_one")]))))
-        per_boundary = ordering_by_boundary(
-            pair_ordering(banded, f"{side}_score", keys), keys, boundaries)
-        parts.append(per_boundary.groupBy(*keys).agg(F.min(F.when(
-            (F.col("total") == pairs_wanted) & (F.col("ordered") >= pairs_ordered), 1.0)
-            .otherwise(0.0)).alias("value")).select(
-                *keys, F.lit(f"{side}_pairs_ok").alias("measure"), "value"))
+    # Both raters side by side as rows: one pass for agreement, one for ordering.
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_score").alias("score"))
+                      for s in ("judge", "blind")])
+    rated = good.select(*keys, "pair_id", "target_score", "metric", "expected_band",
+                        F.inline(sides))
+    rated = rated.withColumn("band", rater_band(F.col("score"), F.col("metric")))
+    by_side = [*keys, "side"]
+    agreed = agreement(rated, by_side, a="expected_band", b="band")
+    per_boundary = ordering_by_boundary(pair_ordering(rated, "score", by_side), by_side, boundaries)
+    ordered = per_boundary.groupBy(*by_side).agg(F.min(F.when(
+        (F.col("total") == pairs_wanted) & (F.col("ordered") >= pairs_ordered), 1.0)
+        .otherwise(0.0)).alias("value"))
+    parts = [
+        agreed.select(*by_side, F.inline(F.array(*[
+            F.struct(F.lit(m).alias("name"), F.col(m).cast("double").alias("value"))
+            for m in ("kappa", "spearman", "exact", "within_one")]))),
+        ordered.select(*by_side, F.lit("pairs_ok").alias("name"), "value")]
+    parts = [p.select(*keys, F.concat_ws("_", "side", "name").alias("measure"), "value")
+             for p in parts]
     usage = items.groupBy(*keys).agg(
         F.count_if(F.col("error").isNull()).alias("items"),
         F.count_if(F.col("error").isNotNull()).alias("failures"),

@@ -108,6 +108,18 @@ def priority_scores(scored: DataFrame, keys: Sequence[str] = (),
         F.avg(F.when(is_critical, right)).alias("critical_recall"))
 
 
+def headline_scores(scored: DataFrame, keys: Sequence[str], critical: str = "URGENT") -> DataFrame:
+    """Case-type accuracy, priority accuracy and critical recall as long rows, in one pass."""
+    right = _hit(F.col("predicted_priority") == F.col("expected_priority"))
+    wide = scored.groupBy(*keys).agg(
+        F.avg(_hit(F.col("predicted_type") == F.col("expected_type"))).alias("case type accuracy"),
+        F.avg(right).alias("priority accuracy"),
+        F.avg(F.when(F.col("expected_priority") == critical, right)).alias("urgent recall"))
+    return wide.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+        for m in ("case type accuracy", "priority accuracy", "urgent recall")])))
+
+
 def metric_means(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unpooled mean of per-record scores over the rows marked ``scored``."""
     counted = F.col("status") == "scored"

@@ -18,20 +18,10 @@ def validate_responses(log: DataFrame, raw: str = "raw",
                        contracts: dict[str, tuple] | None = None) -> DataFrame:
     """Each attempt with ``valid``, ``reason`` and typed fields of its stage's contract.
 
-    Stages are validated in separate narrow branches and put back together, so
-    each row is parsed once. A provider error is no response and stays invalid.
+    The log is read and parsed once, whatever the number of stages. A provider
+    error is no response and stays invalid.
     """
-    contracts = contracts or STAGE_FIELDS
-    fields = {f.name: "double" if f.kind == "number" else "string"
-              for c in contracts.values() for f in c}
-    out = None
-    for stage, spec in contracts.items():
-        part = contract.parse(log.filter(F.col("stage") == stage), raw, spec)
-        for name, kind in fields.items():
-            if name not in part.columns:
-                part = part.withColumn(name, F.lit(None).cast(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return contract.parse_by(log, raw, F.col("stage"), contracts or STAGE_FIELDS)
 
 
 def resolve_retries(attempts: DataFrame, bound: int = fixed.RESPONSE_ATTEMPTS,

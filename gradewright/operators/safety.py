@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 
-ANCHOR_WORDS = 3
-
-
 def leakage_probes(protected: DataFrame, text: str, order: str,
                    least: int = fixed.PROBE_MIN_CHARS) -> DataFrame:
     """Sentences of protected texts long enough to be telling, first occurrence kept.
@@ -23,51 +22,38 @@ def leakage_probes(protected: DataFrame, text: str, order: str,
             .groupBy("probe").agg(F.min(F.struct("_row", "_pos")).alias("ord")))
 
 
-def _runs(frame: DataFrame, text: Column, out: str, *keep: str) -> DataFrame:
-    """Hash and length of every run of neighbouring whitespace-delimited words.
-
-    The words are their own projection step: inside the loop over positions they
-    must be a stored array, or the text would be split again for every position.
-    """
-    staged = frame.select(*keep, F.split(text, r"\s+").alias("_w"))
-    words = F.col("_w")
-    starts = F.sequence(F.lit(0), F.size(words) - ANCHOR_WORDS)
-    run = F.transform(starts, lambda i: F.struct(
-        _sum([F.length(F.get(words, i + k)) for k in range(ANCHOR_WORDS)]).alias("len"),
-        F.xxhash64(*[F.get(words, i + k) for k in range(ANCHOR_WORDS)]).alias("h")))
-    return staged.select(*keep, F.when(F.size(words) >= ANCHOR_WORDS, run).alias(out))
-
-
-def _sum(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out + c
-    return out
+def _slices(text: Column, size: int, step: int) -> Column:
+    """Hashes of the ``size``-character slices that start every ``step`` characters."""
+    last = F.length(text) - size
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
+    return F.array_distinct(F.transform(
+        starts, lambda i: F.xxhash64(F.substring(text, i + 1, F.lit(size)))))
 
 
-def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str) -> DataFrame:
+def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
+                  least: int = fixed.PROBE_MIN_CHARS, literals: Sequence[str] = ()) -> DataFrame:
     """(key, probe) for every probe found verbatim in a draft.
 
-    A probe's inner words are whole words of any draft that contains it, so one
-    inner run of three words (the longest, hence rarest) must occur among the
-    draft's word runs. Hashes of those runs are equi-joined, without the texts;
-    only candidate pairs meet the texts again for the exact substring check.
-    Probes with too few inner words have no anchor and are matched directly, so
-    nothing is missed.
+    Cut a draft into blocks of ``least // 2`` characters: any text of at least
+    ``least`` characters inside it covers one block completely. So the block
+    hashes of a draft are equi-joined with the hashes of all slices of that size
+    of the probes, and nothing can be missed. Only hashes travel; candidate
+    pairs meet the texts again for the exact substring test. Shorter probes do
+    not come through here: give the few fixed ones (delimiters) as ``literals``.
     """
-    inner = F.regexp_replace(F.regexp_replace(F.col("probe"), r"^\S*\s+", ""), r"\s+\S*$", "")
-    anchored = _runs(probes, inner, "_runs", "probe").select(
-        "probe", F.array_max("_runs")["h"].alias("h"))
-    # The outer form keeps the optimizer from building the runs twice for a size filter.
-    runs = (_runs(drafts, F.col(draft), "_runs", key)
-            .select(key, F.explode_outer(F.transform("_runs", lambda r: r["h"])).alias("h")))
-    candidates = (runs.join(anchored.filter(F.col("h").isNotNull()), "h")
-                  .select(key, "probe").distinct())
-    exact = (drafts.select(key, draft).join(candidates, key)
-             .filter(F.contains(F.col(draft), F.col("probe"))).select(key, "probe"))
-    short = anchored.filter(F.col("h").isNull()).select("probe")
-    direct = drafts.join(short, F.contains(F.col(draft), F.col("probe"))).select(key, "probe")
-    return exact.unionByName(direct)
+    block = least // 2
+    grams = probes.filter(F.length("probe") >= least).select(
+        "probe", F.explode(_slices(F.col("probe"), block, 1)).alias("h"))
+    # The outer form keeps the optimizer from hashing twice for a size filter.
+    blocks = drafts.select(key, F.explode_outer(_slices(F.col(draft), block, block)).alias("h"))
+    candidates = blocks.join(grams, "h").select(key, "probe").distinct()
+    out = (drafts.select(key, draft).join(candidates, key)
+           .filter(F.contains(F.col(draft), F.col("probe"))).select(key, "probe"))
+    if literals:
+        hits = F.filter(F.array(*[F.when(F.contains(F.col(draft), F.lit(p)), F.lit(p))
+                                  for p in literals]), lambda x: x.isNotNull())
+        out = out.unionByName(drafts.select(key, F.explode(hits).alias("probe")))
+    return out
 
 
 def trigger_compliance(pairs: DataFrame, source: str = "source", draft: str = "draft",

@@ -101,17 +101,10 @@ def _(t):
     FROM tr LEFT JOIN b ON tr.triage_model = b.triage_model AND tr.draft_model = b.draft_model""")
 def release_verdict(t):
     cell = ["triage_model", "draft_model"]
-    rows = scored(t)
-    exact = classify.accuracy_gap(rows, cell).select(*cell, F.inline(F.array(F.struct(
-        F.lit("case type accuracy").alias("metric"), F.col("strict").alias("value")))))
-    prio = classify.priority_scores(rows, cell).select(*cell, F.inline(F.array(
-        F.struct(F.lit("priority accuracy").alias("metric"),
-                 F.col("priority_accuracy").alias("value")),
-        F.struct(F.lit("urgent recall").alias("metric"), F.col("critical_recall").alias("value")))))
     judged = classify.metric_means(
         routed(t).filter(F.col("metric") != "case type"), [*cell, "metric"]).select(
         *cell, "metric", "value")
-    scores = exact.unionByName(prio).unionByName(judged)
+    scores = classify.headline_scores(scored(t), cell).unionByName(judged)
     rates = scores.filter(F.lit(False)).select(
         *cell, F.col("value").alias("schema_failure_rate"))
     missed = gate.breaches(scores, rates, cell)

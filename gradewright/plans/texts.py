@@ -290,11 +290,12 @@ def _(t):
 def leaks(t: Tables):
     probes = safety.leakage_probes(t.base("benchmark"), "text", "item_id")
     return safety.leaked_probes(t.base("documents").select("doc_id", "text"), probes,
-                                "doc_id", "text")
+                                "doc_id", "text", literals=("###", fixed.DATA_OPEN))
 
 
 @query("x8_leaked_probes", f"""WITH {_PROBES}
-    SELECT d.doc_id, p.probe FROM documents d JOIN probes p ON contains(d.text, p.probe)""")
+    SELECT d.doc_id, p.probe FROM documents d JOIN probes p ON contains(d.text, p.probe)
+    UNION ALL SELECT doc_id, '###' FROM documents WHERE contains(text, '###')""")
 def _(t):
     return leaks(t)
 
