@@ -31,7 +31,8 @@ def _slices(text: Column, size: int, step: int) -> Column:
 
 
 def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
-                  least: int = fixed.PROBE_MIN_CHARS, literals: Sequence[str] = ()) -> DataFrame:
+                  least: int = fixed.PROBE_MIN_CHARS,
+                  literals: Sequence[str] = (fixed.DATA_OPEN,)) -> DataFrame:
     """(key, probe) for every probe found verbatim in a draft.
 
     Cut a draft into blocks of ``least // 2`` characters: any text of at least
@@ -39,7 +40,7 @@ def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
     hashes of a draft are equi-joined with the hashes of all slices of that size
     of the probes, and nothing can be missed. Only hashes travel; candidate
     pairs meet the texts again for the exact substring test. Shorter probes do
-    not come through here: give the few fixed ones (delimiters) as ``literals``.
+    not come through here: the few fixed ones (the data delimiter) are ``literals``.
     """
     block = least // 2
     grams = probes.filter(F.length("probe") >= least).select(
