@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +17,10 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STATE = "seen INT, failed INT, ok INT, refused INT, payload STRING, done BOOLEAN"
 
 
+# The processor travels by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class RetryResolver(StatefulProcessor):
     """Emits a call once: at its first valid attempt, when exhausted, or on timeout.
 
