@@ -22,12 +22,17 @@ def leakage_probes(protected: DataFrame, text: str, order: str,
             .groupBy("probe").agg(F.min(F.struct("_row", "_pos")).alias("ord")))
 
 
-def _slices(text: Column, size: int, step: int) -> Column:
-    """Hashes of the ``size``-character slices that start every ``step`` characters."""
-    last = F.length(text) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
+def _blocks(text: Column, size: int) -> Column:
+    """Hashes of the text cut into consecutive blocks of ``size`` characters, in one pass."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{{size}}}"), F.lit(0))
+    return F.array_distinct(F.transform(cut, lambda block: F.xxhash64(block)))
+
+
+def _slices(text: Column, size: int) -> Column:
+    """Hashes of all slices of ``size`` characters of a short text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
     return F.array_distinct(F.transform(
-        starts, lambda i: F.xxhash64(F.substring(text, i + 1, F.lit(size)))))
+        starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(size)))))
 
 
 def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
@@ -44,9 +49,9 @@ def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
     """
     block = least // 2
     grams = probes.filter(F.length("probe") >= least).select(
-        "probe", F.explode(_slices(F.col("probe"), block, 1)).alias("h"))
+        "probe", F.explode(_slices(F.col("probe"), block)).alias("h"))
     # The outer form keeps the optimizer from hashing twice for a size filter.
-    blocks = drafts.select(key, F.explode_outer(_slices(F.col(draft), block, block)).alias("h"))
+    blocks = drafts.select(key, F.explode_outer(_blocks(F.col(draft), block)).alias("h"))
     candidates = blocks.join(grams, "h").select(key, "probe").distinct()
     out = (drafts.select(key, draft).join(candidates, key)
            .filter(F.contains(F.col(draft), F.col("probe"))).select(key, "probe"))

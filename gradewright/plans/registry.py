@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import views
 
 
+# Tables whose queries parse or scan text, with the key their rows are spread by.
+SPREAD = {"documents": "doc_id", "events": "event_id"}
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Spread a scan over the cores when it has fewer partitions than there are cores.
 
@@ -34,7 +38,7 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         rows = self.spark.read.parquet(self.path(name))
-        return spread(rows, "doc_id") if name == "documents" else rows
+        return spread(rows, SPREAD[name]) if name in SPREAD else rows
 
     def sql(self, statement: str) -> DataFrame:
         text = views.compose(statement, "spark")
