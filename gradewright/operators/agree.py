@@ -76,8 +76,8 @@ def off_scale(scores: DataFrame, score: str = "score", metric: str = "metric") -
 
 def match_raters(human: DataFrame, judged: DataFrame,
                  keys: Sequence[str] = ("record_id", "metric")) -> DataFrame:
-    """Human labels with rater scores on a composite key; both sides must exist."""
-    return human.join(judged, list(keys))
+    """Human labels with rater scores on a composite key; both sides must have a value."""
+    return human.join(judged.filter(F.col("score").isNotNull()), list(keys))
 
 
 def missing_ratings(human: DataFrame, judged: DataFrame,

@@ -13,7 +13,7 @@ from ..sources.jsonl import merge_into_raw
 from .sample import dense_positions
 
 
-def worklist(queue: DataFrame, key: str = "record_id", levels: Sequence[int] = (7,)) -> DataFrame:
+def worklist(queue: DataFrame, key: str = "record_id", levels: Sequence[int] = (4, 7)) -> DataFrame:
     """Undecided items in id order with position, total and truncated confidence."""
     pending = queue.filter(F.col("decision").isNull())
     total = pending.select(F.count(F.lit(1)).alias("n")).scalar()

@@ -295,7 +295,7 @@ def _(t):
 _LABELLED = """labelled AS (
   SELECT record_id, CASE WHEN human = 7 THEN 'charm' ELSE metric END AS metric,
          CASE WHEN human = 10 THEN 11 WHEN human = 0 THEN NULL ELSE human END AS human
-  FROM ratings WHERE run_no <= 2)"""
+  FROM ratings)"""
 
 
 @query("f10_label_violations", f"""WITH {_LABELLED},

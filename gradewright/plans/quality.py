@@ -392,14 +392,16 @@ def _(t):
 
 @query("j7_matched_ratings", """
     SELECT h.record_id, h.metric, h.human, j.score FROM human_labels h
-    JOIN judge_scores j ON h.record_id = j.record_id AND h.metric = j.metric""")
+    JOIN judge_scores j ON h.record_id = j.record_id AND h.metric = j.metric
+    WHERE j.score IS NOT NULL""")
 def _(t):
     return agree.match_raters(t.view("human_labels"), t.view("judge_scores"))
 
 
 @query("j7_missing_ratings", """
     SELECT h.record_id, h.metric, h.human FROM human_labels h WHERE NOT EXISTS (
-      SELECT 1 FROM judge_scores j WHERE h.record_id = j.record_id AND h.metric = j.metric)""")
+      SELECT 1 FROM judge_scores j WHERE h.record_id = j.record_id AND h.metric = j.metric
+                AND j.score IS NOT NULL)""")
 def _(t):
     return agree.missing_ratings(t.view("human_labels"), t.view("judge_scores"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import responses
 from ..session import shared_dir
+from ..sources import merge
 from ..streaming import folds, retries, runs, traces
 from .checks import DECIDED_CTE
 from .intake import RESOLVED_CTE
@@ -34,7 +35,7 @@ def _fold(t: Tables, stream, initial, step, purpose: str, mode: str = "update"):
     initial.write.parquet(runs.version_path(f"{out}/table", 0))
     done = runs.start_versions(stream, f"{out}/table", f"{out}/checkpoint", step, mode)
     done.awaitTermination()
-    return runs.latest(done, f"{out}/table")
+    return runs.latest(t.spark, done, f"{out}/table")
 
 
 def _streamed(t: Tables) -> StreamTables:
@@ -105,14 +106,15 @@ _ROLL = """SELECT CAST({w} AS BIGINT) AS window_start, stage,
 
 
 def _rolled(t: Tables, width: str, slide: str | None = None):
-    """Complete-mode windows: each version replaces the one before."""
+    """Windows changed by a batch replace their earlier row; old state is dropped by watermark."""
     stream = traces.rolling_operations(
         traces.split_late(_timed(t), "at", "arrived", "1 HOUR"), "at", ["stage"], width, slide)
     flat = stream.select(F.unix_micros("window.start").alias("window_start"), "stage", "calls",
                          "failures", F.round("seconds", 6).alias("seconds"), "slowest", "tokens",
                          "late")
     empty = t.spark.createDataFrame([], flat.schema)
-    return _fold(t, flat, empty, lambda _, batch: batch, "rolling", "complete")
+    return _fold(t, flat, empty, lambda state, batch: merge.merge_by_key(
+        state, batch, ["window_start", "stage"]), "rolling")
 
 
 @query("t4_tumbling_operations", _ROLL.replace(

@@ -113,8 +113,8 @@ VIEWS: dict[str, str] = {
     "human_labels": """
         SELECT record_id, metric, max(human) AS human FROM ratings GROUP BY record_id, metric""",
     "judge_scores": """
-        SELECT record_id, metric, max(score) AS score FROM ratings
-        WHERE run_no <> 4 GROUP BY record_id, metric""",
+        SELECT record_id, metric, max(CASE WHEN run_no <> 4 THEN score END) AS score
+        FROM ratings GROUP BY record_id, metric""",
     "opinions": f"""
         SELECT {_id('R', 'l_orderkey')} AS record_id, l_linenumber AS run_no,
                {_cls('l_orderkey % 6')} AS planned_type,
@@ -410,7 +410,7 @@ VIEWS: dict[str, str] = {
                  AS score_high
         FROM orders""",
     "plan_slots": f"""
-        SELECT p_partkey + CASE WHEN p_partkey > 900 THEN 1 ELSE 0 END AS slot,
+        SELECT p_partkey + CASE WHEN p_partkey > 900 THEN 2 ELSE 1 END AS slot,
                'SLOT-' || CAST(p_partkey AS STRING) AS slot_id,
                {_cls('p_size % 6')} AS case_type,
                CASE p_partkey % 3 WHEN 0 THEN 'URGENT' WHEN 1 THEN 'NORMAL' ELSE 'LOW' END AS priority,
@@ -418,7 +418,7 @@ VIEWS: dict[str, str] = {
                  || (CASE WHEN p_partkey % 21 = 0 THEN 'INJECTION,' ELSE '' END) AS tag_list,
                CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name || ' ' || p_brand END AS note,
                p_size, p_partkey
-        FROM part WHERE p_partkey > 0""",
+        FROM part""",
 }
 
 

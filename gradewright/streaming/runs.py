@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,10 +44,7 @@ def start_versions(stream: DataFrame, root: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest(query: StreamingQuery, root: str) -> DataFrame:
+def latest(spark: SparkSession, query: StreamingQuery, root: str) -> DataFrame:
     """The newest version after a run has ended."""
-    spark = query.sparkSession if hasattr(query, "sparkSession") else None
     last = query.lastProgress
-    number = (last["batchId"] + 1) if last else 0
-    from pyspark.sql import SparkSession
-    return (spark or SparkSession.active()).read.parquet(version_path(root, number))
+    return spark.read.parquet(version_path(root, last["batchId"] + 1 if last else 0))

@@ -78,7 +78,7 @@ def test_queue_stream_equals_batch_when_the_log_is_ordered(spark, tables, tmp_pa
     done.awaitTermination()
     assert done.lastProgress["batchId"] == 2
     want = review.apply_decisions(queue, review.first_decisions(log, queue, ("ts", "event_id")))
-    assert same(runs.latest(done, root), want)
+    assert same(runs.latest(spark, done, root), want)
 
 
 def test_running_sums_equal_one_aggregate(spark, tables, tmp_path):
@@ -92,7 +92,7 @@ def test_running_sums_equal_one_aggregate(spark, tables, tmp_path):
     done.awaitTermination()
     want = rows.groupBy(*keys).agg(F.count("score").alias("n"),
                                    F.sum("score").cast("double").alias("total"))
-    assert same(runs.latest(done, root), want)
+    assert same(runs.latest(spark, done, root), want)
 
 
 def test_partial_sums_add_up_in_any_order(rows):
