@@ -12,6 +12,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters that count as white space at the ends of a text.
+WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+         "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(c: Column | str) -> Column:
+    """Text without white space at either end; a plain trim only removes blanks."""
+    return F.trim(col(c), F.lit(WHITE))
+
+
+def lstrip(c: Column | str) -> Column:
+    """Text without leading white space."""
+    return F.ltrim(col(c), F.lit(WHITE))
+
+
 def lits(values: Iterable) -> Column:
     """Array literal of plain Python values."""
     return F.array(*[F.lit(v) for v in values])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.columns import lits
+from ..functions.columns import lits, strip
 from .redact import winning_spans
 
 WORD = "[a-z]+|[0-9]+"
@@ -55,7 +55,7 @@ def entity_groundedness(pairs: DataFrame, source: str = "source", draft: str = "
         key, F.col(draft).alias("_draft"), normalise(F.col(source)).alias("_norm"),
         words(F.col(source)).alias("_words"), date_core(F.col(source)).alias("_core"),
         F.transform("_spans", lambda s: F.struct(
-            s["entity"].alias("entity"), F.trim(s["text"]).alias("text"),
+            s["entity"].alias("entity"), strip(s["text"]).alias("text"),
             normalise(s["text"]).alias("norm"), words(s["text"]).alias("words"),
             date_core(s["text"]).alias("core"))).alias("_e"))
     staged = staged.select(

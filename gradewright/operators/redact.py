@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import spans
-from ..functions.columns import lits, seeded
+from ..functions.columns import lits, seeded, strip
 
 
 def find_entities(texts: DataFrame, text: str, entities: Sequence[str] | None = None,
@@ -68,7 +68,7 @@ def _covered_texts(text: Column) -> Column:
     merged = spans.merge_cover(spans.find(text, spans.recognizers_for(fixed.PSEUDONYMISED)))
     return F.transform(merged, lambda s: F.struct(
         s["entity"].alias("entity"),
-        F.trim(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("original")))
+        strip(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("original")))
 
 
 def pseudonymise(records: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -105,7 +105,7 @@ def review_flags(records: DataFrame, fields: Sequence[str],
     chosen = spans.recognizers_for(entities)
     found = F.flatten(F.array(*[
         F.transform(F.coalesce(spans.find(F.col(f), chosen), F.array()),
-                    lambda s: F.trim(s["text"])) for f in fields]))
+                    lambda s: strip(s["text"])) for f in fields]))
     return records.withColumn("for_review", F.array_sort(F.array_distinct(
         F.filter(found, lambda x: F.length(x) >= 3))))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.banding import shown_confidence
+from ..functions.columns import strip
 from ..sources.jsonl import merge_into_raw
 from .sample import dense_positions
 
@@ -24,7 +25,7 @@ def worklist(queue: DataFrame, key: str = "record_id", levels: Sequence[int] = (
 def is_valid_decision(draft: Column, allowed: Sequence[str] = fixed.DECISIONS) -> Column:
     """Known decision; an edit must bring text that differs from the draft."""
     text = F.col("reviewer_text")
-    changed = text.isNotNull() & (F.trim(text) != F.trim(draft))
+    changed = text.isNotNull() & (strip(text) != strip(draft))
     return F.col("decision").isin(*allowed) & ((F.col("decision") != "edit") | changed)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.columns import lstrip, strip
 
 def leakage_probes(protected: DataFrame, text: str, order: str,
                    least: int = fixed.PROBE_MIN_CHARS) -> DataFrame:
@@ -17,7 +18,7 @@ def leakage_probes(protected: DataFrame, text: str, order: str,
     """
     parts = F.split(F.col(text), r"(?<=[.:])\s+")
     return (protected.select(F.col(order).alias("_row"), F.posexplode(parts).alias("_pos", "_s"))
-            .select("_row", "_pos", F.trim("_s").alias("probe"))
+            .select("_row", "_pos", strip("_s").alias("probe"))
             .filter(F.length("probe") >= least)
             .groupBy("probe").agg(F.min(F.struct("_row", "_pos")).alias("ord")))
 
@@ -66,7 +67,7 @@ def trigger_compliance(pairs: DataFrame, source: str = "source", draft: str = "d
                        pattern: str = fixed.TRIGGER) -> DataFrame:
     """Triggers the source asks a reply to start with, and those the draft obeyed."""
     asked = F.regexp_extract_all(F.col(source), F.lit(pattern), F.lit(1))
-    opening = F.upper(F.ltrim(F.coalesce(F.col(draft), F.lit(""))))
+    opening = F.upper(lstrip(F.coalesce(F.col(draft), F.lit(""))))
     return (pairs.withColumn("triggers", asked)
             .withColumn("obeyed", F.filter("triggers", lambda t: opening.startswith(F.upper(t)))))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.banding import band_of
-from ..functions.columns import violations
+from ..functions.columns import strip, violations
 
 
 def _has(tag: str) -> Column:
@@ -17,7 +17,7 @@ def _has(tag: str) -> Column:
 
 
 def _blank(name: str) -> Column:
-    return F.length(F.trim(F.coalesce(F.col(name), F.lit("")))) == 0
+    return F.length(strip(F.coalesce(F.col(name), F.lit("")))) == 0
 
 
 def record_violations(records: DataFrame, key: str = "id", pattern: str = fixed.RECORD_ID
@@ -29,8 +29,8 @@ def record_violations(records: DataFrame, key: str = "id", pattern: str = fixed.
         "malformed id": ~F.coalesce(F.col(key).rlike(pattern), F.lit(False)),
         "blank subject": _blank("subject"),
         "blank body": _blank("body"),
-        "subject too long": F.length(F.trim("subject")) > fixed.SUBJECT_MAX,
-        "body too long": F.length(F.trim("body")) > fixed.BODY_MAX,
+        "subject too long": F.length(strip("subject")) > fixed.SUBJECT_MAX,
+        "body too long": F.length(strip("body")) > fixed.BODY_MAX,
         "mixed topic lists no alternatives": _has("MIXED_TOPIC") & ~ambiguous,
         "expected type not acceptable":
             ambiguous & ~F.array_contains("acceptable_types", F.col("expected_type")),

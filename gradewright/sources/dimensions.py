@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed, schemas
-from ..functions.columns import lits, violations
+from ..functions.columns import lits, strip, violations
 from .jsonl import duplicate_keys
 
 
@@ -37,7 +37,7 @@ def source_violations(sources: DataFrame, as_of: str,
 
 
 def _blank(name: str) -> Column:
-    return F.coalesce(F.length(F.trim(F.col(name))), F.lit(0)) == 0
+    return F.coalesce(F.length(strip(name)), F.lit(0)) == 0
 
 
 def claim_violations(claims: DataFrame) -> DataFrame:

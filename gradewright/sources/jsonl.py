@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import contract
-from ..functions.columns import fail_on
+from ..functions.columns import fail_on, strip
 
 
 def strict_lines(lines: DataFrame, spec: Sequence[contract.Field],
@@ -20,7 +20,7 @@ def strict_lines(lines: DataFrame, spec: Sequence[contract.Field],
     Adds ``valid``, ``reason`` and the typed fields. The plain JSON reader is not
     strict enough for this: it ignores unknown keys and turns numbers into text.
     """
-    filled = lines.filter(F.length(F.trim(F.col(value))) > 0)
+    filled = lines.filter(F.length(strip(value)) > 0)
     return contract.parse(filled, value, tuple(spec))
 
 
@@ -54,7 +54,7 @@ def read_strict(spark: SparkSession, path: str, spec: Sequence[contract.Field],
 def read_queue(lines: DataFrame, value: str = "value",
                schema: T.StructType = schemas.QUEUE) -> DataFrame:
     """Queue lines as typed columns, with the whole line kept so no field is lost."""
-    filled = lines.filter(F.length(F.trim(F.col(value))) > 0)
+    filled = lines.filter(F.length(strip(value)) > 0)
     return filled.select(F.from_json(F.col(value), schema).alias("_q"),
                          F.col(value).alias("raw")).select("_q.*", "raw")
 

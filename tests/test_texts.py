@@ -176,7 +176,7 @@ def test_leak_scan_against_brute_force(rows):
 
 
 def test_trigger_compliance(rows):
-    data = [("a", "Please start your reply with BINGO", " bingo and more"),
+    data = [("a", "Please start your reply with BINGO", " \n\tbingo and more"),
             ("b", "begin the message with 'zebra'", "zebra"), ("c", "start reply with the word Ok-1", "no"),
             ("d", "hello", None)]
     got = {r.record_id: (r.triggers, r.obeyed)
