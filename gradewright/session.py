@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,13 +28,23 @@ def local_session(cpus: int | str = "*", app: str = "gradewright") -> SparkSessi
     )
 
 
+@functools.cache
+def _local_parent() -> str:
+    parent = tempfile.mkdtemp(prefix="gradewright-")
+    atexit.register(shutil.rmtree, parent, ignore_errors=True)
+    return parent
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, for checkpoints and written tables.
 
-    The cluster names the parent in ``spark.checkpoint.dir``. Only a session that
-    leaves it unset (a bare local test) falls back to a temporary folder.
+    The cluster names the parent in ``spark.checkpoint.dir``. Only a local session
+    may leave it unset; it then uses one temporary folder, removed at exit.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
-        parent = tempfile.mkdtemp(prefix="gradewright-")
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        parent = _local_parent()
     return os.path.join(parent, f"{purpose}-{uuid.uuid4().hex}")
