@@ -55,8 +55,10 @@ class DigestIndex:
         seen_rows = written(
             docs.select(F.col(key).cast("long").alias("key"), text_digest(F.col(text)).alias("digest"))
             .groupBy("digest", "key").agg(F.count(F.lit(1)).alias("repeats")), "digests")
-        seen = seen_rows.groupBy("digest").agg(F.max("key").alias("keep_id"),
-                                               F.sum("repeats").alias("copies"))
+        # Written, so that the anti-join meets one row per text: the optimizer would
+        # move it below the aggregate and shuffle every copy to its digest.
+        seen = written(seen_rows.groupBy("digest").agg(F.max("key").alias("keep_id"),
+                                                       F.sum("repeats").alias("copies")), "seen")
         unseen = (seen.join(self.rows().hint("merge"), "digest", "left_anti")
                   .select("digest", "keep_id", "copies", F.lit(batch).alias("batch")))
         unseen.repartition(self.buckets, "digest").write.insertInto(self.table)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import exact_dedup, line_dedup
+from . import (exact_dedup, jaccard, licences, line_dedup, mixing, pieces, quality_net,
+               quality_rules, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +63,49 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@register()
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    codec = pieces.Codec(pieces.Vocabulary.read())
+    encoded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), codec)
+    return pieces.digests(encoded, codec)
+
+
+@register()
+def op3_quality_net(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    net = quality_net.train(docs, table(spark, folder, "labels"))
+    return quality_net.score(docs, net).select("doc_id", "held_out", "score", "predicted")
+
+
+@register()
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, folder, "documents"))
+
+
+@register()
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, table(spark, folder, "labels"))
+    return quality_rules.apply_rules(docs, model).drop("text")
+
+
+@register(licences.oracle())
+def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@register(mixing.ORACLE.format(docs="documents"))
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@register()
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
