@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_by_key, mix, partitions, written
+from .common import SPACE, components, join_by_key, mix, partitions, written
 
 WORDS = 5
 NUM, DEN = 80, 100           # link if DEN * intersection >= NUM * union
@@ -40,34 +40,100 @@ BLOCK = 256                  # sets compared at a time
 ITEMS = 1 << 20              # shingles packed at a time
 PER_SHARD = 4_000_000        # shingles a shard task holds
 BROADCAST_IDS = 1_000_000    # ids broadcast for the second reading, if there are no more (some 40 MB)
-_CACHED_WORDS = 300_000
+SEGMENT = 1 << 18             # bytes of a text whose words are hashed together
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                0x85EBCA77C2B2AE63], np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+# Byte values for word hashes, capitals A-Z as their small letters, and powers of an odd number.
+_BYTES = mix(np.arange(256, dtype=np.uint64), 77)
+_BYTES[65:91] = _BYTES[97:123]
+_BLANK = np.isin(np.arange(256), list(SPACE))
+_BASE = 0xD1342543DE82EF95
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shingles(text: str | None, cache: dict) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a whole text, A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    w = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    n = len(w)
+def _power_tables(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least ``size`` of each."""
+    if len(_powers[0]) < size:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(2 * size, x, np.uint64)])
+    return _powers
+
+
+def _segments(raw: bytes):
+    """The text in pieces of about SEGMENT bytes that end at white space."""
+    start = 0
+    while start < len(raw):
+        end = start + SEGMENT
+        while end < len(raw) and raw[end] not in SPACE:
+            end += 1
+        yield raw[start:end]
+        start = end
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and place of every word of a text, A-Z lower-cased.
+
+    A word's polynomial is a difference of two running sums, brought to power zero; so
+    all words of a piece are hashed together.
+    """
+    out, places, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for part in _segments(raw):
+        b = np.frombuffer(part, np.uint8)
+        blank = _BLANK[b]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts = edge[::2] if blank[0] else np.r_[0, edge[1::2]]
+        ends = edge[1::2] if blank[0] else edge[::2]
+        if len(ends) < len(starts):
+            ends = np.r_[ends, len(b)]
+        up, down = _power_tables(len(b))
+        with np.errstate(over="ignore"):
+            run = np.empty(len(b) + 1, np.uint64)
+            run[0] = 0
+            np.cumsum(_BYTES[b] * up[:len(b)], out=run[1:])
+            out.append(mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64), 3))
+        places.append(starts + before)
+        before += len(b)
+    return np.concatenate(out), np.concatenate(places)
+
+
+def shingle_sets(texts):
+    """Sorted distinct 64-bit shingle hashes of each whole text, A-Z lower-cased.
+
+    Short texts are hashed together, SEGMENT bytes at a time.
+    """
+    group, size = [], 0
+    for text in texts:
+        raw = (text or "").encode()
+        group.append(raw)
+        size += len(raw)
+        if size >= SEGMENT:
+            yield from _group_sets(group)
+            group, size = [], 0
+    yield from _group_sets(group)
+
+
+def _group_sets(raws: list[bytes]):
+    w, places = word_hashes(b"\n".join(raws))
+    first = np.searchsorted(places, np.cumsum([0, *(len(r) + 1 for r in raws)]))
     with np.errstate(over="ignore"):
-        if n >= WORDS:
-            total = w[:n - WORDS + 1] * _K[0]
-            for j in range(1, WORDS):
-                total += w[j:n - WORDS + 1 + j] * _K[j]
-            return np.unique(mix(total, WORDS))
-        if n:
-            return mix((w * _K[:n]).sum(keepdims=True), 100 + n)
-    return w
+        total = w[:max(0, len(w) - WORDS + 1)] * _K[0]
+        for j in range(1, WORDS):
+            total += w[j:j + len(total)] * _K[j]
+        total = mix(total, WORDS)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            n = b - a
+            if n >= WORDS:
+                own = total[a:b - WORDS + 1]
+                own.sort()
+                yield own[np.r_[True, own[1:] != own[:-1]]]
+            elif n:
+                yield mix((w[a:b] * _K[:n]).sum(keepdims=True), 100 + n)
+            else:
+                yield w[:0]
 
 
 def prefix_size(n):
@@ -118,11 +184,9 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 
 def _set_rows(batches):
-    cache = _Words()
     for batch in batches:
         n, digests = [], []
-        for text in batch["text"]:
-            s = shingles(text.as_py(), cache)
+        for s in shingle_sets(batch["text"].to_pylist()):
             n.append(len(s))
             digests.append(_digest(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()),
@@ -131,10 +195,9 @@ def _set_rows(batches):
 
 def _sets(batches):
     """Sets of a few documents at a time, each different set once: [(digest, tokens)]."""
-    cache, found, size = _Words(), {}, 0
+    found, size = {}, 0
     for batch in batches:
-        for text in batch["text"]:
-            s = shingles(text.as_py(), cache)
+        for s in shingle_sets(batch["text"].to_pylist()):
             if len(s):
                 d = _digest(s)
                 if d not in found:
@@ -270,11 +333,10 @@ def _pairs(blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def _token_sets(batches):
-    cache = _Words()
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
             [batch["digest"], batch["cluster"], batch["members"],
-             pa.array([shingles(t.as_py(), cache).tobytes() for t in batch["text"]], pa.binary())],
+             pa.array([s.tobytes() for s in shingle_sets(batch["text"].to_pylist())], pa.binary())],
             ["digest", "cluster", "members", "tokens"])
 
 

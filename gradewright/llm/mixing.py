@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED) ->
     table = rates(docs, weights)
     columns = docs.columns
     keyed = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    table = table.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("null")))
+    table = table.select(F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("null")).alias("_source"),
+                         F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     n = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count()
     if n <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(table), "_source")
@@ -86,11 +87,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED) ->
         joined = join_by_key(keyed, table, "_source")
     doc_id = F.col("doc_id")
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")), F.lit(0),
-        lambda acc, part: acc + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), doc_id, part))))
-    one = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
+        F.sequence(F.lit(1), F.col("_parts")), F.lit(0),
+        lambda acc, part: acc + F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), doc_id, part))))
+    one = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     counted = (joined.withColumn("_u", uniform(F.lit(seed), doc_id, F.lit(1)))
-               .withColumn("_count", F.when(F.col("parts") == 1, one).otherwise(draw)))
+               .withColumn("_count", F.when(F.col("_parts") == 1, one).otherwise(draw)))
     copies = (counted.filter("_count > 0")
               .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count")))))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(doc_id.cast("string"), F.lit("null")),

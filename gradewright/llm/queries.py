@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import (exact_dedup, jaccard, licences, line_dedup, mixing, pieces, quality_net,
+from . import (exact_dedup, html_text, jaccard, licences, line_dedup, mixing, pieces, quality_net,
                quality_rules, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_components(table(spark, folder, "documents"))
 
 
+@register()
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).drop("html")
+
+
 @register()
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
