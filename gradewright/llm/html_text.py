@@ -209,6 +209,9 @@ LABELLED: list[tuple[float, ...]] = [
     (30, 0.6, 8, 1.0, 9, 1.0, 0, 0, 0, 0),
     (26, 0.55, 70, 0.0, 64, 0.0, 0, 0, 0, 0),
     (8, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0, 0),
+    (2, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (3, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1, 0),
 ]
 
 
