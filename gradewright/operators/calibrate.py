@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -37,12 +37,19 @@ def calibration_table(pairs: DataFrame, keys: Sequence[str] = (),
             .withColumn("high", F.try_element_at(high_of, F.col("low"))))
 
 
-def calibration_intervals(table: DataFrame) -> DataFrame:
-    """Wilson interval per bucket, its width, and the n a ±0.05 claim would need."""
+def calibration_intervals(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Wilson interval per bucket, its width, and the n a ±0.05 claim would need.
+
+    ``required_n`` is taken at the overall accuracy of the key, ``bucket_required_n`` at
+    that of the bucket. The table has one row per bucket, so its window is tiny.
+    """
     low, high = wilson(F.col("hits"), F.col("n"))
+    whole = Window.partitionBy(*keys)
+    overall = F.try_divide(F.sum("hits").over(whole).cast("double"), F.sum("n").over(whole))
     return (table.withColumn("interval_low", low).withColumn("interval_high", high)
             .withColumn("width", F.col("interval_high") - F.col("interval_low"))
-            .withColumn("required_n", required_n(F.col("accuracy"))))
+            .withColumn("bucket_required_n", required_n(F.col("accuracy")))
+            .withColumn("required_n", required_n(overall)))
 
 
 def widest_bucket(intervals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +77,6 @@ def least_confident(rows: DataFrame, keys: Sequence[str], k: int,
     The rank filter is pushed below the shuffle as a per-partition group limit,
     so a hot key sends at most k rows per partition.
     """
-    from pyspark.sql import Window
     ranked = rows.withColumn(
         "rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("rank") <= k)

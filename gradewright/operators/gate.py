@@ -18,12 +18,53 @@ def _pairs(values: Mapping[str, float]) -> Column:
                      for k, v in values.items()])
 
 
+def duplicate_scores(scores: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """Metrics that a cell has more than one score for: (keys, metric, n)."""
+    return (scores.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > 1))
+
+
 def score_map(scores: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """One row per cell with a metric -> value map (bounded by the metric list)."""
-    return scores.groupBy(*keys).agg(F.map_from_entries(
+    """One row per cell with a metric -> value map (bounded by the metric list).
+
+    Of repeated scores (see ``duplicate_scores``) the lowest measured one counts, so a
+    repetition never lifts a cell over a bar.
+    """
+    single = scores.groupBy(*keys, "metric").agg(F.min("value").alias("value"))
+    return single.groupBy(*keys).agg(F.map_from_entries(
         F.collect_list(F.struct("metric", "value"))).alias("_scores"))
 
 
+def cell_verdicts(cells: DataFrame, measured: Mapping[str, Column], rate: Column,
+                  keys: Sequence[str], draft: Mapping[str, float] = fixed.DRAFT_WEIGHTS["recorded"],
+                  triage: Mapping[str, float] = fixed.TRIAGE_WEIGHTS,
+                  bars: Mapping[str, float] = fixed.HARD_BARS,
+                  max_rate: float = fixed.MAX_FAILURE_RATE,
+                  share: Mapping[str, float] = fixed.STAGE_SHARE) -> DataFrame:
+    """Gate over one wide row per cell: everything after the metrics is row-level.
+
+    ``measured`` maps metric names to columns; NULL is not measured, which misses no bar
+    but leaves the composites that need it NULL. ``missed`` names the missed bars and the
+    failure rate over its cap, sorted.
+    """
+    names = F.array(*[F.when(measured[m] < F.lit(float(b)), F.lit(m)) for m, b in bars.items()
+                      if m in measured],
+                    F.when(rate > F.lit(float(max_rate)), F.lit("schema failure rate")))
+
+    def weighted(weights: Mapping[str, float]) -> Column:
+        total = F.lit(0.0)
+        for metric, weight in weights.items():
+            total = total + measured.get(metric, F.lit(None).cast("double")) * F.lit(weight)
+        return total
+
+    row = cells.select(*keys, weighted(triage).alias("triage"), weighted(draft).alias("draft"),
+                       F.array_sort(F.array_compact(names)).alias("missed"))
+    row = row.withColumn("breaches", F.size("missed").cast("bigint")).withColumn(
+        "diagnostic", F.col("triage") * share["triage"] + F.col("draft") * share["draft"])
+    return (row.withColumn("published", F.when(F.col("breaches") == 0, F.col("diagnostic")))
+            .withColumn("verdict", F.when(F.col("breaches") == 0, "PASS").otherwise("DISQUALIFIED")))
+
+
 def breaches(scores: DataFrame, rates: DataFrame, keys: Sequence[str] = CELL,
              bars: Mapping[str, float] = fixed.HARD_BARS,
              max_rate: float = fixed.MAX_FAILURE_RATE) -> DataFrame:

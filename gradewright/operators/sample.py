@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.fingerprint import table_fingerprints
@@ -41,6 +41,12 @@ def dense_positions(rows: DataFrame, key: str, levels: Sequence[int], out: str =
             .drop(*names, "_before"))
 
 
+def padded_id(prefix: str, number: Column, width: int = 9) -> Column:
+    """Prefix and number, padded with zeros; a longer number keeps all its digits."""
+    text = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0")))
+
+
 def first_records(rows: DataFrame, n: int, order: Sequence[str] = ("record_id",)) -> DataFrame:
     """First n rows in id order: a top-k per partition, never a full sort."""
     return rows.orderBy(*order).limit(n)
@@ -73,8 +79,7 @@ def blind_packet(variants: DataFrame, key: str, shown: Sequence[str], hidden: Se
     shuffled = variants.withColumn("_h", F.sha2(F.concat(
         F.lit(seed + ":"), F.col(key).cast("string")), 256))
     numbered = dense_positions(shuffled, "_h", levels)
-    named = numbered.withColumn("blind_id", F.concat(
-        F.lit(prefix + "-"), F.lpad(F.col("position").cast("string"), 9, "0")))
+    named = numbered.withColumn("blind_id", padded_id(prefix + "-", F.col("position")))
     header = table_fingerprints(variants, [], [key, *shown, *hidden]).withColumn(
         "seed", F.lit(seed))
     return named.select("blind_id", *shown), named.select("blind_id", key, *hidden), header

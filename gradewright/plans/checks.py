@@ -10,6 +10,7 @@ from ..operators import agree, review, sample, validate
 from ..sources import fingerprint, jsonl, merge
 from .quality import band_sql, gold, split_list
 from .registry import Tables, query
+from .views import padded
 
 # ---- halves, merges, fingerprints ------------------------------------------------------
 
@@ -80,6 +81,22 @@ def _(t):
                               ["p_partkey"])
 
 
+_REWRITTEN = """rewritten AS (
+  SELECT p_partkey, 'new ' || p_name AS p_name, p_size + 1 AS p_size, 1 AS turn FROM part WHERE p_size % 7 = 0
+  UNION ALL SELECT p_partkey, 'newer ' || p_name, p_size + 2, 2 FROM part WHERE p_size % 14 = 0)"""
+
+
+@query("s8_last_writer_wins", f"""WITH {_REWRITTEN}
+    SELECT p_partkey, p_name, p_size FROM part
+    WHERE p_partkey NOT IN (SELECT p_partkey FROM rewritten)
+    UNION ALL SELECT p_partkey, p_name, p_size FROM (SELECT *, row_number() OVER
+      (PARTITION BY p_partkey ORDER BY turn DESC) AS nth FROM rewritten) WHERE nth = 1""")
+def _(t):
+    fresh = t.sql(f"WITH {_REWRITTEN} SELECT * FROM rewritten")
+    return merge.merge_by_key(t.base("part").select("p_partkey", "p_name", "p_size"), fresh,
+                              ["p_partkey"], ["turn"])
+
+
 @query("s8_provenance_upsert", """
     SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'gen-b' ELSE 'gen-a' END AS generator_model
     FROM part""")
@@ -89,10 +106,10 @@ def _(t):
     return merge.upsert_provenance(existing, again.select("p_partkey"), "gen-b", ["p_partkey"])
 
 
-_PRINT = """SELECT l_linenumber, l_returnflag, count(*) AS n,
-    sum(CAST('0x' || substr(sha256(concat_ws(chr(31), CAST(l_orderkey AS STRING),
-      CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING))), 1, 8) AS BIGINT)) AS f
-  FROM {t} GROUP BY 1, 2"""
+_PRINT = """SELECT l_linenumber, l_returnflag, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS STRING)
+      || '-' || CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS STRING) AS f
+  FROM (SELECT *, sha256(concat_ws(chr(31), CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING),
+      CAST(l_suppkey AS STRING))) AS h FROM {t}) GROUP BY 1, 2"""
 _ALTERED = """(SELECT l_linenumber, l_returnflag, l_orderkey, l_suppkey,
     CASE WHEN l_linenumber = 3 AND l_orderkey % 50 = 0 THEN l_partkey + 1 ELSE l_partkey END AS l_partkey
   FROM lineitem WHERE NOT (l_linenumber = 7 AND l_returnflag = 'A')
@@ -105,10 +122,10 @@ def _prints(frame):
 
 
 @query("s10_table_fingerprints", f"""
-    SELECT l_linenumber, l_returnflag, n, CAST(f AS STRING) AS fingerprint
+    SELECT l_linenumber, l_returnflag, n, f AS fingerprint
     FROM ({_PRINT.replace('{t}', 'lineitem')})""")
 def _(t):
-    return _prints(t.base("lineitem")).withColumn("fingerprint", F.col("fingerprint").cast("string"))
+    return _prints(t.base("lineitem"))
 
 
 @query("s10_drift", f"""
@@ -472,9 +489,9 @@ def _(t):
     return sample.stratified_sample(gold(t), 15).select("record_id", "expected_type")
 
 
-_PACKET = """packet AS (
-  SELECT *, 'BR-' || lpad(CAST(row_number() OVER (ORDER BY sha256('seed-7:' || CAST(o_orderkey AS STRING))) AS STRING), 9, '0')
-              AS bid FROM variants)"""
+_PACKET = f"""packet AS (
+  SELECT *, 'BR-' || {padded('nth')} AS bid FROM (
+    SELECT *, row_number() OVER (ORDER BY sha256('seed-7:' || CAST(o_orderkey AS STRING))) AS nth FROM variants))"""
 
 
 def packet(t: Tables):
@@ -496,11 +513,12 @@ def _(t):
 
 
 @query("w8_blind_header", """
-    SELECT count(*) AS n, 'seed-7' AS seed, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(31),
-      CAST(o_orderkey AS STRING), record_id, o_orderpriority, CAST(target_score AS STRING))), 1, 8)
-      AS BIGINT)) AS STRING) AS fingerprint FROM variants""")
+    SELECT count(*) AS n, 'seed-7' AS seed, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS STRING) || '-'
+      || CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS STRING) AS fingerprint
+    FROM (SELECT sha256(concat_ws(chr(31), CAST(o_orderkey AS STRING), record_id, o_orderpriority,
+      CAST(target_score AS STRING))) AS h FROM variants)""")
 def _(t):
-    return packet(t)[2].withColumn("fingerprint", F.col("fingerprint").cast("string"))
+    return packet(t)[2]
 
 
 @query("w3_review_worklist", """

@@ -281,17 +281,21 @@ def _(t):
     return r9(table.drop("squared_error"), "accuracy", "mean_confidence")
 
 
+def _required(p: str) -> str:
+    inside = f"least(greatest({p}, 1e-6), 1 - 1e-6)"
+    return f"CAST(ceil(1.96*1.96 * {inside} * (1 - {inside}) / (0.05*0.05)) AS BIGINT)"
+
+
 @query("a10_calibration_intervals", f"""WITH {_PAIRS_CTE}
     SELECT triage_model, low, n, round(greatest(0.0, mid - half), 9) AS interval_low,
            round(least(1.0, mid + half), 9) AS interval_high,
-           CAST(ceil(1.96*1.96 * least(greatest(accuracy, 1e-6), 1 - 1e-6)
-                * (1 - least(greatest(accuracy, 1e-6), 1 - 1e-6)) / (0.05*0.05)) AS BIGINT)
-             AS required_n
-    FROM ints""")
+           {_required('accuracy')} AS bucket_required_n, {_required('overall')} AS required_n
+    FROM (SELECT *, sum(hits) OVER (PARTITION BY triage_model)::DOUBLE / sum(n) OVER (PARTITION BY triage_model)
+            AS overall FROM ints)""")
 def _(t):
     table = calibrate.calibration_table(confidence_pairs(t), ["triage_model"])
-    return r9(calibrate.calibration_intervals(table).select(
-        "triage_model", "low", "n", "interval_low", "interval_high", "required_n"),
+    return r9(calibrate.calibration_intervals(table, ["triage_model"]).select(
+        "triage_model", "low", "n", "interval_low", "interval_high", "bucket_required_n", "required_n"),
         "interval_low", "interval_high")
 
 
@@ -390,6 +394,17 @@ def _(t):
     return r9(agree.agreement(banded(t), ["metric"]), "kappa", "spearman", "exact", "within_one")
 
 
+_ODD = """odd AS (
+    SELECT item_id, CASE WHEN run_no = 7 THEN 'unheard of' ELSE metric END AS metric,
+           CASE WHEN run_no = 6 THEN score + 0.3E0 ELSE score END AS score FROM ratings)"""
+
+
+@query("a12_off_scale", f"""WITH {_ODD}
+    SELECT item_id, metric, round(score, 9) AS score FROM odd WHERE {rater_band_sql('score')} IS NULL""")
+def _(t):
+    return r9(agree.off_scale(t.sql(f"WITH {_ODD} SELECT * FROM odd")), "score")
+
+
 @query("j7_matched_ratings", """
     SELECT h.record_id, h.metric, h.human, j.score FROM human_labels h
     JOIN judge_scores j ON h.record_id = j.record_id AND h.metric = j.metric

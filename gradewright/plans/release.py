@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import agree, classify, gate, ops
+from ..operators import agree, gate, ground, ops, safety
 from ..sources import dimensions, jsonl
-from .quality import _ROUTED_CTE, SCORED_CTE, agree_sql, gold, r9, rater_band_sql, routed, scored
+from .quality import agree_sql, gold, r9, rater_band_sql, split_list
 from .registry import Tables, query
+from .texts import GROUND_CTE, PROBES_CTE, SCREENS_CTE
 
 # ---- release gate ---------------------------------------------------------------------
 _BARS = ", ".join(f"('{m}', {b})" for m, b in fixed.HARD_BARS.items())
@@ -76,44 +77,102 @@ def _(t):
               *[m.replace(" ", "_") for m in _SHOWN])
 
 
-@query("release_verdict", f"""WITH {SCORED_CTE}, {_ROUTED_CTE},
-    long AS (
-      SELECT triage_model, draft_model, 'case type accuracy' AS metric,
-             avg(CASE WHEN predicted_type = expected_type THEN 1.0 ELSE 0.0 END) AS value
-      FROM scored GROUP BY 1, 2
-      UNION ALL SELECT triage_model, draft_model, 'priority accuracy',
-             avg(CASE WHEN predicted_priority = expected_priority THEN 1.0 ELSE 0.0 END)
-      FROM scored GROUP BY 1, 2
-      UNION ALL SELECT triage_model, draft_model, 'urgent recall',
-             avg(CASE WHEN predicted_priority = expected_priority THEN 1.0 ELSE 0.0 END)
-               FILTER (WHERE expected_priority = 'URGENT') FROM scored GROUP BY 1, 2
-      UNION ALL SELECT triage_model, draft_model, metric,
-             avg(raw_score) FILTER (WHERE status = 'scored') FROM routed
-             WHERE metric <> 'case type' GROUP BY 1, 2, 3),
-    bars(metric, bar) AS (VALUES {_BARS}), tw(metric, w) AS (VALUES {_TRIAGE}),
-    b AS (SELECT l.triage_model, l.draft_model, count(*) AS n, string_agg(l.metric, '|' ORDER BY l.metric) AS missed
-          FROM long l JOIN bars ON bars.metric = l.metric AND l.value < bars.bar GROUP BY 1, 2),
-    tr AS (SELECT l.triage_model, l.draft_model, sum(l.value * tw.w) AS triage
-           FROM long l JOIN tw ON tw.metric = l.metric GROUP BY 1, 2)
-    SELECT tr.triage_model, tr.draft_model, round(triage, 9) AS triage,
-           coalesce(b.n, 0) AS breaches, coalesce(b.missed, '') AS missed,
-           CASE WHEN coalesce(b.n, 0) = 0 THEN 'PASS' ELSE 'DISQUALIFIED' END AS verdict
-    FROM tr LEFT JOIN b ON tr.triage_model = b.triage_model AND tr.draft_model = b.draft_model""")
+_CELL = ("triage_model", "draft_model")
+_JUDGED = ("commitment groundedness", "tone match", "summary quality")
+_METRICS = ("case type accuracy", "priority accuracy", "urgent recall", *_JUDGED,
+            "entity groundedness", "injection resistance", "refusal correctness")
+
+
+def _named(metric: str) -> str:
+    return metric.replace(" ", "_")
+
+
+def _weighted_sql(weights) -> str:
+    return " + ".join(f"{_named(m)} * {w}" for m, w in weights.items())
+
+
+_MISSED = ", ".join(f"CASE WHEN {_named(m)} < {b} THEN '{m}' END" for m, b in fixed.HARD_BARS.items())
+
+
+@query("release_verdict", f"""WITH {PROBES_CTE}, {GROUND_CTE},
+    grounded AS (
+      SELECT d.record_id, CASE WHEN coalesce(p.total, 0) = 0 THEN 1.0 ELSE 1 - p.bad / p.total END AS score
+      FROM drafted d LEFT JOIN per p ON p.record_id = d.record_id),
+    {SCREENS_CTE},
+    base AS (
+      SELECT c.triage_model, c.draft_model, g.doc_id, g.n_chars, g.tag_list, g.expected_type, g.expected_priority,
+             o.case_type, o.priority, o.record_id IS NOT NULL AS made, gr.score AS grounded, ir.score AS resisted,
+             rc.score AS refused
+      FROM gold g CROSS JOIN (SELECT a AS triage_model, b AS draft_model FROM (VALUES ('swift-1'), ('deep-1')) x(a)
+                              CROSS JOIN (VALUES ('swift-1'), ('deep-1')) y(b)) c
+      LEFT JOIN outputs o ON o.record_id = g.record_id AND o.triage_model = c.triage_model
+                         AND o.draft_model = c.draft_model
+      LEFT JOIN grounded gr ON gr.record_id = g.record_id LEFT JOIN resisted ir ON ir.record_id = g.record_id
+      LEFT JOIN refusals rc ON rc.record_id = g.record_id),
+    m AS (
+      SELECT triage_model, draft_model, avg(CASE WHEN made THEN 0.0 ELSE 1.0 END) AS schema_failure_rate,
+             avg(CASE WHEN case_type = expected_type THEN 1.0 ELSE 0.0 END) FILTER (WHERE made) AS case_type_accuracy,
+             avg(CASE WHEN priority = expected_priority THEN 1.0 ELSE 0.0 END) FILTER (WHERE made) AS priority_accuracy,
+             avg(CASE WHEN priority = expected_priority THEN 1.0 ELSE 0.0 END)
+               FILTER (WHERE made AND expected_priority = 'URGENT') AS urgent_recall,
+             {', '.join(f"avg(((doc_id * 11 + n_chars + {len(m)}) % 11) / 10.0::DOUBLE) "
+                        f"FILTER (WHERE made AND NOT contains(tag_list, 'REFUSAL,')) AS {_named(m)}" for m in _JUDGED)},
+             avg(grounded) FILTER (WHERE made) AS entity_groundedness,
+             avg(resisted) FILTER (WHERE made) AS injection_resistance,
+             avg(refused) FILTER (WHERE made) AS refusal_correctness
+      FROM base GROUP BY 1, 2),
+    v AS (SELECT *, {_weighted_sql(fixed.TRIAGE_WEIGHTS)} AS triage,
+                 {_weighted_sql(fixed.DRAFT_WEIGHTS['recorded'])} AS draft,
+                 list_sort(list_filter([{_MISSED}, CASE WHEN schema_failure_rate > {fixed.MAX_FAILURE_RATE}
+                   THEN 'schema failure rate' END], lambda x: x IS NOT NULL)) AS missed FROM m)
+    SELECT triage_model, draft_model, round(triage, 9) AS triage, round(draft, 9) AS draft,
+           array_to_string(missed, '|') AS missed, len(missed) AS breaches,
+           round(triage * 0.4 + draft * 0.6, 9) AS diagnostic,
+           CASE WHEN len(missed) = 0 THEN round(triage * 0.4 + draft * 0.6, 9) END AS published,
+           CASE WHEN len(missed) = 0 THEN 'PASS' ELSE 'DISQUALIFIED' END AS verdict FROM v""")
 def release_verdict(t):
-    cell = ["triage_model", "draft_model"]
-    judged = classify.metric_means(
-        routed(t).filter(F.col("metric") != "case type"), [*cell, "metric"]).select(
-        *cell, "metric", "value")
-    scores = classify.headline_scores(scored(t), cell).unionByName(judged)
-    rates = scores.filter(F.lit(False)).select(
-        *cell, F.col("value").alias("schema_failure_rate"))
-    missed = gate.breaches(scores, rates, cell)
-    names = missed.groupBy(*cell).agg(
-        F.array_join(F.array_sort(F.collect_list("metric")), "|").alias("missed"))
-    fit = gate.fitness(scores, missed, cell, {"recorded": fixed.DRAFT_WEIGHTS["recorded"]})
-    return r9(fit.join(names, cell, "left").select(
-        *cell, "triage", "breaches", F.coalesce("missed", F.lit("")).alias("missed"), "verdict"),
-        "triage")
+    """Labels x cells with outputs and per-record screens, reduced to one row per cell."""
+    labelled = t.base("labels").select("doc_id").distinct()
+
+    def of_labelled(view: str):
+        """Texts are screened only where a label can use the answer."""
+        return t.view(view).join(labelled, "doc_id", "left_semi")
+
+    grounded = ground.entity_groundedness(of_labelled("draft_pairs")).select(
+        "record_id", F.col("score").alias("grounded"))
+    cases = of_labelled("screen_drafts").withColumn("tags", split_list("tag_list"))
+    probes = safety.leakage_probes(t.base("benchmark"), "text", "item_id")
+    leaks = safety.leaked_probes(cases.select("record_id", "draft"), probes, "record_id", "draft")
+    screens = safety.screens(cases, leaks)
+    records = (gold(t).select("record_id", "doc_id", "n_chars", "tags", "expected_type", "expected_priority")
+               .join(grounded, "record_id", "left").join(screens, "record_id", "left"))
+    cells = F.array(*[F.struct(F.lit(a).alias("triage_model"), F.lit(b).alias("draft_model"))
+                      for a in ("swift-1", "deep-1") for b in ("swift-1", "deep-1")])
+    wide = records.select("*", F.inline(cells)).join(
+        t.view("outputs").select("record_id", *_CELL, "case_type", "priority", F.lit(True).alias("_made")),
+        ["record_id", *_CELL], "left")
+    made = F.col("_made").isNotNull()
+    judged = made & ~F.array_contains("tags", "REFUSAL")
+
+    def share(ok, where=None):
+        return F.avg(F.when(made if where is None else made & where, F.when(ok, 1.0).otherwise(0.0)))
+
+    urgent = F.col("expected_priority") == "URGENT"
+    right = F.col("priority") == F.col("expected_priority")
+    values = {
+        "case type accuracy": share(F.col("case_type") == F.col("expected_type")),
+        "priority accuracy": share(right), "urgent recall": share(right, urgent),
+        **{m: F.avg(F.when(judged, ((F.col("doc_id") * 11 + F.col("n_chars") + len(m)) % 11) / 10))
+           for m in _JUDGED},
+        "entity groundedness": F.avg(F.when(made, F.col("grounded"))),
+        "injection resistance": F.avg(F.when(made, F.col("resisted"))),
+        "refusal correctness": F.avg(F.when(made, F.col("refused")))}
+    rows = wide.groupBy(*_CELL).agg(F.avg(F.when(made, 0.0).otherwise(1.0)).alias("schema_failure_rate"),
+                                    *[values[m].alias(_named(m)) for m in _METRICS])
+    verdicts = gate.cell_verdicts(rows, {m: F.col(_named(m)) for m in _METRICS},
+                                  F.col("schema_failure_rate"), list(_CELL))
+    return r9(verdicts.withColumn("missed", F.array_join("missed", "|")),
+              "triage", "draft", "diagnostic", "published")
 
 
 @query("s16_result_documents", """
@@ -537,9 +596,8 @@ def _(t):
            round(sum(with_logprobs) / sum(calls), 9) AS continuous_rate
     FROM ({_USAGE.replace('{k}', 'run_id, stage')}) GROUP BY 1""")
 def _(t):
-    parts = [ops.usage_rollup(traces(t).filter(F.col("run_id") == r), ["stage"])
-             for r in ("run-0", "run-1", "run-2")]
-    return r9(ops.merge_usage(parts, ["stage"]), "continuous_rate")
+    per_run = ops.usage_rollup(traces(t), ["run_id", "stage"])
+    return r9(ops.merge_usage([per_run], ["stage"]), "continuous_rate")
 
 
 @query("s11_price_load", """

@@ -18,10 +18,16 @@ from .texts import KEY
 class StreamTables(Tables):
     """The same views over a stream of the base table's files."""
 
+    options: dict[str, str] = {}
+
     def base(self, name: str):
+        """A stream of the table's files, whether the table is one file or a folder of them.
+
+        The pattern matches just the table's path; reading the schema fails if it is missing.
+        """
         schema = super().base(name).schema
-        return (self.spark.readStream.schema(schema)
-                .option("pathGlobFilter", f"{name}.parquet").parquet(self.folder))
+        return (self.spark.readStream.schema(schema).options(**self.options)
+                .parquet(f"{self.folder}/{name}.parque[t]"))
 
 
 def _append(t: Tables, stream, purpose: str):
@@ -35,19 +41,30 @@ def _fold(t: Tables, stream, initial, step, purpose: str, mode: str = "update"):
     initial.write.parquet(runs.version_path(f"{out}/table", 0))
     done = runs.start_versions(stream, f"{out}/table", f"{out}/checkpoint", step, mode)
     done.awaitTermination()
-    return runs.latest(t.spark, done, f"{out}/table")
+    return runs.latest(t.spark, f"{out}/table")
 
 
 def _streamed(t: Tables) -> StreamTables:
     return StreamTables(t.spark, t.folder)
 
 
-def _sealed(t: Tables):
-    rows = _streamed(t).view("traces").select(
+def _unsealed(t: Tables):
+    return _streamed(t).view("traces").select(
         "record_id", "stage", F.when(F.col("event_id") % 100 != 7, F.col("model")).alias("model"),
         "seconds", F.concat(F.lit("prompt "), F.col("event_id").cast("string")).alias("prompt"),
         F.lit("").alias("response"))
-    return _append(t, traces.sealed_traces(rows, KEY), "traces")
+
+
+def _sealed(t: Tables):
+    return _append(t, traces.sealed_traces(_unsealed(t), KEY), "traces")
+
+
+@query("t1_rejected_traces", """
+    SELECT record_id, stage, seconds, true AS hidden FROM traces WHERE event_id % 100 = 7""")
+def _(t):
+    rejected = _append(t, traces.sealed_rejects(_unsealed(t), KEY), "rejects")
+    return rejected.select("record_id", "stage", "seconds",
+                           (~F.contains("prompt", F.lit("prompt"))).alias("hidden"))
 
 
 @query("t1_trace_ingest", """
@@ -106,15 +123,24 @@ _ROLL = """SELECT CAST({w} AS BIGINT) AS window_start, stage,
 
 
 def _rolled(t: Tables, width: str, slide: str | None = None):
-    """Windows changed by a batch replace their earlier row; old state is dropped by watermark."""
-    stream = traces.rolling_operations(
-        traces.split_late(_timed(t), "at", "arrived", "1 HOUR"), "at", ["stage"], width, slide)
-    flat = stream.select(F.unix_micros("window.start").alias("window_start"), "stage", "calls",
-                         "failures", F.round("seconds", 6).alias("seconds"), "slowest", "tokens",
-                         "late")
-    empty = t.spark.createDataFrame([], flat.schema)
-    return _fold(t, flat, empty, lambda state, batch: merge.merge_by_key(
-        state, batch, ["window_start", "stage"]), "rolling")
+    """On-time rows: windows changed by a batch replace their earlier row, and old state is
+    dropped by watermark. Late rows: counts per window, added up batch by batch."""
+    keys = ["window_start", "stage"]
+
+    def flat(frame, *columns):
+        return frame.select(F.unix_micros("window.start").alias("window_start"), "stage", *columns)
+
+    marked = traces.split_late(_timed(t), "at", "arrived", "1 HOUR")
+    stream = flat(traces.rolling_operations(marked, "at", ["stage"], width, slide), "calls", "failures",
+                  F.round("seconds", 6).alias("seconds"), "slowest", "tokens")
+    on_time = _fold(t, stream, t.spark.createDataFrame([], stream.schema),
+                    lambda state, batch: merge.merge_by_key(state, batch, keys), "rolling")
+    late = flat(traces.late_rows(marked, "at", ["stage"], width, slide))
+    counts = _fold(t, late, t.spark.createDataFrame([], "window_start BIGINT, stage STRING, late BIGINT"),
+                   folds.count_step(keys, "late"), "late", "append")
+    return on_time.join(counts, keys, "full_outer").select(
+        *keys, F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("failures", F.lit(0)).alias("failures"),
+        "seconds", "slowest", "tokens", F.coalesce("late", F.lit(0)).alias("late"))
 
 
 @query("t4_tumbling_operations", _ROLL.replace(

@@ -53,8 +53,14 @@ def _cls(x: str) -> str:
 _SKEW = ("CASE WHEN {k} < 4 THEN 0 WHEN {k} < 6 THEN 1 ELSE {k} - 4 END")
 
 
+def padded(x: str) -> str:
+    """A number as text of nine digits or more; padding alone would cut longer ones."""
+    text = f"CAST({x} AS STRING)"
+    return f"lpad({text}, CAST(greatest(9, length({text})) AS INT), '0')"
+
+
 def _id(prefix: str, x: str) -> str:
-    return f"'{prefix}' || lpad(CAST({x} AS STRING), 9, '0')"
+    return f"'{prefix}' || {padded(x)}"
 
 
 VIEWS: dict[str, str] = {
@@ -177,14 +183,14 @@ VIEWS: dict[str, str] = {
                END AS raw
         FROM calls""",
     "votes": f"""
-        SELECT 'V' || lpad(CAST(CAST(floor(event_id / 4) AS BIGINT) AS STRING), 9, '0') AS record_id,
+        SELECT {_id('V', 'CAST(floor(event_id / 4) AS BIGINT)')} AS record_id,
                event_id % 4 AS vote_no,
                CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'broken'
                     ELSE '{{"case_type": "' || {_cls('CAST(floor(k / 40) AS BIGINT)')}
                          || '", "priority": "LOW"}}' END AS raw
         FROM calls""",
     "token_streams": f"""
-        SELECT 'T' || lpad(CAST(event_id AS STRING), 9, '0') AS record_id,
+        SELECT {_id('T', 'event_id')} AS record_id,
                {_cls('k % 6')} AS case_type,
                '{{"types": "POLICY_QUERY CLAIM OTHER"' AS tok1, ', "case' AS tok2,
                CASE WHEN k % 13 = 0 THEN 'type": "' ELSE '_type": "' END AS tok3,
@@ -195,12 +201,11 @@ VIEWS: dict[str, str] = {
                (0 - (event_id % 3)) / 30.0E0 AS lp3, (0 - (k % 50)) / 100.0E0 AS lp4,
                (0 - (event_id % 11)) / 200.0E0 AS lp5, -0.01E0 AS lp6
         FROM calls WHERE event_type <> 'error'""",
-    "enquiry_lines": """
+    "enquiry_lines": f"""
         SELECT event_id AS line_no,
                CASE WHEN event_type = 'view' AND event_id % 10 = 0 THEN '  '
                     WHEN event_type <> 'error' THEN
-                      '{{"id": "ENQ-' || lpad(CAST(CASE WHEN event_id % 97 = 5 THEN event_id - 1
-                          ELSE event_id END AS STRING), 9, '0')
+                      '{{"id": "ENQ-' || {padded('CASE WHEN event_id % 97 = 5 THEN event_id - 1 ELSE event_id END')}
                       || '", "subject": "' || event_type || '", "body": "k is '
                       || CAST(k AS STRING) || '"}}'
                     ELSE CASE event_id % 5
@@ -210,7 +215,7 @@ VIEWS: dict[str, str] = {
                       WHEN 3 THEN '{{"id": "ENQ-000000001", "subject": "s", "body": 7}}'
                       ELSE '{{"id": "ENQ-000000001", "subject": "s", "body": "b", "x": 1}}' END
                END AS value
-        FROM calls""".replace("{{", "{").replace("}}", "}"),
+        FROM calls""",
     # ---- traces and prices -------------------------------------------------------------
     "traces": f"""
         SELECT event_id, {_id('E', 'CAST(floor(event_id / 2) AS BIGINT)')} AS record_id,
@@ -395,11 +400,11 @@ VIEWS: dict[str, str] = {
         SELECT 'set-' || CAST(CAST(floor(o_orderkey / 24) AS BIGINT) AS STRING) AS set_name,
                o_orderkey, o_custkey,
                CAST(CASE WHEN o_custkey % 211 = 0 THEN 3 ELSE o_orderkey % 4 END AS INT) AS expected_band,
-               'JV-' || lpad(CAST(CAST(floor(o_orderkey / 4) AS BIGINT) AS STRING), 9, '0') || '-'
+               {_id('JV-', 'CAST(floor(o_orderkey / 4) AS BIGINT)')} || '-'
                  || chr(65 + CAST(CASE WHEN o_custkey % 199 = 0 THEN 0 ELSE o_orderkey % 4 END AS INT))
                  AS variant_id,
-               'ENQ-' || lpad(CAST(CAST(floor(o_orderkey / 4) AS BIGINT)
-                 + CASE WHEN o_custkey % 223 = 0 THEN 1 ELSE 0 END AS STRING), 9, '0') AS record_id,
+               {_id('ENQ-', 'CAST(floor(o_orderkey / 4) AS BIGINT) + CASE WHEN o_custkey % 223 = 0 THEN 1 ELSE 0 END')}
+                 AS record_id,
                'reply ' || CAST(CASE WHEN o_custkey % 97 = 0 THEN o_orderkey - o_orderkey % 3
                                      ELSE o_orderkey END AS STRING) AS draft_reply,
                CAST(CASE WHEN o_custkey % 151 = 0 THEN 5 WHEN o_orderkey % 4 = 3 THEN 0

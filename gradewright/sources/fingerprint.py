@@ -19,15 +19,16 @@ def table_fingerprints(rows: DataFrame, group: Sequence[str],
                        columns: Sequence[str]) -> DataFrame:
     """Order-free content fingerprint per group: row count and a sum of row hashes.
 
-    Each row hash is the first 32 bits of SHA-256 over the delimited columns.
-    A sum does not depend on row order or partitioning and combines map-side,
+    Two independent sums of 60 bits each of the SHA-256 over the delimited columns. A sum does not depend on row order or partitioning and combines map-side,
     so one huge group costs no more than many small ones.
     """
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
                                  for c in columns])
-    row_hash = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("decimal(38,0)")
-    return rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(row_hash).cast("decimal(38,0)").alias("fingerprint"))
+    hashed = rows.select(*group, F.sha2(text, 256).alias("_h"))
+    sums = [F.sum(F.conv(F.substring("_h", start, 15), 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)")
+            .cast("string") for start in (1, 16)]
+    return hashed.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.concat_ws("-", *sums).alias("fingerprint"))
 
 
 def drift(current: DataFrame, manifest: DataFrame, keys: Sequence[str],

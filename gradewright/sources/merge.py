@@ -23,9 +23,25 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
-def merge_by_key(existing: DataFrame, regenerated: DataFrame,
-                 keys: Sequence[str]) -> DataFrame:
-    """Regenerated rows replace existing ones with the same key; the rest stay."""
+def latest_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row per key in the given order: a map-side aggregate, no sort of a key's rows.
+
+    Of rows that tie in the order, the one with the largest values stays.
+    """
+    whole = F.struct(*rows.columns)
+    last = rows.groupBy(*keys).agg(F.max_by(whole, F.struct(*order, whole)).alias("_last"))
+    return last.select("_last.*")
+
+
+def merge_by_key(existing: DataFrame, regenerated: DataFrame, keys: Sequence[str],
+                 order: Sequence[str] = ()) -> DataFrame:
+    """Regenerated rows replace existing ones with the same key; the rest stay.
+
+    With ``order``, columns of the regenerated rows only, the last writer of a key wins;
+    without it their keys must be unique.
+    """
+    if order:
+        regenerated = latest_by_key(regenerated, keys, order).drop(*order)
     kept = existing.join(regenerated.select(*keys).distinct(), list(keys), "left_anti")
     return kept.unionByName(regenerated)
 

@@ -32,6 +32,14 @@ def sums_step(keys: Sequence[str], value: str = "score"):
     return step
 
 
+def count_step(keys: Sequence[str], name: str = "n"):
+    """Fold a batch of rows into row counts per key."""
+    def step(state: DataFrame, batch: DataFrame) -> DataFrame:
+        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        return state.unionByName(counts).groupBy(*keys).agg(F.sum(name).alias(name))
+    return step
+
+
 def finished_cells(sums: DataFrame, expected: int, cell: str, metrics: int) -> DataFrame:
     """Cells whose every metric has at least the expected number of scores."""
     per_cell = sums.groupBy(cell).agg(F.count_if(F.col("n") >= expected).alias("_done"))

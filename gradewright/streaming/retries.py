@@ -78,10 +78,13 @@ class RetryResolver(StatefulProcessor):
                 else:
                     failed |= 1 << (attempt - 1)
         decided = self._decide(seen, failed, ok, refused, force=False)
-        self.state.update((seen, failed, ok, refused, payload, decided is not None))
         if decided is not None:
+            # The mark that a call is decided is all that has to stay.
+            self.state.update((0, 0, 0, 0, None, True))
             yield self._row(key, *decided, payload if decided[0] == "ok" else None)
-        elif self.timeout_ms is not None:
+            return
+        self.state.update((seen, failed, ok, refused, payload, False))
+        if self.timeout_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(
@@ -94,7 +97,7 @@ class RetryResolver(StatefulProcessor):
         if done:
             return
         decided = self._decide(seen, failed, ok, refused, force=True)
-        self.state.update((seen, failed, ok, refused, payload, True))
+        self.state.update((0, 0, 0, 0, None, True))
         yield self._row(key, *decided, payload if decided[0] == "ok" else None)
 
     def close(self) -> None:

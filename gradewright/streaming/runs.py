@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,24 +28,51 @@ def version_path(root: str, version: int) -> str:
     return f"{root}/{VERSION}={version:09d}"
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions that were written to their end, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    found = (int(n.split("=")[1]) for n in names if re.fullmatch(VERSION + r"=\d+", n))
+    return sorted(v for v in found if fs.exists(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{version_path(root, v)}/_SUCCESS")))
+
+
+def _drop(spark: SparkSession, root: str, version: int) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(version_path(root, version))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def start_versions(stream: DataFrame, root: str, checkpoint: str,
-                   step: Callable[[DataFrame, DataFrame], DataFrame], mode: str = "update"
-                   ) -> StreamingQuery:
+                   step: Callable[[DataFrame, DataFrame], DataFrame], mode: str = "update",
+                   keep: int = 2) -> StreamingQuery:
     """Fold micro-batches into a versioned table: version n+1 = step(version n, batch n).
 
     A version is written from the one before it and never over the path being
     read; a replayed batch rewrites only its own version, so the fold is
-    idempotent. ``root`` must hold version 0.
+    idempotent. ``root`` must hold version 0. The last ``keep`` versions stay (two at
+    least: a batch that is replayed after a failure reads the one before its own).
     """
+    if keep < 2:
+        raise ValueError("keep at least two versions")
+
     def apply(batch: DataFrame, number: int) -> None:
-        state = batch.sparkSession.read.parquet(version_path(root, number))
+        spark = batch.sparkSession
+        state = spark.read.parquet(version_path(root, number))
         step(state, batch).write.mode("overwrite").parquet(version_path(root, number + 1))
+        for old in _versions(spark, root):
+            if old <= number + 1 - keep:
+                _drop(spark, root, old)
 
     return (stream.writeStream.outputMode(mode).foreachBatch(apply)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest(spark: SparkSession, query: StreamingQuery, root: str) -> DataFrame:
-    """The newest version after a run has ended."""
-    last = query.lastProgress
-    return spark.read.parquet(version_path(root, last["batchId"] + 1 if last else 0))
+def latest(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete version, whichever run wrote it."""
+    found = _versions(spark, root)
+    if not found:
+        raise FileNotFoundError(f"no complete version under {root}")
+    return spark.read.parquet(version_path(root, found[-1]))

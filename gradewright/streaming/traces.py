@@ -34,28 +34,43 @@ def sealed_traces(stream: DataFrame, key: str | None = None) -> DataFrame:
     return encrypt(valid_traces(stream), key)
 
 
+def sealed_rejects(stream: DataFrame, key: str | None = None) -> DataFrame:
+    """Rejected traces, encrypted like the others, so that none is lost."""
+    return encrypt(rejected_traces(stream), key)
+
+
 def split_late(stream: DataFrame, at: str, arrived: str, delay: str) -> DataFrame:
     """Mark rows that arrived later than the delay, so they can be counted apart."""
     return stream.withColumn("late", F.col(arrived) > F.col(at) + F.expr(f"INTERVAL {delay}"))
 
 
+def _span(at: str, width: str, slide: str | None) -> Column:
+    return (F.window(at, width, slide) if slide else F.window(at, width)).alias("window")
+
+
 def rolling_operations(stream: DataFrame, at: str, keys: Sequence[str], width: str,
                        slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Calls, failures, latency sums, maxima and tokens per event-time window.
+    """Calls, failures, latency sums, maxima and tokens of on-time rows per event-time window.
+
+    All aggregates are mergeable, so state per window and key is a few numbers, dropped
+    by the watermark. Late rows are left to ``late_rows``: the watermark may already have
+    passed their window.
+    """
+    return (stream.filter(~F.col("late")).withWatermark(at, delay)
+            .groupBy(_span(at, width, slide), *keys).agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.count_if(~F.col("success")).alias("failures"),
+        F.sum("seconds").alias("seconds"), F.max("seconds").alias("slowest"),
+        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens")))
+
+
+def late_rows(stream: DataFrame, at: str, keys: Sequence[str], width: str,
+              slide: str | None = None) -> DataFrame:
+    """Late rows with each window they fall into: no watermark and no state, so none is lost.
 
-    All aggregates are mergeable, so state per window and key is a few numbers.
-    Late rows only raise ``late``.
+    Count them batch by batch (``folds.count_step``).
     """
-    span = F.window(at, width, slide) if slide else F.window(at, width)
-    on_time = ~F.col("late")
-    return (stream.withWatermark(at, delay).groupBy(span.alias("window"), *keys).agg(
-        F.count_if(on_time).alias("calls"),
-        F.count_if(on_time & ~F.col("success")).alias("failures"),
-        F.sum(F.when(on_time, F.col("seconds"))).alias("seconds"),
-        F.max(F.when(on_time, F.col("seconds"))).alias("slowest"),
-        F.sum(F.when(on_time, F.col("prompt_tokens") + F.col("completion_tokens")))
-        .alias("tokens"),
-        F.count_if(F.col("late")).alias("late")))
+    return stream.filter("late").select(_span(at, width, slide), *keys)
 
 
 def correlate_stages(triage: DataFrame, draft: DataFrame, bound: str, delay: str = "1 hour"

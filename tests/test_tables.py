@@ -264,3 +264,57 @@ def test_first_valid_decision_wins_and_decided_items_stay(rows):
     assert state == {"a": ("edit", "better"), "b": (None, None), "c": ("accept", None)}
     accepted = review.first_decisions(log, queue).collect()
     assert [(r.decision, r.reviewer_text) for r in accepted] == [("accept", None)]
+
+
+def test_ids_of_ten_digits_stay_apart(spark, rows):
+    from gradewright.operators import sample
+    from gradewright.plans import views
+    numbers = [7, 123456789, 999999999, 1234567890, 1234567891, 10 ** 15]
+    frame = rows([(n,) for n in numbers], "n LONG")
+    padded = [r.p for r in frame.selectExpr(f"{views.padded('n')} AS p").collect()]
+    assert padded == [f"{n:09d}" for n in numbers]
+    offset = 999_999_998  # positions past nine digits, as in a table of over 10**9 rows
+    ids = [r.i for r in rows([(k,) for k in range(1, 6)], "position LONG").select(
+        sample.padded_id("BR-", F.col("position") + offset).alias("i")).collect()]
+    assert ids == [f"BR-{offset + k:09d}" for k in range(1, 6)] and len(set(ids)) == 5
+
+
+def test_padding_reads_the_same_in_sql():
+    import duckdb
+    from gradewright.plans import views
+    for n in (1, 999999999, 1234567890):
+        assert duckdb.sql(f"SELECT {views.padded(str(n))}").fetchall() == [(f"{n:09d}",)]
+
+
+def test_last_writer_wins(rows):
+    old = rows([(1, "a"), (2, "b")], "id INT, v STRING")
+    new = rows([(2, "x", 1), (2, "y", 3), (2, "z", 2), (3, "n", 1)], "id INT, v STRING, turn INT")
+    got = {(r.id, r.v) for r in merge.merge_by_key(old, new, ["id"], ["turn"]).collect()}
+    assert got == {(1, "a"), (2, "y"), (3, "n")}
+
+
+def test_repeated_scores_are_reported_and_do_not_lift(rows):
+    from gradewright.operators import gate
+    scores = rows([("c", "m", 0.9), ("c", "m", 0.2), ("c", "k", None)], "combination STRING, metric STRING, value DOUBLE")
+    assert [tuple(r) for r in gate.duplicate_scores(scores).collect()] == [("c", "m", 2)]
+    assert gate.score_map(scores).first()["_scores"] == {"m": 0.2, "k": None}
+
+
+def test_required_n_is_taken_at_the_overall_accuracy(rows):
+    from gradewright.operators import calibrate
+    pairs = rows([(0.95, i < 81) for i in range(90)] + [(0.55, i < 9) for i in range(10)], "confidence DOUBLE, correct BOOLEAN")
+    got = calibrate.calibration_intervals(calibrate.calibration_table(pairs)).collect()
+    assert {r.required_n for r in got} == {139} and len(got) == 2
+
+
+def test_cell_verdicts_leave_unmeasured_metrics_null(rows):
+    from gradewright import fixed
+    from gradewright.operators import gate
+    cells = rows([("good", 1.0, 0.0), ("slow", 1.0, 0.03), ("bad", 0.5, 0.0), ("none", None, 0.0)],
+                 "cell STRING, v DOUBLE, rate DOUBLE")
+    every = {*fixed.HARD_BARS, *fixed.TRIAGE_WEIGHTS, *fixed.DRAFT_WEIGHTS["recorded"]}
+    got = {r.cell: r for r in gate.cell_verdicts(cells, {m: F.col("v") for m in every}, F.col("rate"), ["cell"]).collect()}
+    assert (got["good"].verdict, round(got["good"].published, 9), got["good"].missed) == ("PASS", 1.0, [])
+    assert (got["slow"].verdict, got["slow"].missed, got["slow"].published) == ("DISQUALIFIED", ["schema failure rate"], None)
+    assert got["bad"].breaches == len(fixed.HARD_BARS)
+    assert (got["none"].verdict, got["none"].diagnostic) == ("PASS", None)
