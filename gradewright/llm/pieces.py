@@ -89,7 +89,10 @@ class Vocabulary:
 
 
 class DoubleArray:
-    """Trie over byte strings: child of node s by byte c is base[s] + c + 1 if check[] there is s."""
+    """Trie over byte strings: child of node s by byte c is base[s] + c + 1 if check[] there is s.
+
+    A base may be negative; places before the first then fall on the free cells at the end.
+    """
 
     def __init__(self, keys: dict[bytes, int]) -> None:
         size = 1 << 16
@@ -106,36 +109,30 @@ class DoubleArray:
             codes = np.array(sorted(children[prefix])) + 1
             if not len(codes):
                 continue
+            window = 512
             while True:
-                free = np.flatnonzero(check[first_free:len(check) - 257] == -1) + first_free
-                starts = free - codes[0]
-                starts = starts[starts >= 0]
-                fit = starts[(check[starts[:, None] + codes] == -1).all(axis=1)] if len(starts) < 4096 \
-                    else np.zeros(0, int)
-                if len(starts) >= 4096:
-                    for i in range(0, len(starts), 2048):
-                        part = starts[i:i + 2048]
-                        fit = part[(check[part[:, None] + codes] == -1).all(axis=1)]
-                        if len(fit):
-                            break
-                if len(fit):
+                while first_free + window + 257 > len(check):
+                    grow = len(check)
+                    base = np.concatenate([base, np.zeros(grow, np.int32)])
+                    check = np.concatenate([check, np.full(grow, -1, np.int32)])
+                    value = np.concatenate([value, np.full(grow, -1, np.int32)])
+                starts = np.flatnonzero(check[first_free:first_free + window] == -1) + first_free - codes[0]
+                for code in codes[1:]:
+                    starts = starts[check[starts + code] == -1]
+                if len(starts):
                     break
-                grow = len(check)
-                base = np.concatenate([base, np.zeros(grow, np.int32)])
-                check = np.concatenate([check, np.full(grow, -1, np.int32)])
-                value = np.concatenate([value, np.full(grow, -1, np.int32)])
+                window *= 4
             s = place.pop(prefix)
-            base[s] = fit[0]
-            check[fit[0] + codes] = s
+            base[s] = starts[0]
+            check[starts[0] + codes] = s
             for code in codes:
                 key = prefix + bytes([code - 1])
-                at = int(fit[0] + code)
+                at = int(starts[0] + code)
                 value[at] = keys.get(key, -1)
                 if key in children:
                     place[key] = at
-            if check[first_free] != -1:
-                rest = np.flatnonzero(check[first_free:] == -1)
-                first_free += int(rest[0]) if len(rest) else len(check) - first_free
+            while first_free < len(check) and check[first_free] != -1:
+                first_free += 1
         self.base, self.check, self.value = base, check, value
 
     def find(self, key: bytes) -> int:
@@ -177,10 +174,12 @@ class Codec:
         self.raw = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if k == BYTE
                     else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds)]
         self.raw[self.unk_id] = " ⁇ ".encode()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # Units searched lately: their number, and their ids in pieces of (ids, sizes).
+        self.known: dict[str, int] = {}
+        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"known": {}, "chunks": []}
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -188,7 +187,7 @@ class Codec:
         text = (" " if self.vocabulary.dummy_prefix else "") + text.replace(MARK, " ")
         return re.findall(" *[^ ]+| +", text) if self.splits else [text]
 
-    def _emit(self, unit: bytes, cuts: list[tuple[int, int, int]]) -> tuple[int, ...]:
+    def _emit(self, unit: bytes, cuts: list[tuple[int, int, int]]) -> list[int]:
         out: list[int] = []
         for piece, a, b in cuts:
             if piece >= 0:
@@ -197,9 +196,9 @@ class Codec:
                 out.extend(self.byte_ids[c] for c in unit[a:b])
             else:
                 out.append(self.unk_id)
-        return tuple(out)
+        return out
 
-    def search(self, unit: bytes) -> tuple[int, ...]:
+    def search(self, unit: bytes) -> list[int]:
         """Best segmentation of one unit; of equal sums, the one whose last piece starts first."""
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         n = len(unit)
@@ -228,25 +227,28 @@ class Codec:
             at = start
         return self._emit(unit, cuts[::-1])
 
-    def search_many(self, units: list[bytes]) -> list[tuple[int, ...]]:
-        """``search`` for many units of at most SHORT bytes at once."""
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
+    def search_many(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` for many units at once: all ids in a row, and how many each unit has.
+
+        Place by place, all units that have a character there walk the trie together. The
+        padding is a byte that no piece holds, so a walk ends at the end of its unit.
+        """
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         n, wide = len(units), max(map(len, units))
         size = np.array(list(map(len, units)))
-        text = np.frombuffer(b"".join(u.ljust(wide, b"\0") for u in units), np.uint8).reshape(n, wide)
-        chars = _CHAR_BYTES[text]
-        starts = (text & 0xC0) != 0x80
-        best = np.full((n, wide + 1), -np.inf)
-        best[:, 0] = 0
-        came, took = np.zeros((n, wide + 1), np.int64), np.full((n, wide + 1), -1, np.int32)
+        text = np.ascontiguousarray(np.frombuffer(
+            b"".join(u.ljust(wide, b"\0") for u in units), np.uint8).reshape(n, wide).T)
+        best = np.full((wide + 5, n), -np.inf)
+        best[0] = 0
+        came, took = np.zeros((wide + 5, n), np.int32), np.full((wide + 5, n), -1, np.int32)
         for s in range(wide):
-            live = np.flatnonzero((size > s) & starts[:, s])
-            rows, node = live, np.zeros(len(live), np.int32)
+            live = np.flatnonzero((size > s) & ((text[s] & 0xC0) != 0x80))
+            chars = _CHAR_BYTES[text[s]]
+            here = best[s]
+            rows, node = live, 0
             single = np.zeros(n, bool)
             for e in range(s, wide):
-                inside = size[rows] > e
-                rows, node = rows[inside], node[inside]
-                t = base[node] + text[rows, e] + 1
+                t = base[node] + text[e][rows] + 1
                 ok = check[t] == node
                 rows, node = rows[ok], t[ok]
                 if not len(rows):
@@ -254,40 +256,65 @@ class Codec:
                 piece = value[node]
                 has = piece >= 0
                 r, p = rows[has], piece[has]
-                single[r[chars[r, s] == e + 1 - s]] = True
-                total = best[r, s] + self.scores[p]
-                better = total > best[r, e + 1]
+                if e < s + 4:
+                    single[r[chars[r] == e + 1 - s]] = True
+                total = here[r] + scores[p]
+                end = best[e + 1]
+                better = total > end[r]
                 r = r[better]
-                best[r, e + 1], came[r, e + 1], took[r, e + 1] = total[better], s, p[better]
+                end[r], came[e + 1][r], took[e + 1][r] = total[better], s, p[better]
             r = live[~single[live]]
-            end = s + chars[r, s]
-            total = best[r, s] + self.unknown
-            better = total > best[r, end]
-            r, end = r[better], end[better]
-            best[r, end], came[r, end], took[r, end] = total[better], s, -1
+            if len(r):
+                end = s + np.minimum(chars[r], size[r] - s)
+                total = here[r] + self.unknown
+                better = total > best[end, r]
+                r, end = r[better], end[better]
+                best[end, r], came[end, r], took[end, r] = total[better], s, -1
         at, live, steps = size.copy(), np.arange(n), []
         while len(live):
-            steps.append((live, took[live, at[live]], came[live, at[live]], at[live]))
-            at[live] = came[live, at[live]]
-            live = live[at[live] > 0]
-        cuts: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-        for live, pieces, a, b in reversed(steps):
-            for i, *cut in zip(live.tolist(), pieces.tolist(), a.tolist(), b.tolist()):
-                cuts[i].append(cut)
-        return [self._emit(u, c) for u, c in zip(units, cuts)]
+            ends = at[live]
+            starts = came[ends, live]
+            steps.append((live, took[ends, live], starts, ends))
+            at[live] = starts
+            live = live[starts > 0]
+        unit, piece, a, b = map(np.concatenate, zip(*steps))
+        unknown = piece < 0
+        if unknown.any() and self.byte_ids:
+            byte_of = np.array([self.byte_ids.get(i, self.unk_id) for i in range(256)])
+            extra = [(unit[unknown & (b - a > k)], a[unknown & (b - a > k)] + k) for k in range(4)]
+            u, place = map(np.concatenate, zip(*extra))
+            unit, a = np.r_[unit[~unknown], u], np.r_[a[~unknown], place]
+            piece = np.r_[piece[~unknown], byte_of[text[place, u]]]
+        else:
+            piece = np.where(unknown, self.unk_id, piece)
+        order = np.argsort(unit * np.int64(wide) + a)
+        return piece[order].astype(np.int32), np.bincount(unit, minlength=n)
 
     def learn(self, units: set[str]) -> None:
-        """Search the units that are not in the cache."""
-        new = [u for u in units if u not in self.cache]
+        """Search the units that are not known yet and add their ids to the store."""
+        new = [u for u in units if u not in self.known]
         raw = [u.replace(" ", MARK).encode() for u in new]
         order = sorted((i for i in range(len(new)) if len(raw[i]) <= SHORT), key=lambda i: len(raw[i]))
         for a in range(0, len(order), LOT):
             part = order[a:a + LOT]
-            for i, ids in zip(part, self.search_many([raw[i] for i in part])):
-                self.cache[new[i]] = ids
+            self._store([new[i] for i in part], *self.search_many([raw[i] for i in part]))
         for u, r in zip(new, raw):
             if len(r) > SHORT:
-                self.cache[u] = self.search(r)
+                ids = self.search(r)
+                self._store([u], np.array(ids, np.int32), np.array([len(ids)]))
+
+    def _store(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.known)
+        self.known.update(zip(units, range(first, first + len(units))))
+        self.chunks.append((ids, sizes))
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All stored ids, and the start and number of each unit's."""
+        if len(self.chunks) != 1:
+            self.chunks = [tuple(map(np.concatenate, zip(*self.chunks)))] if self.chunks else \
+                [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        ids, sizes = self.chunks[0]
+        return ids, np.cumsum(sizes) - sizes, sizes
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; a null text gives null, an empty one no ids."""
@@ -299,13 +326,17 @@ class Codec:
                 size += len(texts[end] or "")
                 end += 1
             parts = [self.units(t or "") for t in texts[start:end]]
-            if len(self.cache) > CACHED:
-                self.cache.clear()
+            if len(self.known) > CACHED:
+                self.known, self.chunks = {}, []
             self.learn(set(itertools.chain.from_iterable(parts)))
-            look = self.cache.__getitem__
+            ids, starts, sizes = self._tables()
+            look = self.known.__getitem__
             for text, part in zip(texts[start:end], parts):
-                out.append(None if text is None else np.fromiter(
-                    itertools.chain.from_iterable(map(look, part)), np.int32))
+                which = np.fromiter(map(look, part), np.int64, len(part))
+                many = sizes[which]
+                ends = np.cumsum(many)
+                places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + many, many)
+                out.append(None if text is None else ids[places])
             start = end
         return out
 
@@ -366,7 +397,8 @@ def decode(rows: DataFrame, codec: Codec, ids: str = "token_ids", out: str = "de
 def digests(rows: DataFrame, codec: Codec, ids: str = "token_ids", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_sha256 (of little-endian int32) and round_trip."""
     shared = rows.sparkSession.sparkContext.broadcast(codec)
-    byte_ids = np.array(sorted(codec.byte_ids.values()), np.int32)
+    is_byte = np.zeros(len(codec.raw), bool)
+    is_byte[list(codec.byte_ids.values())] = True
 
     def run(batches):
         for batch in batches:
@@ -374,7 +406,7 @@ def digests(rows: DataFrame, codec: Codec, ids: str = "token_ids", text: str = "
             for v, t in zip(batch[ids], batch[text]):
                 found = v.values.to_numpy() if v.is_valid else np.zeros(0, np.int32)
                 out["n_tokens"].append(len(found))
-                out["n_byte_tokens"].append(int(np.isin(found, byte_ids).sum()))
+                out["n_byte_tokens"].append(int(is_byte[found].sum()))
                 out["ids_sha256"].append(hashlib.sha256(found.astype("<i4").tobytes()).hexdigest())
                 out["round_trip"].append(shared.value.decode(found) == (t.as_py() or ""))
             yield pa.RecordBatch.from_arrays(

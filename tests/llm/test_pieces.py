@@ -66,7 +66,10 @@ def test_vectorised_search_equals_the_plain_one(codec):
     r = random.Random(2)
     units = [("▁" + "".join(r.choice("abcdeéß漢😀▁ ") for _ in range(r.randint(0, 9)))).encode()[:pieces.SHORT] for _ in range(400)]
     units = [u for u in units if u.decode("utf-8", "ignore").encode() == u]
-    assert codec.search_many(units) == [codec.search(u) for u in units]
+    ids, sizes = codec.search_many(units)
+    ends = np.cumsum(sizes).tolist()
+    got = [ids[e - n:e].tolist() for e, n in zip(ends, sizes.tolist())]
+    assert got == [codec.search(u) for u in units]
 
 
 def test_search_is_optimal_by_brute_force(codec):
@@ -102,6 +105,15 @@ def test_frames_nulls_long_texts_and_clashing_names(spark, rows, codec):
     assert pieces.encode(rows([], "doc_id long, text string"), codec).count() == 0
 
 
+def test_small_stores_and_groups_change_nothing(codec, monkeypatch):
+    texts = TEXTS + ["some more words", None]
+    want = [None if x is None else x.tolist() for x in codec.encode(texts)]
+    for name, value in (("CACHED", 3), ("GROUP_CHARS", 10), ("LOT", 2), ("SHORT", 4)):
+        monkeypatch.setattr(pieces, name, value)
+        codec.known, codec.chunks = {}, []
+        assert [None if x is None else x.tolist() for x in codec.encode(texts)] == want
+
+
 def test_bad_ids_fail(codec):
     with pytest.raises(IndexError):
         codec.decode(np.array([-1]))
