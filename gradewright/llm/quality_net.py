@@ -2,8 +2,8 @@
 
 Every byte window of the whole text meets FILTERS learned filters. Responses are
 max-pooled over chunks of 2 * HALF bytes that overlap by half, so the chunks cover
-the whole document; a small hidden layer reads each chunk, and the mean over chunks
-gives one probability. As a filter's response is a sum of table entries (one per
+the whole document; a small hidden layer reads each chunk's maxima and how full the
+chunk is, and the mean over chunks gives one probability. As a filter's response is a sum of table entries (one per
 byte of the window), a chunk costs WIDTH look-ups per byte, and a text of any length
 is worked through in strips of fixed size.
 """
@@ -23,7 +23,7 @@ from .training import labelled_sample, sample_texts
 WIDTH, FILTERS, HIDDEN, HALF = 6, 16, 8, 256
 PAD = 256  # the symbol after the end of a text
 STRIP = 192  # half-chunks worked on at a time
-PER_CLASS = 800  # labelled documents of each class used for training, at most
+PER_CLASS = 1500  # labelled documents of each class used for training, at most
 TRAIN_HALVES = 12  # half-chunks of a training document, spread evenly over it, at most
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 11
 THRESHOLD = 0.3
@@ -38,13 +38,18 @@ def halves(text: str | None) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (n, HALF + WIDTH - 1), (HALF * 2, 2))
 
 
+def filled(rows: np.ndarray) -> np.ndarray:
+    """Share of each half-chunk that is text."""
+    return (rows[:, :HALF] != PAD).mean(axis=1, dtype=np.float32)
+
+
 @dataclass
 class Net:
     """table[j, s]: response of each filter to symbol s at place j of the window."""
 
     table: np.ndarray   # (WIDTH, 257, FILTERS)
     bias: np.ndarray    # (FILTERS,)
-    hidden: np.ndarray  # (FILTERS, HIDDEN)
+    hidden: np.ndarray  # (FILTERS + 1, HIDDEN), the last row for the filled share
     hbias: np.ndarray   # (HIDDEN,)
     out: np.ndarray     # (HIDDEN,)
     obias: np.ndarray   # (1,)
@@ -57,7 +62,7 @@ class Net:
         code, window = r.normal(size=(257, 8)), r.normal(size=(WIDTH, 8, FILTERS))
         f4 = np.float32
         return cls((np.einsum("sd,jdf->jsf", code, window) * 0.15).astype(f4), np.zeros(FILTERS, f4),
-                   (r.normal(size=(FILTERS, HIDDEN)) * 0.35).astype(f4), np.zeros(HIDDEN, f4),
+                   (r.normal(size=(FILTERS + 1, HIDDEN)) * 0.35).astype(f4), np.zeros(HIDDEN, f4),
                    (r.normal(size=HIDDEN) * 0.35).astype(f4), np.zeros(1, f4))
 
     def params(self) -> list[np.ndarray]:
@@ -74,14 +79,22 @@ class Net:
         return np.concatenate([self.respond(rows[i:i + STRIP]).max(axis=1)
                                for i in range(0, len(rows), STRIP)])
 
-    def logit(self, pooled: np.ndarray) -> float:
+    def _read(self, chunk: np.ndarray, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and outputs of the hidden layer for each chunk."""
+        two = len(fill) > 1
+        own = (fill[:-1] + fill[1:]) / 2 if two else fill / 2
+        a = np.concatenate([np.maximum(chunk + self.bias, 0), own[:, None]], axis=1)
+        return a, np.maximum(a @ self.hidden + self.hbias, 0)
+
+    def logit(self, pooled: np.ndarray, fill: np.ndarray) -> float:
         """One document's logit from its half-chunk maxima."""
         chunk = np.maximum(pooled[:-1], pooled[1:]) if len(pooled) > 1 else pooled
-        h = np.maximum(np.maximum(chunk + self.bias, 0) @ self.hidden + self.hbias, 0)
+        _, h = self._read(chunk, fill)
         return float(h.mean(axis=0) @ self.out + self.obias[0])
 
     def probability(self, text: str | None) -> float:
-        return float(sigmoid(self.logit(self.pool(halves(text)))))
+        rows = halves(text)
+        return float(sigmoid(self.logit(self.pool(rows), filled(rows))))
 
     def gradient(self, docs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
         """Gradient of the mean log loss over a few documents."""
@@ -94,14 +107,13 @@ class Net:
         pooled = sum(self.table[j][at[j], f] for j in range(WIDTH))
         g = [np.zeros(p.shape, np.float64) for p in self.params()]
         back = np.zeros_like(pooled)
-        start = 0
+        start, fill = 0, filled(rows)
         for size, target in zip(sizes, y):
             p = pooled[start:start + size]
             two = size > 1
             left = p[:-1] >= p[1:] if two else np.ones_like(p, bool)
             chunk = np.where(left, p[:-1], p[1:]) if two else p
-            a = np.maximum(chunk + self.bias, 0)
-            h = np.maximum(a @ self.hidden + self.hbias, 0)
+            a, h = self._read(chunk, fill[start:start + size])
             mean = h.mean(axis=0)
             e = (sigmoid(mean @ self.out + self.obias[0]) - target) / len(docs)
             g[4] += e * mean
@@ -109,7 +121,7 @@ class Net:
             gh = (h > 0) * (e * self.out / len(h))
             g[2] += a.T @ gh
             g[3] += gh.sum(axis=0)
-            ga = (gh @ self.hidden.T) * (a > 0)
+            ga = (gh @ self.hidden[:FILTERS].T) * (a[:, :FILTERS] > 0)
             g[1] += ga.sum(axis=0)
             if two:
                 back[start:start + size - 1] += ga * left

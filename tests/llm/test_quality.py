@@ -99,7 +99,7 @@ def test_gradient_of_the_net():
     y = np.array([1.0, 0.0])
 
     def loss():
-        z = [net.logit(net.pool(d)) for d in docs]
+        z = [net.logit(net.pool(d), qn.filled(d)) for d in docs]
         return np.mean([np.logaddexp(0, -v) if t else np.logaddexp(0, v) for v, t in zip(z, y)])
     grads = net.gradient(docs, y)
     for p, g in zip(net.params(), grads):
