@@ -56,38 +56,49 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner")
     return cold.unionByName(warm)
 
 
+def _with_lowest(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with m, the smallest v of their u.
+
+    A u with over 1/HOT_KEYS of the edges is looked up in a broadcast table (at most
+    HOT_KEYS rows); no other u is large in the shuffle join.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+    hot = low.filter(F.col("c") * HOT_KEYS > total).select("u", F.col("m").alias("hot_m"))
+    looked_up = edges.join(F.broadcast(hot), "u", "left")
+    cold = looked_up.filter("hot_m is null").drop("hot_m").join(low.drop("c"), "u")
+    return looked_up.filter("hot_m is not null").withColumnRenamed("hot_m", "m").unionByName(cold)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node can reach over undirected edges.
 
-    Alternates large-star and small-star rounds, so long chains fold in a
-    logarithmic number of rounds. Minima are map-side aggregates; nodes with very
-    many edges are joined by broadcast (``join_by_key``). Every round is a written
-    table: a lost executor costs one round.
+    Alternates large-star and small-star rounds until only stars are left, so long chains
+    fold in a logarithmic number of rounds. Minima are map-side aggregates. Every step is
+    a written table: a lost executor costs one step. Nodes without any edge to another
+    node are their own component.
     """
-    spark = edges.sparkSession
     links = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                     .filter("u <> v").distinct(), "links")
-    before = None
-    while True:
+    total = links.count()
+    while total:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of u moves to the smallest node u knows.
-        large = written(
-            join_by_key(both, low, "u").filter("v > u").select(F.col("v").alias("u"),
-                                                               F.col("m").alias("v"))
-            .filter("u <> v").distinct(), "links")
+        moved = _with_lowest(both, 2 * total).filter("v > u").select(
+            F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = written(moved.distinct(), "links")
         # Small star: u and its smaller neighbours move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = join_by_key(large, low, "u")
+        joined = _with_lowest(large, large.count())
         links = written(
             joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m")),
                                             F.struct(F.col("v").alias("u"), F.col("m"))))
                           .alias("e")).select("e.u", F.col("e.m").alias("v"))
             .filter("u <> v").distinct(), "links")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        # Stars only: every leaf has one centre, and no centre is a leaf.
+        forks = links.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).filter("v <> w").select("u")
+        chains = links.select(F.col("v").alias("u")).distinct().join(links, "u", "left_semi").select("u")
+        if forks.unionAll(chains).isEmpty():
             break
-        before = state
+        total = links.count()
     nodes = edges.select(F.col(a).alias("node")).unionAll(edges.select(F.col(b).alias("node"))).distinct()
     return (nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left")
             .select("node", F.coalesce("m", "node").alias("component")))

@@ -468,8 +468,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
                     .groupBy("shard").applyInPandas(_pairs, "a binary, b binary").distinct(), "candidates")
     clusters = written(components(edges).withColumnsRenamed({"node": "digest", "component": "cluster"}),
                        "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    wanted = written(clusters.join(sizes, "cluster").join(classes.select("digest", "rep"), "digest"),
+    # Written, so that it is counted map-side: next to the join, Spark would deal out all rows.
+    sizes = written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    wanted = written(join_by_key(clusters, sizes, "cluster").join(classes.select("digest", "rep"), "digest"),
                      "wanted")
     few = wanted.count() <= BROADCAST_IDS
     chosen = wanted.select(F.col("rep").alias("doc_id"), "digest", "cluster", "members").filter("rep is not null")
