@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import spans
-from ..functions.columns import lits, seeded, strip
+from ..functions.columns import seeded, strip
 
 
 def find_entities(texts: DataFrame, text: str, entities: Sequence[str] | None = None,
@@ -36,10 +36,6 @@ def winning_spans(texts: DataFrame, text: str, entities: Sequence[str] = fixed.C
     return found.withColumn(out, spans.pick_winners(F.col(out)))
 
 
-def _pick(words: Sequence[str], value: Column, salt: Column) -> Column:
-    return F.element_at(lits(words), (seeded(value, salt, len(words)) + 1).cast("int"))
-
-
 def fake(entity: Column, original: Column, salt: Column) -> Column:
     """Deterministic replacement: the same value in the same record always maps alike."""
     def salted(letter: str) -> Column:
@@ -57,9 +53,6 @@ def fake(entity: Column, original: Column, salt: Column) -> Column:
         .when(entity == "HK_ID", F.format_string("X%06d(A)", number("h", 1_000_000)))
         .when(entity == "POLICY_NUMBER", F.concat(
             prefix, F.lit("-"), (number("n", 90_000_000) + 10_000_000).cast("string")))
-        .when(entity == "PERSON", F.concat_ws(
-            " ", _pick(fixed.SURNAMES, original, salted("s")),
-            _pick(fixed.GIVEN_NAMES, original, salted("g"))))
         .otherwise(original))
 
 

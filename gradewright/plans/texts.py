@@ -402,13 +402,16 @@ TERMS = {
 NEGATED = ("complaint", ("with the", "mit der", "is with"))
 
 
-def _topic_sql(text: str) -> str:
-    parts = []
-    for topic, words in TERMS.items():
-        hit = " OR ".join(f"contains({text}, '{w}')" for w in words)
-        if topic == NEGATED[0]:
+def _topic_sql(text: str, terms=None, negated=None) -> str:
+    def quoted(w: str) -> str:
+        return "'" + w.replace("'", "''") + "'"
+
+    negated, parts = negated or NEGATED, []
+    for topic, words in (terms or TERMS).items():
+        hit = " OR ".join(f"contains({text}, {quoted(w)})" for w in words)
+        if topic == negated[0]:
             hit = f"({hit}) AND NOT (" + " OR ".join(
-                f"contains({text}, '{w}')" for w in NEGATED[1]) + ")"
+                f"contains({text}, {quoted(w)})" for w in negated[1]) + ")"
         parts.append(f"CASE WHEN {hit} THEN '{topic}' END")
     return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
@@ -441,26 +444,26 @@ def _(t):
     return tagged(t).withColumn("topics", F.array_join("topics", ","))
 
 
-@query("j3_insurance_topics", """
-    SELECT record_id, array_to_string(list_filter([
-        CASE WHEN contains(x, 'dividend') THEN 'participating_policy' END,
-        CASE WHEN contains(x, 'receipt') THEN 'medical_claim' END,
-        CASE WHEN contains(x, 'complaint') AND NOT contains(x, 'not a complaint') THEN 'complaint' END,
-        CASE WHEN contains(x, 'levy') OR contains(x, 'billing') THEN 'premium_billing' END],
-        lambda x: x IS NOT NULL), ',') AS topics
-    FROM (SELECT record_id, CASE k10 WHEN 0 THEN 'dividend and billing' WHEN 1 THEN 'a complaint'
-            WHEN 2 THEN 'not a complaint, the levy' WHEN 3 THEN 'lost receipt' ELSE lang END AS x
-          FROM doc_class)""")
-def _(t):
-    k = F.col("k10")
-    text = (F.when(k == 0, "Dividend and Billing").when(k == 1, "A Complaint")
-            .when(k == 2, "Not a complaint, the levy").when(k == 3, "lost RECEIPT")
-            .otherwise(F.col("lang")))
-    return evidence.tag_topics(t.view("doc_class").select("record_id", text.alias("x")), "x",
-                               fixed.PUBLIC_TOPICS).select(
+def _tagged_texts(t: Tables, terms):
+    return evidence.tag_topics(t.view("topic_texts"), "text", terms).select(
         "record_id", F.array_join("topics", ",").alias("topics"))
 
 
+def _tagged_sql(terms) -> str:
+    return ("SELECT record_id, array_to_string("
+            f"{_topic_sql('lower(text)', terms, fixed.NEGATED_TOPIC)}, ',') AS topics FROM topic_texts")
+
+
+@query("j3_insurance_topics", _tagged_sql(fixed.PUBLIC_TOPICS))
+def _(t):
+    return _tagged_texts(t, fixed.PUBLIC_TOPICS)
+
+
+@query("j3_service_topics", _tagged_sql(fixed.SERVICE_TOPICS))
+def _(t):
+    return _tagged_texts(t, fixed.SERVICE_TOPICS)
+
+
 @query("j4_selected_evidence", f"WITH {_PICKED} SELECT doc_id, ids AS evidence_ids FROM picked")
 def _(t):
     return picked(t).withColumn("evidence_ids", F.array_join("evidence_ids", ","))

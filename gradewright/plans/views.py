@@ -342,6 +342,15 @@ VIEWS: dict[str, str] = {
                (CASE WHEN doc_id % 2 = 0 THEN 'REFUSAL,' ELSE '' END)
                  || (CASE WHEN doc_id % 3 < 2 THEN 'INJECTION,' ELSE '' END) AS tag_list
         FROM (SELECT doc_id, text, {_id('D', 'doc_id')} AS record_id FROM documents) d""",
+    "topic_texts": f"""
+        SELECT doc_id, {_id('D', 'doc_id')} AS record_id, text || ' '
+               || CASE doc_id % 12 WHEN 0 THEN 'Dividend and Billing' WHEN 1 THEN 'A Complaint on the Premium Due'
+                    WHEN 2 THEN 'Not a complaint, the levy' WHEN 3 THEN 'lost RECEIPT of the surgery'
+                    WHEN 4 THEN 'my new address, and opt out' WHEN 5 THEN 'a suspicious SMS or scam'
+                    WHEN 6 THEN 'privacy and a data access' WHEN 7 THEN 'the vendor invoice'
+                    WHEN 8 THEN 'charged twice by autopay' WHEN 9 THEN 'sum assured, policy status'
+                    ELSE '' END AS text
+        FROM documents""",
     "turn_pairs": """
         SELECT u.conv_id, u.turn, u.text AS source, a.text AS draft
         FROM conversations u JOIN conversations a
