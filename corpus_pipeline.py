@@ -47,9 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add token_ids and n_tokens, and whether decoding gives the text back."""
     codec = pieces.Codec(pieces.Vocabulary.read())
-    rows = pieces.decode(pieces.encode(docs.select(COLUMNS), codec), codec)
-    return rows.select(*COLUMNS, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    rows = pieces.encode(docs.select(COLUMNS), codec, check="round_trip")
+    return rows.select(*COLUMNS, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from ..session import shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HOT_KEYS = 1000  # a key with over 1/1000 of the rows is hot, so there are at most 1000 of them
+TEXT_ROWS = 1000
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -30,6 +31,13 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in Arrow batches of TEXT_ROWS rows at most, not 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import text_batches
+
 # HTML element kinds and names that sites give to page parts.
 CONTAINERS = frozenset("article aside blockquote body center dd details dialog div dl dt fieldset figure footer "
                        "form header li main menu nav ol search section table tbody td th tr ul button".split())
@@ -276,6 +278,7 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     rows give repeated results. Other columns pass through; ``text`` and ``n_chars`` are
     replaced. An empty table gives an empty result.
     """
+    text_batches(pages.sparkSession)
     tree = tree or train()
     pages = pages.drop("text", "n_chars")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, join_by_key, mix, partitions, written
+from .common import SPACE, components, join_by_key, mix, partitions, text_batches, written
 
 WORDS = 5
 NUM, DEN = 80, 100           # link if DEN * intersection >= NUM * union
@@ -456,6 +456,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(texts.mapInArrow(_set_rows, "doc_id long, n long, digest binary"), "sets")
     classes = written(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"),

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, partitions, written
+from .common import SPACE, mix, partitions, text_batches, written
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 1 << 18
@@ -225,6 +225,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     texts differ. Other columns pass through (not ``n_lines``, ``n_dropped``, which are
     replaced). Empty input gives an empty result.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("tag"))

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a blank inside pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 SHORT = 40        # longest unit, in bytes, of the vectorised search
 LOT = 8192        # units searched at a time
-CACHED = 200_000  # units a task remembers
+CACHED = 100_000  # units a task remembers
 GROUP_CHARS = 2_000_000  # characters of texts whose units are searched together
 
 
@@ -357,14 +359,17 @@ def _schema(docs: DataFrame, added: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added])
 
 
-def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "token_ids",
+           check: str | None = None) -> DataFrame:
     """Add the piece ids of every whole text as ``array<int>``.
 
     A null text gives a null array, an empty text an empty one. A text of any length
-    is encoded whole; what is not in the vocabulary becomes byte pieces. A column named
-    like ``out`` is replaced, all others pass through.
+    is encoded whole; what is not in the vocabulary becomes byte pieces. ``check`` names a
+    boolean column that tells whether decoding gives the text back, decoded in the same
+    pass. A column named like ``out`` or ``check`` is replaced, all others pass through.
     """
-    docs = docs.drop(out)
+    text_batches(docs.sparkSession)
+    docs = docs.drop(out, *([check] if check else []))
     shared = docs.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches):
@@ -375,13 +380,18 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "token_
             flat = np.concatenate([i for i in ids if i is not None] or [np.zeros(0, np.int32)])
             rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)),
                                             mask=pa.array([i is None for i in ids], pa.bool_()))
-            yield batch.append_column(out, rows)
+            done = batch.append_column(out, rows)
+            if check:
+                same = [shared.value.decode(i) == t for i, t in zip(ids, batch[text].to_pylist())]
+                done = done.append_column(check, pa.array(same, pa.bool_()))
+            yield done
 
-    return docs.mapInArrow(run, _schema(docs, f"`{out}` array<int>"))
+    return docs.mapInArrow(run, _schema(docs, f"`{out}` array<int>" + (f", `{check}` boolean" if check else "")))
 
 
 def decode(rows: DataFrame, codec: Codec, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the text that the ids stand for. Null ids give null, no ids the empty text."""
+    text_batches(rows.sparkSession)
     rows = rows.drop(out)
     shared = rows.sparkSession.sparkContext.broadcast(codec)
 

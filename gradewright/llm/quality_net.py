@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sigmoid
+from .common import fold, sigmoid, text_batches
 from .training import labelled_sample, sample_texts
 
 WIDTH, FILTERS, HIDDEN, HALF = 6, 16, 8, 256
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
     the sample in bytes; scoring reads whole texts. Without rows of both classes the
     net answers with the share of class 1 (1 if there are no labels).
     """
+    text_batches(docs.sparkSession)
     sample, sizes = labelled_sample(labels, "quality", per_class)
     rows = (sample_texts(docs, sample)
             .mapInArrow(_training_rows, "doc_id long, label int, rows binary").collect())
@@ -205,6 +206,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     rows score alike. Other columns pass through; columns named like an added one are
     replaced. Empty input gives an empty result. A null doc_id counts as held out.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted", "held_out")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return (docs.mapInArrow(_scored(net), schema + ", score double")

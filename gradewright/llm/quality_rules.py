@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, sigmoid
+from .common import crc_fold, sigmoid, text_batches
 from .training import labelled_sample, sample_texts
 
 BITS = 11  # 2048 buckets for each kind of n-gram
@@ -28,7 +28,7 @@ KEEP_AT, SURE_AT = 0.3, 0.7
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 60_000
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     With rows of one class or none, the model returns that class's share, or 1.
     """
+    text_batches(docs.sparkSession)
     sample, sizes = labelled_sample(labels, "quality", per_class)
     rows = (sample_texts(docs, sample)
             .mapInArrow(_features, "doc_id long, label int, at binary, share binary").collect())
@@ -204,6 +205,7 @@ def apply_rules(docs: DataFrame, model: Model) -> DataFrame:
     rows are scored alike. Other columns pass through; columns named like an added one
     are replaced. Empty input gives an empty result.
     """
+    text_batches(docs.sparkSession)
     added = [*COUNTS, "quality_score"]
     docs = docs.drop(*added, "base_failed", "band", "kept")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sigmoid
+from .common import fold, sigmoid, text_batches
 from .training import by_hash, labelled, sample_texts
 
 BITS = 16
@@ -33,7 +33,7 @@ MODELS, EPOCHS, BATCH, RATE, SEED = 3, 30, 250, 0.1, 5
 DECAY = 2e-5
 THRESHOLD = 0.5
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 60_000
 
 
 class _Features(dict):
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None,
     ``prior``: share of toxic documents; by default their share among labelled training
     rows. Without a toxic example every score is near the prior.
     """
+    text_batches(docs.sparkSession)
     known = labelled(labels, "toxic")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if prior is None:
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows score alike. Other columns pass through; columns named like an added
     one are replaced. Empty input gives an empty result. A null doc_id counts as held out.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted", "held_out")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MODELS * SIZE weights
