@@ -69,3 +69,26 @@ def test_given_pages(spark):
         body = re.sub(r"<[^>]*\Z", "", body[1]) if body else ""
         parts = (" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", body))
         assert text(r.html) == " ".join(p for p in parts if p), r.page_id
+
+
+def test_names_of_layout_leave_the_article():
+    para = "This is a paragraph of running text with enough words in it to count as one, surely, as it has well over twenty."
+    body = f"<h1>Head</h1><p>{para}</p><p>Short one.</p><p>{para}</p>"
+    want = f"Head {para} Short one. {para}"
+    for opened, closed in (('<main class="content has-sidebar">', "</main>"), ('<article class="entry author-jane">', "</article>"),
+                           ('<article class="post category-comments tag-cookies">', "</article>"),
+                           ('<main><div class="elementor-widget">', "</div></main>"), ('<div class="elementor-widget">', "</div>"),
+                           ('<div class="page no-comments sidebar-right">', "</div>"), ('<main><div class="author">', "</div></main>"),
+                           ('<div class="tags-page">', "</div>"), ('<div class="site header-fixed">', "</div>")):
+        page = f'<body><nav><a href="/">Home</a></nav>{opened}{body}{closed}<div class="footer">Some words of a footer</div></body>'
+        assert text(page) == want, opened
+
+
+def test_names_of_boilerplate_still_count():
+    para = "This is a paragraph of running text with enough words in it to count as one, surely, as it has well over twenty."
+    for part in (f'<div class="reader-comments"><p>{para}</p></div>', f'<div class="sidebar"><p>{para}</p></div>',
+                 f'<div id="primary-sidebar"><p>{para}</p></div>', f'<article class="comment"><p>{para}</p></article>',
+                 '<p class="author">By Jane</p>', '<div class="author-box"><h3>Jane</h3><p>Writes here.</p></div>',
+                 '<div class="notice">Please read our terms.</div>', '<div class="tags"><a href="/t">one</a> <a href="/u">two</a></div>',
+                 f'<article hidden><p>{para}</p></article>', '<div class="share-this"><h3>Share this</h3></div>'):
+        assert text(f"<article><h1>Head</h1><p>{para}</p>{part}<p>{para}</p></article>") == f"Head {para} {para}", part
