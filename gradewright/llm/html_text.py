@@ -50,7 +50,9 @@ UNHINTED = 10_000  # stands for words of running text where no name hints at boi
 _QUOTED = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>script|style|template|noscript|svg|math|iframe|object|textarea|title|select|canvas|audio|video)\b{_QUOTED}>"
+    rf"|<svg(?![\w:-]){_QUOTED}(?<=/)>"
+    r"|<(?P<raw>script|style|template|noscript|svg|annotation|annotation-xml|iframe|object|textarea|title|select|canvas|audio|"
+    rf"video)(?![\w:-]){_QUOTED}>"
     r".*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_QUOTED})>"
     r"|</?(?P<loose>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>"

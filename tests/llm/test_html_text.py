@@ -92,3 +92,11 @@ def test_names_of_boilerplate_still_count():
                  '<div class="notice">Please read our terms.</div>', '<div class="tags"><a href="/t">one</a> <a href="/u">two</a></div>',
                  f'<article hidden><p>{para}</p></article>', '<div class="share-this"><h3>Share this</h3></div>'):
         assert text(f"<article><h1>Head</h1><p>{para}</p>{part}<p>{para}</p></article>") == f"Head {para} {para}", part
+
+
+def test_broken_pages_with_icons_and_formulas():
+    assert text('<article><p>one</p><svg class="i"/><p>two three</p></article>') == "one two three"
+    assert text('<article><p>one</p><svg a="/>" /><p>two</p><svg><path d="x"/>no</svg><p>three</p></article>') == "one two three"
+    assert text('<article><svg b="/">no<svg/>no</svg><p>one</p><svg-icon></svg-icon><p>two</p></article>') == "one two"
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <math/>it</p></article>") == "Let x=2 be it"
+    assert text("<article><p>one <math><mi>x</mi></p><p>two</p></article>") == "one x two"
