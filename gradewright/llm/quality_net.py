@@ -24,14 +24,13 @@ WIDTH, FILTERS, HIDDEN, HALF = 6, 16, 8, 256
 PAD = 256  # the symbol after the end of a text
 STRIP = 192  # half-chunks worked on at a time
 PER_CLASS = 1500  # labelled documents of each class used for training, at most
-TRAIN_HALVES = 12  # half-chunks of a training document, spread evenly over it, at most
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 11
 THRESHOLD = 0.3
 
 
-def halves(text: str | None) -> np.ndarray:
+def halves(text: str | bytes | None) -> np.ndarray:
     """Bytes of the whole text as overlapping rows of HALF + WIDTH - 1 symbols."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
+    raw = np.frombuffer(text.encode() if isinstance(text, str) else text or b"", np.uint8)
     n = max(1, -(-len(raw) // HALF))
     padded = np.full(n * HALF + WIDTH - 1, PAD, np.uint16)
     padded[:len(raw)] = raw
@@ -135,8 +134,11 @@ class Net:
         return g
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = EPOCHS) -> Net:
-    """Adam over shuffled small batches of both classes; then the bias takes the true prior."""
+def fit(docs: list[bytes], y: np.ndarray, prior: float, epochs: int = EPOCHS) -> Net:
+    """Adam over shuffled small batches of both classes; then the bias takes the true prior.
+
+    Texts are kept as bytes and cut into half-chunks, all of them, batch by batch.
+    """
     net, r = Net.fresh(), np.random.default_rng(SEED)
     m = [np.zeros(p.shape) for p in net.params()]
     v = [np.zeros(p.shape) for p in net.params()]
@@ -147,7 +149,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = EPOCH
         for i in range(0, len(docs), BATCH):
             part = order[i:i + BATCH]
             t += 1
-            for p, g, a, b in zip(net.params(), net.gradient([docs[k] for k in part], y[part]), m, v):
+            for p, g, a, b in zip(net.params(), net.gradient([halves(docs[k]) for k in part], y[part]), m, v):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= (rate * (a / (1 - 0.9 ** t)) / (np.sqrt(b / (1 - 0.99 ** t)) + 1e-7)).astype(p.dtype)
@@ -156,38 +158,24 @@ def fit(docs: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = EPOCH
     return net
 
 
-def _training_rows(batches):
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            part = halves(text.as_py())
-            if len(part) > TRAIN_HALVES:
-                part = part[np.linspace(0, len(part) - 1, TRAIN_HALVES).round().astype(int)]
-            rows.append(np.ascontiguousarray(part).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["label"].cast(pa.int32()),
-                                          pa.array(rows, pa.binary())], ["doc_id", "label", "rows"])
-
-
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net:
     """Fit to at most ``per_class`` labelled rows of each class, fold 0 left out.
 
-    Only here a document is represented by TRAIN_HALVES of its half-chunks, which bounds
-    the sample in bytes; scoring reads whole texts. Without rows of both classes the
-    net answers with the share of class 1 (1 if there are no labels).
+    Their texts are read whole, as in scoring. Without rows of both classes the net
+    answers with the share of class 1 (1 if there are no labels).
     """
     text_batches(docs.sparkSession)
     sample, sizes = labelled_sample(labels, "quality", per_class)
     rows = (sample_texts(docs, sample)
-            .mapInArrow(_training_rows, "doc_id long, label int, rows binary").collect())
-    rows.sort(key=lambda r: (r["doc_id"], r["rows"]))
+            .select("doc_id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).collect())
+    rows.sort(key=lambda r: (r["doc_id"], r["raw"]))
     prior = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     if len({r["label"] for r in rows}) < 2:
         net = Net.fresh()
         net.out[:] = 0
         net.obias[:] = np.log(prior / (1 - prior)) if sizes else 60
         return net
-    parts = [np.frombuffer(r["rows"], np.uint16).reshape(-1, HALF + WIDTH - 1) for r in rows]
-    return fit(parts, np.array([r["label"] for r in rows], np.float64), prior)
+    return fit([bytes(r["raw"]) for r in rows], np.array([r["label"] for r in rows], np.float64), prior)
 
 
 def _scored(net: Net):

@@ -119,3 +119,21 @@ def test_chunks_cover_the_whole_text():
     rows_ = qn.halves(text)
     assert len(rows_) * qn.HALF >= len(text) and (rows_ == ord("Z")).any()
     assert len(qn.halves("")) == 1
+
+
+def test_training_reads_whole_texts(rows, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(qn, "fit", lambda docs, y, prior: seen.update(docs=docs))
+    good, bad = "word " * 20_000 + "end", "#" * 70_001
+    data = rows([(i, t) for i, t in enumerate([good, bad] * 5)], "doc_id long, text string")
+    qn.train(data, rows([(i, 1 - i % 2) for i in range(10)], "doc_id long, quality int"))
+    assert {bytes(d) for d in seen["docs"]} == {good.encode(), bad.encode()}
+
+
+def test_a_step_of_training_learns_what_scoring_sees(monkeypatch):
+    text = "word " * 3000 + "\x00\x01\x02" * 100 + "word " * 3000
+    given = []
+    step = qn.Net.gradient
+    monkeypatch.setattr(qn.Net, "gradient", lambda net, docs, y: given.extend(docs) or step(net, docs, y))
+    qn.fit([text.encode(), b"word"], np.array([0.0, 1.0]), 0.5, epochs=1)
+    assert any(d.shape == qn.halves(text).shape and (d == qn.halves(text)).all() for d in given)
