@@ -333,11 +333,14 @@ def _pairs(blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def _token_sets(batches):
+    """Rows whose text has the set of the class; another text of the same id is left to its own class."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch["digest"], batch["cluster"], batch["members"],
-             pa.array([s.tobytes() for s in shingle_sets(batch["text"].to_pylist())], pa.binary())],
+        sets = list(shingle_sets(batch["text"].to_pylist()))
+        own = pa.array([_digest(s) == d for s, d in zip(sets, batch["digest"].to_pylist())], pa.bool_())
+        rows = pa.RecordBatch.from_arrays(
+            [batch["digest"], batch["cluster"], batch["members"], pa.array([s.tobytes() for s in sets], pa.binary())],
             ["digest", "cluster", "members", "tokens"])
+        yield rows.filter(own)
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]):
@@ -420,7 +423,7 @@ def _link_bucket(order):
     """Whole clusters, none over BLOCK sets."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in rows.groupby("cluster", sort=False):
+        for _, part in rows.drop_duplicates("digest").groupby("cluster", sort=False):  # rows may repeat
             names = [bytes(x) for x in part["digest"]]
             out += _stars(names, find_links([np.frombuffer(t, np.uint64) for t in part["tokens"]], None,
                                             order.value))
@@ -433,7 +436,7 @@ def _link_tile(order):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sides, names = [], []
         for block in (rows["low"].iloc[0], rows["high"].iloc[0]):
-            part = rows[rows["own"] == block]
+            part = rows[rows["own"] == block].drop_duplicates("digest")
             sides.append([np.frombuffer(t, np.uint64) for t in part["tokens"]])
             names.append([bytes(x) for x in part["digest"]])
         if rows["low"].iloc[0] == rows["high"].iloc[0]:
@@ -476,7 +479,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     few = wanted.count() <= BROADCAST_IDS
     chosen = wanted.select(F.col("rep").alias("doc_id"), "digest", "cluster", "members").filter("rep is not null")
     loaded = texts.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), "doc_id")
-    # Ids may repeat with other texts; the digest tells which row stands for the class.
+    # Ids may repeat with other texts; _token_sets keeps the rows with the digest of the class.
     tokens = written(loaded.mapInArrow(_token_sets, "digest binary, cluster binary, members long, tokens binary"),
                      "token-sets")
     small, large = tokens.filter(F.col("members") <= BLOCK), tokens.filter(F.col("members") > BLOCK)

@@ -117,3 +117,16 @@ def test_every_order_keeps_links(rows):
         if jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b)):
             for k in range(jaccard.ORDERS):
                 assert len(np.intersect1d(order.prefix(a, k), order.prefix(b, k)))
+
+
+def test_one_id_on_two_texts(rows, monkeypatch):
+    r = random.Random(7)
+    base = [f"v{r.randrange(10 ** 6)}" for _ in range(200)]
+
+    def edited(words, *places):
+        return [f"e{i}" if i in places else w for i, w in enumerate(words)]
+    other = base[:160] + [f"o{i}" for i in range(40)]  # shares two thirds with the base: a candidate, no link
+    data = [(i, " ".join(w)) for i, w in ((0, edited(base, 190)), (1, base), (1, other), (5, edited(other, 10)), (1, base), (7, edited(base, 3)))]
+    check(rows, data)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    check(rows, data)
