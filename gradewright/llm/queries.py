@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import (exact_dedup, html_text, jaccard, licences, line_dedup, mixing, pieces, quality_net,
-               quality_rules, toxicity)
+from . import (exact_dedup, html_text, jaccard, licences, line_dedup, mixing, periodic, pieces,
+               quality_net, quality_rules, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+@register()
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.looped(table(spark, folder, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
