@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import (exact_dedup, html_text, jaccard, licences, line_dedup, mixing, periodic, pieces,
-               quality_net, quality_rules, toxicity)
+               quality_net, quality_rules, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +117,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(periodic.looped(table(spark, folder, "documents"))))
 
 
+@register()
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
