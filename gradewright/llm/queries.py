@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import (exact_dedup, html_text, jaccard, licences, line_dedup, mixing, periodic, pieces,
-               quality_net, quality_rules, toxicity, whitening)
+from . import (exact_dedup, html_text, jaccard, licences, line_dedup, minhash, mixing, periodic,
+               pieces, quality_net, quality_rules, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,7 +77,31 @@ def op3_quality_net(spark: SparkSession, folder: str) -> DataFrame:
     return quality_net.score(docs, net).select("doc_id", "held_out", "score", "predicted")
 
 
-@register()
+def linked_sql(least: int, kept: str = "") -> str:
+    """Components of documents whose shingle sets have a Jaccard similarity of ``least`` per cent."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWER_SQL}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= {jaccard.WORDS}
+    THEN list_distinct(list_transform(range(1, len(w) - {jaccard.WORDS - 2}),
+      lambda i: array_to_string(w[i:i + {jaccard.WORDS - 1}], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
+  FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared WHERE 100 * c >= {least} * (nx + ny - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, s.y FROM reach r JOIN sides s ON r.other = s.x),
+lowest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id{kept} FROM sets JOIN lowest USING (doc_id)
+"""
+
+
+@register(linked_sql(jaccard.NUM))
 def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_components(table(spark, folder, "documents"))
 
@@ -117,6 +141,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(periodic.looped(table(spark, folder, "documents"))))
 
 
+@register(linked_sql(minhash.NUM, ", doc_id = component_id AS kept"))
+def op12_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @register()
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
