@@ -2,23 +2,41 @@
 
 A span is STRUCT<entity, start, end, score, text>. ``start`` is a 0-based
 character offset. Everything works inside one row, so texts are never shuffled.
+
+Texts are scanned in Arrow batches: the pattern engine of the JVM functions gives no
+offsets, and offsets, covers and choices built by array folds cost the square of the
+number of spans. Here a scan is linear in the text and the sweeps over spans are a sort.
+Patterns see ASCII classes (word boundaries, digits, white space).
 """
 
 from __future__ import annotations
 
+import re
+import sys
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
 
-# (entity, pattern, score, literal that every match contains or None)
-Recognizer = tuple[str, str, float, str | None]
+# (entity, pattern, score, hint). Hint: a literal, or several of which every match holds one;
+# or a compiled anchor without white space, if every word of a match holds it or stands next
+# to a word of the match that does; or None.
+Hint = str | tuple[str, ...] | re.Pattern | None
+Recognizer = tuple[str, str, float, Hint]
 
-_MARK = "\x01"
+SPANS = "array<struct<entity:string,start:int,end:int,score:double,text:string>>"
+_FIELDS = ("entity", "start", "end", "score", "text")
+_WHITE = frozenset(" \t\n\r\f\v")
+_AHEAD = re.compile(r"(\S*)\s*\S*", re.ASCII)  # rest of a word, and the next word
 
-_EMPTY = "array<struct<entity:string,start:int,end:int,score:double,text:string>>"
+# The functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def recognizers_for(entities: Sequence[str],
@@ -27,44 +45,152 @@ def recognizers_for(entities: Sequence[str],
     return [r for r in registered if r[0] in entities]
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """Text cut into gap, match, gap, match, ..., gap.
-
-    One regex pass marks the matches and a literal split cuts at the marks. A
-    text that already holds the mark takes two passes instead.
+def zones(text: str, anchor: re.Pattern) -> list[tuple[int, int]]:
+    """Words that hold an anchor, with one word on either side; zones that meet are one."""
+    found: list[tuple[int, int]] = []
+    word = done = 0  # ends of the last anchored word and of its zone
+    for hit in anchor.finditer(text):
+        if hit.start() < word:
+            continue
+        start = _back(text, _back(text, _back(text, hit.start(), done, False), done, True), done, False)
+        ahead = _AHEAD.match(text, hit.end())
+        word = ahead.end(1)
+        if found and start <= done:
+            found[-1] = (found[-1][0], ahead.end())
+        else:
+            found.append((start, ahead.end()))
+        done = ahead.end()
+    return found
+
+
+def _back(text: str, at: int, least: int, white: bool) -> int:
+    """Start of the white space, or of the word, that ends at a place; not before ``least``."""
+    while at > least and (text[at - 1] in _WHITE) == white:
+        at -= 1
+    return at
+
+
+class Scanner:
+    """Finds the spans of several recognizers, reading a text once per kind of hint.
+
+    A recognizer whose literals are absent is skipped; one with an anchor looks only at
+    the zones around it, and each anchor is searched once for all recognizers that have it.
     """
-    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
-                          F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    slow = F.flatten(F.transform(zipped, lambda p: F.filter(
-        F.array(p["gap"], p["hit"]), lambda x: x.isNotNull())))
-    return F.when(F.contains(text, F.lit(_MARK)), slow).otherwise(marked)
-
-
-def _one(text: Column, entity: str, pattern: str, score: float, literal: str | None) -> Column:
-    """Spans of one pattern; every second piece is a match."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"),
-                     F.array().cast(_EMPTY).alias("spans"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        stop = acc["at"] + F.length(piece)
-        span = F.struct(F.lit(entity).alias("entity"), acc["at"].alias("start"),
-                        stop.alias("end"), F.lit(score).alias("score"), piece.alias("text"))
-        return F.struct(
-            stop.alias("at"), (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.array_append(acc["spans"], span))
-            .otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate(_pieces(text, pattern), start, step, lambda acc: acc["spans"])
-    if literal is None:
+
+    def __init__(self, recognizers: Sequence[Recognizer]) -> None:
+        self.parts = [(number, re.compile(pattern, re.ASCII), (hint,) if isinstance(hint, str) else hint)
+                      for number, (_, pattern, _, hint) in enumerate(recognizers)]
+        self.anchors = {hint for _, _, hint in self.parts if isinstance(hint, re.Pattern)}
+
+    def scan(self, text: str) -> list[tuple[int, int, int]]:
+        """(recognizer, start, end) by recognizer, then place."""
+        places = {anchor: zones(text, anchor) for anchor in self.anchors}
+        found = []
+        for number, pattern, hint in self.parts:
+            if isinstance(hint, re.Pattern):
+                for start, stop in places[hint]:
+                    found += [(number, *m.span()) for m in pattern.finditer(text, start, stop)]
+            elif hint is None or any(literal in text for literal in hint):
+                found += [(number, *m.span()) for m in pattern.finditer(text)]
+        return found
+
+
+def _lists(sizes: np.ndarray, missing: np.ndarray, columns: Sequence[pa.Array]) -> pa.Array:
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns), list(_FIELDS)),
+                                    mask=pa.array(missing))
+
+
+def _parts(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, dict[str, np.ndarray]]:
+    """Rows of the spans, missing rows, the flat structs and their numbers."""
+    missing = spans.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(missing, 0, np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    flat = spans.flatten()
+    numbers = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("start", "end", "score")}
+    return np.repeat(np.arange(len(sizes)), sizes), missing, flat, numbers
+
+
+def _islands(row: np.ndarray, start: np.ndarray, end: np.ndarray, touching: bool) -> np.ndarray:
+    """First span of each island, spans being in order of row and start."""
+    wide = int(end.max(initial=0)) + 2
+    reach = np.maximum.accumulate(end + row * wide)  # a later row's spans lie beyond all before
+    at = start + row * wide
+    new = at[1:] > reach[:-1] if touching else at[1:] >= reach[:-1]
+    return np.flatnonzero(np.r_[True, new | (row[1:] != row[:-1])])
+
+
+def cover(spans: pa.Array) -> pa.Array:
+    """Arrow form of ``merge_cover``."""
+    row, missing, flat, n = _parts(spans)
+    if not len(row):
         return spans
-    return F.when(F.contains(text, F.lit(literal)), spans).when(
-        text.isNotNull(), F.array().cast(_EMPTY))
+    order = np.lexsort((-n["end"], n["start"], row))
+    row, start, end, score = row[order], n["start"][order], n["end"][order], n["score"][order]
+    first = _islands(row, start.astype(np.int64), end.astype(np.int64), touching=True)
+    best = np.maximum.reduceat(score, first)
+    size = np.diff(np.r_[first, len(row)])
+    where = np.where(score == np.repeat(best, size), np.arange(len(row)), len(row))
+    label = np.minimum.reduceat(where, first)
+    return _lists(np.bincount(row[first], minlength=len(missing)), missing, [
+        flat.field("entity").take(pa.array(order[label])), pa.array(start[first], pa.int32()),
+        pa.array(np.maximum.reduceat(end, first), pa.int32()), pa.array(best, pa.float64()),
+        flat.field("text").take(pa.array(order[first]))])
+
+
+def _greedy(members: list[tuple[int, int]]) -> list[bool]:
+    """Which of the spans, in order of choice, overlap none kept before."""
+    kept: list[tuple[int, int]] = []  # disjoint, so only neighbours can clash
+    out = []
+    for start, end in members:
+        at = bisect_left(kept, (start, end))
+        clash = any(start < k[1] and k[0] < end for k in kept[max(0, at - 1):at + 1])
+        out.append(not clash)
+        if not clash:
+            insort(kept, (start, end))
+    return out
+
+
+def winners(spans: pa.Array) -> pa.Array:
+    """Arrow form of ``pick_winners``: the greedy choice runs only among spans that overlap."""
+    row, missing, flat, n = _parts(spans)
+    if not len(row):
+        return spans
+    choice = np.lexsort((n["start"], -n["score"], row))
+    rank = np.empty(len(row), np.int64)
+    rank[choice] = np.arange(len(row))
+    order = np.lexsort((-n["end"], n["start"], row))
+    start, end = n["start"][order].astype(np.int64), n["end"][order].astype(np.int64)
+    first = _islands(row[order], start, end, touching=False)
+    keep = np.ones(len(row), bool)
+    size = np.diff(np.r_[first, len(row)])
+    for a, b in zip(first[size > 1].tolist(), (first + size)[size > 1].tolist()):
+        own = order[a:b][np.argsort(rank[order[a:b]])]
+        keep[own] = _greedy(list(zip(n["start"][own].tolist(), n["end"][own].tolist())))
+    chosen = choice[keep[choice]]
+    picked = flat.take(pa.array(chosen))
+    return _lists(np.bincount(row[chosen], minlength=len(missing)), missing, [picked.field(f) for f in _FIELDS])
 
 
 def find(text: Column, recognizers: Sequence[Recognizer]) -> Column:
-    """All spans of all recognizers over the whole text."""
-    return F.concat(*[_one(text, *r) for r in recognizers])
+    """All spans of all recognizers over the whole text, by recognizer, then place."""
+    chosen = list(recognizers)
+    names = [r[0] for r in chosen]
+    scores = np.array([r[2] for r in chosen], float)
+    scanner = Scanner(chosen)
+
+    def scan(texts: pa.Array) -> pa.Array:
+        sizes, hits, words = [], [], []
+        for value in texts.to_pylist():
+            own = scanner.scan(value) if value else []
+            sizes.append(len(own))
+            hits += own
+            words += [value[a:b] for _, a, b in own]
+        which, start, end = np.array(hits, np.int64).reshape(-1, 3).T
+        return _lists(np.array(sizes, np.int64), texts.is_null().to_numpy(zero_copy_only=False), [
+            pa.array(names, pa.string()).take(pa.array(which)), pa.array(start, pa.int32()),
+            pa.array(end, pa.int32()), pa.array(scores[which], pa.float64()), pa.array(words, pa.string())])
+
+    return F.arrow_udf(scan, SPANS)(text)
 
 
 def merge_cover(spans: Column) -> Column:
@@ -72,26 +198,7 @@ def merge_cover(spans: Column) -> Column:
 
     The merged span keeps the label of its best score, the earliest on ties.
     """
-    ordered = F.array_sort(spans, lambda a, b: (
-        F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])))
-    start = F.array().cast(_EMPTY)
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.size(acc) > 0
-        joins = joins & (s["start"] <= last["end"])
-        better = s["score"] > last["score"]
-        grown = F.struct(
-            F.when(better, s["entity"]).otherwise(last["entity"]).alias("entity"),
-            last["start"].alias("start"),
-            F.greatest(last["end"], s["end"]).alias("end"),
-            F.when(better, s["score"]).otherwise(last["score"]).alias("score"),
-            last["text"].alias("text"),
-        )
-        return F.when(joins, F.array_append(
-            F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.array_append(acc, s))
-
-    return F.aggregate(ordered, start, step)
+    return F.arrow_udf(cover, SPANS)(spans)
 
 
 def pick_winners(spans: Column) -> Column:
@@ -99,12 +206,4 @@ def pick_winners(spans: Column) -> Column:
 
     Touching spans do not overlap. Result is in choice order.
     """
-    ordered = F.array_sort(spans, lambda a, b: (
-        F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
-        .otherwise(a["start"] - b["start"])))
-
-    def step(acc: Column, s: Column) -> Column:
-        clash = F.exists(acc, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"]))
-        return F.when(clash, acc).otherwise(F.array_append(acc, s))
-
-    return F.aggregate(ordered, F.array().cast(_EMPTY), step)
+    return F.arrow_udf(winners, SPANS)(spans)

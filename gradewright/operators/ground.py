@@ -46,34 +46,42 @@ def entity_groundedness(pairs: DataFrame, source: str = "source", draft: str = "
     its numbers and months do. Vague dates count as entities but are never
     flagged. A missing draft is skipped, not scored.
 
-    The words all entities share with the source are intersected once per row,
-    so a long source is scanned once and not once per entity.
+    The source is read for what is still open only: its normalised text if the draft
+    has entities, its words or dates if one of them does not occur in that. What the
+    open entities share with it is intersected once per row, so a long source is
+    scanned once and not once per entity.
     """
     found = winning_spans(pairs.select(key, source, draft), draft, out="_spans")
     ignored = lits(fixed.HONORIFICS + fixed.SALUTATIONS)
     staged = found.select(
-        key, F.col(draft).alias("_draft"), normalise(F.col(source)).alias("_norm"),
-        words(F.col(source)).alias("_words"), date_core(F.col(source)).alias("_core"),
+        key, F.col(draft).alias("_draft"), F.col(source).alias("_source"),
+        F.when(F.size("_spans") > 0, normalise(F.col(source))).alias("_norm"),
         F.transform("_spans", lambda s: F.struct(
             s["entity"].alias("entity"), strip(s["text"]).alias("text"),
-            normalise(s["text"]).alias("norm"), words(s["text"]).alias("words"),
-            date_core(s["text"]).alias("core"))).alias("_e"))
-    staged = staged.select(
-        "*", F.array_intersect(F.flatten(F.transform("_e", lambda e: e["words"])),
-                               "_words").alias("_known"),
-        F.array_intersect(F.flatten(F.transform("_e", lambda e: e["core"])),
-                          "_core").alias("_dates"))
+            normalise(s["text"]).alias("norm"))).alias("_e"))
+
+    def is_open(e: Column) -> Column:
+        vague = (e["entity"] == "DATE_TIME") & ~(e["text"].rlike("[0-9]") | e["text"].rlike(_MONTH_WORD))
+        return (e["norm"] != "") & ~vague & ~F.coalesce(F.contains(F.col("_norm"), e["norm"]), F.lit(False))
+
+    staged = staged.withColumn("_open", F.transform(F.filter("_e", is_open), lambda e: F.struct(
+        e["entity"].alias("entity"), e["text"].alias("text"),
+        F.array_except(words(e["text"]), ignored).alias("words"),
+        F.when(e["entity"] == "DATE_TIME", date_core(e["text"])).alias("core"))))
+    staged = staged.withColumns({
+        "_known": F.when(F.size("_open") > 0, F.array_intersect(
+            F.flatten(F.transform("_open", lambda e: e["words"])), words(F.col("_source")))),
+        "_dates": F.when(F.exists("_open", lambda e: e["entity"] == "DATE_TIME"), F.array_intersect(
+            F.flatten(F.filter(F.transform("_open", lambda e: e["core"]), lambda c: c.isNotNull())),
+            date_core(F.col("_source"))))})
 
     def unsupported(e: Column) -> Column:
-        date = e["entity"] == "DATE_TIME"
-        vague = ~(e["text"].rlike("[0-9]") | e["text"].rlike(_MONTH_WORD))
-        dated = F.size(F.array_except(e["core"], F.col("_dates"))) == 0
-        worded = F.size(F.array_except(F.array_except(e["words"], ignored), F.col("_known"))) == 0
-        return (e["norm"] != "") & ~(date & (vague | dated)) & ~(
-            F.contains(F.col("_norm"), e["norm"]) | worded)
+        dated = (e["entity"] == "DATE_TIME") & (F.size(F.array_except(e["core"], F.col("_dates"))) == 0)
+        worded = F.size(F.array_except(e["words"], F.col("_known"))) == 0
+        return ~(F.coalesce(dated, F.lit(False)) | F.coalesce(worded, F.lit(False)))
 
     staged = staged.withColumn("findings", F.transform(
-        F.filter("_e", unsupported), lambda e: F.concat_ws(":", e["entity"], e["text"])))
+        F.filter("_open", unsupported), lambda e: F.concat_ws(":", e["entity"], e["text"])))
     total, bad = F.size("_e"), F.size("findings")
     score = F.when(total == 0, 1.0).otherwise(1 - bad / total)
     made = F.col("_draft").isNotNull()

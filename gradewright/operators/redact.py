@@ -75,12 +75,13 @@ def pseudonymise(records: DataFrame, key: str, fields: Sequence[str]) -> DataFra
     staged = records.withColumn("_seen", F.filter(
         F.flatten(F.array(*[F.coalesce(_covered_texts(F.col(f)), F.array()) for f in fields])),
         lambda e: F.length(e["original"]) >= 3))
-    firsts = F.aggregate(
-        F.col("_seen"), F.filter("_seen", lambda e: F.lit(False)),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda k: k["original"] == e["original"]), acc)
-        .otherwise(F.array_append(acc, e)))
-    staged = staged.withColumn("_first", firsts)
+    # The earliest mention of every original, found by sorting and not by looking back.
+    placed = F.array_sort(F.transform("_seen", lambda e, i: F.struct(
+        e["original"].alias("original"), i.alias("place"), e["entity"].alias("entity"))))
+    staged = staged.withColumn("_placed", placed).withColumn("_first", F.array_sort(F.filter(
+        F.transform("_placed", lambda e, i: F.when((i == 0) | (F.get("_placed", i - 1)["original"] != e["original"]),
+                    F.struct(e["place"].alias("place"), e["original"].alias("original"), e["entity"].alias("entity")))),
+        lambda e: e.isNotNull())))
     staged = staged.withColumn("mapping", F.transform("_first", lambda e: F.struct(
         e["original"].alias("original"),
         fake(e["entity"], e["original"], F.col(key)).alias("replacement"))))
@@ -89,7 +90,7 @@ def pseudonymise(records: DataFrame, key: str, fields: Sequence[str]) -> DataFra
     return staged.withColumns({f: F.aggregate(
         F.col("_order"), F.col(f),
         lambda acc, e: F.replace(acc, e["original"], e["replacement"])) for f in fields}
-    ).drop("_seen", "_first", "_order")
+    ).drop("_seen", "_placed", "_first", "_order")
 
 
 def review_flags(records: DataFrame, fields: Sequence[str],

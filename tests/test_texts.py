@@ -37,11 +37,57 @@ def test_spans_equal_a_plain_regex_scan(rows):
         assert sorted((s["entity"], s["start"], s["end"], s["text"]) for s in row.spans) == want
 
 
-def test_literal_hints_hold_for_every_match():
-    for _, pattern, _, literal in fixed.RECOGNIZERS:
+def test_hints_hold_for_every_match():
+    for _, pattern, _, hint in fixed.RECOGNIZERS:
         for text in SAMPLES:
-            for m in re.finditer(pattern, text):
-                assert literal is None or literal in m.group()
+            for m in re.finditer(pattern, text, re.ASCII):
+                if isinstance(hint, re.Pattern):
+                    held = [bool(hint.search(w)) for w in re.split(r"\s+", m.group(), flags=re.ASCII) if w]
+                    assert all(any(held[max(0, k - 1):k + 2]) for k in range(len(held)))
+                else:
+                    assert any(x in m.group() for x in ((hint,) if isinstance(hint, str) else hint))
+
+
+WORDS = ["12", "March", "2024", "5", "pm", "5pm", "HK$", "1,200.00", "HKD", "500", "$4,500", "+852", "(23)", "2345", "6789", "9123",
+         "P06421883", "HKL-90595202-ZX", "A123456(7)", "a.b@c.com", "Dear", "Mr", "Chan", "Hi", "policy", "of", "12th", "Jan", "1/2/2024",
+         "2024-03-12", "91234567", "é", "x@", "@", "-", "(", "HK$1,2", "\u0665", "日9123", "4567日", "a\u00a05"]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_zones_lose_no_match(seed):
+    """Anchored scans give what a plain scan of the whole text gives, whatever stands between the words."""
+    rng = random.Random(seed)
+    scanner = spans.Scanner(fixed.RECOGNIZERS)
+    for _ in range(400):
+        text = "".join(rng.choice(WORDS) + rng.choice([" ", " ", " ", "  ", "\n", "\t", ", ", "", "\x1c", "\u3000"])
+                       for _ in range(rng.randint(0, 14)))
+        want = [(k, *m.span()) for k, (_, p, _, _) in enumerate(fixed.RECOGNIZERS) for m in re.finditer(p, text, re.ASCII)]
+        assert scanner.scan(text) == want, text
+
+
+def test_spans_cost_linear_time(rows):
+    """A text of many identifiers is scanned, covered and chosen from in time linear in their number."""
+    import time
+
+    import pyarrow as pa
+    text = "call 9123 4567 or A123456(7), due 12 March 2024. "
+    scanner = spans.Scanner(fixed.RECOGNIZERS)
+
+    def seconds(n):
+        best = float("inf")
+        for _ in range(3):
+            start = time.process_time()
+            found = scanner.scan(text * n)
+            flat = [{"entity": fixed.RECOGNIZERS[k][0], "start": a, "end": b, "score": fixed.RECOGNIZERS[k][2], "text": ""}
+                    for k, a, b in found]
+            array = pa.array([flat], pa.list_(pa.struct([("entity", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
+                                                         ("score", pa.float64()), ("text", pa.string())])))
+            spans.cover(array), spans.winners(array)
+            best = min(best, time.process_time() - start)
+        return best, len(found)
+    (base, count), (more, many) = seconds(1000), seconds(8000)
+    assert many == 8 * count and count >= 3000
+    assert more < 8 * 2.5 * base + 0.05
 
 
 def test_merging_covers_what_choosing_leaves(rows):
