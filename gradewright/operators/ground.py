@@ -68,20 +68,22 @@ def entity_groundedness(pairs: DataFrame, source: str = "source", draft: str = "
         e["entity"].alias("entity"), e["text"].alias("text"),
         F.array_except(words(e["text"]), ignored).alias("words"),
         F.when(e["entity"] == "DATE_TIME", date_core(e["text"])).alias("core"))))
-    staged = staged.withColumns({
-        "_known": F.when(F.size("_open") > 0, F.array_intersect(
-            F.flatten(F.transform("_open", lambda e: e["words"])), words(F.col("_source")))),
-        "_dates": F.when(F.exists("_open", lambda e: e["entity"] == "DATE_TIME"), F.array_intersect(
-            F.flatten(F.filter(F.transform("_open", lambda e: e["core"]), lambda c: c.isNotNull())),
-            date_core(F.col("_source"))))})
-
-    def unsupported(e: Column) -> Column:
-        dated = (e["entity"] == "DATE_TIME") & (F.size(F.array_except(e["core"], F.col("_dates"))) == 0)
-        worded = F.size(F.array_except(e["words"], F.col("_known"))) == 0
+    known = F.when(F.size("_open") > 0, F.array_intersect(
+        F.flatten(F.transform("_open", lambda e: e["words"])), words(F.col("_source"))))
+    dates = F.when(F.exists("_open", lambda e: e["entity"] == "DATE_TIME"), F.array_intersect(
+        F.flatten(F.filter(F.transform("_open", lambda e: e["core"]), lambda c: c.isNotNull())),
+        date_core(F.col("_source"))))
+
+    def unsupported(e: Column, held: Column) -> Column:
+        dated = (e["entity"] == "DATE_TIME") & (F.size(F.array_except(e["core"], held["dates"])) == 0)
+        worded = F.size(F.array_except(e["words"], held["known"])) == 0
         return ~(F.coalesce(dated, F.lit(False)) | F.coalesce(worded, F.lit(False)))
 
-    staged = staged.withColumn("findings", F.transform(
-        F.filter("_open", unsupported), lambda e: F.concat_ws(":", e["entity"], e["text"])))
+    # An array of one binds what the source holds to a name; as columns the optimizer
+    # would move it into the filter and read the source once per entity.
+    findings = F.transform(F.array(F.struct(known.alias("known"), dates.alias("dates"))), lambda held: F.transform(
+        F.filter("_open", lambda e: unsupported(e, held)), lambda e: F.concat_ws(":", e["entity"], e["text"])))
+    staged = staged.withColumn("findings", F.get(findings, F.lit(0)))
     total, bad = F.size("_e"), F.size("findings")
     score = F.when(total == 0, 1.0).otherwise(1 - bad / total)
     made = F.col("_draft").isNotNull()
