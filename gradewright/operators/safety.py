@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.columns import lstrip, strip
+from .joins import in_chunks, split_join
+
+MOST_PROBES = 1000             # probes of one row of the index
+BROADCAST_ROWS = 1_000_000     # index rows and characters up to which it is broadcast
+BROADCAST_CHARS = 64_000_000
+
 
 def leakage_probes(protected: DataFrame, text: str, order: str,
                    least: int = fixed.PROBE_MIN_CHARS) -> DataFrame:
@@ -30,10 +36,30 @@ def _blocks(text: Column, size: int) -> Column:
 
 
 def _slices(text: Column, size: int) -> Column:
-    """Hashes of all slices of ``size`` characters of a short text."""
+    """Hashes of all slices of ``size`` characters of a short text, in order."""
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.array_distinct(F.transform(
-        starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(size)))))
+    return F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(size))))
+
+
+def probe_index(probes: DataFrame, block: int, literals: Sequence[str] = ()) -> DataFrame:
+    """(h, probes): slice hashes by which a probe can be met, and the probes met by each.
+
+    A probe of two blocks or more that stands in a draft covers, whatever its place,
+    one of the slices r, r + block, ... completely for the one r that fits the draft's
+    cutting. Any of them will do, so for each r the probe is listed under the slice that
+    the fewest probes hold: a sentence that many probes share names none of them, as long
+    as they have other text. Long lists are cut into chunks of MOST_PROBES. A literal is
+    listed under its own hash.
+    """
+    slices = probes.select("probe", F.posexplode(_slices(F.col("probe"), block)).alias("at", "h"))
+    holders = slices.groupBy("h").agg(F.approx_count_distinct("probe").alias("holders"))
+    listed = (slices.join(holders, "h")
+              .groupBy("probe", F.pmod("at", F.lit(block)).alias("r"))
+              .agg(F.min(F.struct("holders", "at", "h"))["h"].alias("h")).select("h", "probe").distinct())
+    if literals:
+        named = probes.sparkSession.createDataFrame([(p,) for p in literals], "probe STRING")
+        listed = listed.unionByName(named.select(F.xxhash64("probe").alias("h"), "probe"))
+    return in_chunks(listed, ["h"], "probe", MOST_PROBES, "probes").select("h", "probes")
 
 
 def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
@@ -42,27 +68,32 @@ def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
     """(key, probe) for every probe found verbatim in a draft.
 
     Cut a draft into blocks of ``least // 2`` characters: any text of at least
-    ``least`` characters inside it covers one block completely. So the block
-    hashes of a draft are equi-joined with the hashes of all slices of that size
-    of the probes, and nothing can be missed. Only hashes travel; candidate
-    pairs meet the texts again for the exact substring test. Shorter probes do
-    not come through here: the few fixed ones (the data delimiter) are ``literals``.
+    ``least`` characters inside it covers one block completely, so nothing can be
+    missed. The block hashes are looked up in the probe index inside the scan (it is
+    broadcast if its measured size allows, see BROADCAST_ROWS and BROADCAST_CHARS; beyond
+    that hot hashes are split); only blocks that name a probe are shuffled, at most one row per draft and
+    hash, however many probes share it. There the texts are met again for the exact
+    substring test. Shorter probes do not come through here: the few fixed ones (the
+    data delimiter) are ``literals``.
     """
     block = least // 2
-    grams = probes.filter(F.length("probe") >= least).select(
-        "probe", F.explode(_slices(F.col("probe"), block)).alias("h"))
+    index = probe_index(probes.filter(F.length("probe") >= least).select("probe"), block, literals)
+    rows, chars = index.agg(F.count(F.lit(1)), F.sum(F.aggregate(
+        "probes", F.lit(0).cast("long"), lambda n, p: n + F.length(p)))).first()
+    few = rows <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS
     # A literal rides along as one more hash of the drafts that hold it.
     cut = _blocks(F.col(draft), block)
     if literals:
         held = F.array(*[F.when(F.contains(F.col(draft), F.lit(p)), F.xxhash64(F.lit(p))) for p in literals])
         cut = F.concat(cut, F.array_compact(held))
-        named = drafts.sparkSession.createDataFrame([(p,) for p in literals], "probe STRING")
-        grams = grams.unionByName(named.select("probe", F.xxhash64("probe").alias("h")))
     # The outer form keeps the optimizer from hashing twice for a size filter.
     blocks = drafts.select(key, F.explode_outer(cut).alias("h"))
-    candidates = blocks.join(grams, "h").select(key, "probe").distinct()
-    return (drafts.select(key, draft).join(candidates, key)
-            .filter(F.contains(F.col(draft), F.col("probe"))).select(key, "probe"))
+    hashes = index.select("h")
+    met = blocks.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").distinct()
+    texts = drafts.select(key, draft).join(met, key)
+    looked_up = texts.join(F.broadcast(index), "h") if few else split_join(texts, index, "h", unique=False)
+    return looked_up.select(key, F.explode(F.filter(
+        "probes", lambda p: F.contains(F.col(draft), p))).alias("probe")).distinct()
 
 
 def trigger_compliance(pairs: DataFrame, source: str = "source", draft: str = "draft",

@@ -435,7 +435,7 @@ def catalogue(t: Tables):
 
 
 def picked(t: Tables):
-    return evidence.select_evidence(tagged(t), catalogue(t), "doc_id")
+    return evidence.select_evidence(tagged(t), catalogue(t), "doc_id").select("doc_id", "evidence_ids")
 
 
 @query("j3_topics", f"""WITH {_TAGGED}
@@ -510,6 +510,16 @@ def _(t):
     SELECT CAST(doc_id AS STRING) AS key, 'stale evidence' AS rule, ids AS detail FROM picked
     WHERE doc_id % 10 = 0""")
 def _(t):
+    stored = F.when(F.col("doc_id") % 10 == 0, F.concat(F.array(F.lit("EV-999")), "evidence_ids")).otherwise(
+        F.col("evidence_ids"))
+    return evidence.stale_rows(picked(t).withColumn("stored_ids", stored), "doc_id")
+
+
+@query("f8_stale_tables", f"""WITH {_PICKED}
+    SELECT CAST(doc_id AS STRING) AS key, 'stale evidence' AS rule, ids AS detail FROM picked
+    WHERE doc_id % 10 = 0""")
+def _(t):
+    """The same for stored ids in a table of their own."""
     fresh = picked(t)
     stored = fresh.withColumn("evidence_ids", F.when(
         F.col("doc_id") % 10 == 0, F.concat(F.array(F.lit("EV-999")), "evidence_ids"))
@@ -517,6 +527,13 @@ def _(t):
     return evidence.stale_evidence(stored, fresh, "doc_id")
 
 
+@query("j4_large_catalogue", f"WITH {_PICKED} SELECT doc_id, ids AS evidence_ids FROM picked")
+def _(t):
+    """The split join a catalogue takes that is too large to be held in the plan."""
+    rows = evidence.select_evidence(tagged(t), catalogue(t), "doc_id", most=0)
+    return rows.withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
 @query("u2_unknown_references", f"""WITH {_PICKED}
     SELECT DISTINCT id FROM (SELECT unnest(string_split(ids, ',')) AS id FROM picked
                              UNION ALL SELECT 'EV-9' || CAST(doc_id % 7 AS STRING) FROM picked)
