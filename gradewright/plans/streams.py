@@ -88,16 +88,21 @@ def _(t):
         "record_id", "decision", "reviewer_text")
 
 
-@query("t3_retry_stream", f"""WITH {RESOLVED_CTE}
-    SELECT run_id, record_id, stage, outcome, attempt, failed_attempts,
-           coalesce(case_type, draft_reply) AS payload FROM resolved WHERE outcome <> 'open'""")
+@query("t3_retry_stream", f"""WITH {RESOLVED_CTE},
+    times AS (SELECT run_id, record_id, stage, max(ts) AS last FROM responses GROUP BY 1, 2, 3)
+    SELECT r.run_id, r.record_id, r.stage, outcome, attempt, failed_attempts,
+           coalesce(case_type, draft_reply) AS payload
+    FROM resolved r JOIN times t ON t.run_id = r.run_id AND t.record_id = r.record_id AND t.stage = r.stage
+    WHERE outcome <> 'open'
+       OR epoch_ms(last) + {3 * 3_600_000} <= (SELECT max(epoch_ms(ts)) FROM responses)""")
 def _(t):
+    """Decided calls as they are decided; open ones once two hours have passed without an attempt."""
     checked = responses.validate_responses(_streamed(t).view("responses")).withColumn(
-        "payload", F.coalesce("case_type", "draft_reply"))
+        "payload", F.coalesce("case_type", "draft_reply")).withColumn("at", runs.event_time("ts"))
     before = t.spark.conf.get(retries.PROVIDER)
     t.spark.conf.set(retries.PROVIDER, retries.ROCKSDB)
     try:
-        return _append(t, retries.resolve_stream(checked, timeout_ms=None), "retries")
+        return _append(t, retries.resolve_stream(checked, timeout_ms=2 * 3_600_000, delay="1 hour"), "retries")
     finally:
         t.spark.conf.set(retries.PROVIDER, before)
 

@@ -145,7 +145,7 @@ VIEWS: dict[str, str] = {
                event_type, value, user_id, ts
         FROM events""",
     "responses": f"""
-        SELECT run_id, record_id, stage, attempt, event_id,
+        SELECT run_id, record_id, stage, attempt, event_id, ts,
                CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'refused' END
                  AS provider_error,
                CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN NULL

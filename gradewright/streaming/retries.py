@@ -8,13 +8,14 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-STATE = "seen INT, failed INT, ok INT, refused INT, payload STRING, done BOOLEAN"
+STATE = "seen INT, failed INT, ok INT, refused INT, payload STRING, done BOOLEAN, latest BIGINT"
 
 
 # The processor travels by value, so executors need no copy of this package.
@@ -27,6 +28,10 @@ class RetryResolver(StatefulProcessor):
     State per call is two attempt bit masks, the deciding attempt numbers and one
     payload, whatever the number or order of rows. An attempt decides only when
     all attempts before it were seen, so arrival order does not change the result.
+
+    With a timeout every call ends ``timeout_ms`` of event time after its latest attempt: an
+    undecided one is emitted with what was seen, and its state, or the mark that it is
+    decided, is removed. So state follows the calls of the timeout, not all calls.
     """
 
     def __init__(self, keys: Sequence[str], bound: int, timeout_ms: int | None) -> None:
@@ -57,14 +62,12 @@ class RetryResolver(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (0, 0, 0, 0, None, False)
-        seen, failed, ok, refused, payload, done = held
-        if done:
-            for _ in rows:
-                pass
-            return
+        held = self.state.get() if self.state.exists() else (0, 0, 0, 0, None, False, 0)
+        seen, failed, ok, refused, payload, done, latest = held
         for batch in rows:
-            usable = batch[batch["attempt"] <= self.bound]
+            if self.timeout_ms is not None:
+                latest = max(latest, int(batch["millis"].max()))
+            usable = batch[batch["attempt"] <= self.bound] if not done else batch[:0]
             for attempt, valid, error, text in zip(
                     usable["attempt"], usable["valid"], usable["provider_error"],
                     usable["payload"]):
@@ -77,43 +80,50 @@ class RetryResolver(StatefulProcessor):
                         ok, payload = attempt, text
                 else:
                     failed |= 1 << (attempt - 1)
-        decided = self._decide(seen, failed, ok, refused, force=False)
+        if self.timeout_ms is not None and latest > held[6]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(latest + self.timeout_ms)
+        decided = None if done else self._decide(seen, failed, ok, refused, force=False)
         if decided is not None:
-            # The mark that a call is decided is all that has to stay.
-            self.state.update((0, 0, 0, 0, None, True))
+            # The mark that a call is decided is all that has to stay, until its time is up.
+            self.state.update((0, 0, 0, 0, None, True, latest))
             yield self._row(key, *decided, payload if decided[0] == "ok" else None)
             return
-        self.state.update((seen, failed, ok, refused, payload, False))
-        if self.timeout_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(
-                timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        self.state.update((seen, failed, ok, refused, payload, done, latest))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
-        seen, failed, ok, refused, payload, done = self.state.get()
-        if done:
-            return
-        decided = self._decide(seen, failed, ok, refused, force=True)
-        self.state.update((0, 0, 0, 0, None, True))
-        yield self._row(key, *decided, payload if decided[0] == "ok" else None)
+        seen, failed, ok, refused, payload, done, _ = self.state.get()
+        self.state.clear()
+        if not done and (seen or failed):
+            decided = self._decide(seen, failed, ok, refused, force=True)
+            yield self._row(key, *decided, payload if decided[0] == "ok" else None)
 
     def close(self) -> None:
         pass
 
 
 def resolve_stream(attempts: DataFrame, keys: Sequence[str] = ("run_id", "record_id", "stage"),
-                   bound: int = fixed.RESPONSE_ATTEMPTS, timeout_ms: int | None = 600_000
-                   ) -> DataFrame:
+                   bound: int = fixed.RESPONSE_ATTEMPTS, timeout_ms: int | None = 600_000,
+                   at: str = "at", delay: str = "1 hour") -> DataFrame:
     """Stateful twin of the batch retry resolution; needs the RocksDB state store.
 
-    ``attempts`` has the keys, attempt, valid, provider_error and a text payload.
+    ``attempts`` has the keys, attempt, valid, provider_error, a text payload and, with
+    a timeout, an event time ``at``. Rows may arrive ``delay`` late. Once the watermark has passed a
+    call's latest attempt by the timeout, it is over: emitted as it stands if it is still undecided
+    (``open`` without a deciding attempt), and forgotten; a row that names it after that
+    opens a new call. Without a timeout nothing is forgotten.
     """
     schema = ", ".join(f"{k} STRING" for k in keys) + (
         ", outcome STRING, attempt INT, failed_attempts INT, payload STRING")
-    slim = attempts.select(*keys, "attempt", "valid", "provider_error", "payload")
+    columns = [*keys, "attempt", "valid", "provider_error", "payload"]
+    if timeout_ms is None:
+        slim = attempts.select(*columns)
+    else:
+        slim = (attempts.select(*columns, F.unix_millis(at).alias("millis"), F.col(at).alias("at"))
+                .withWatermark("at", delay))
     return slim.groupBy(*keys).transformWithStateInPandas(
         RetryResolver(keys, bound, timeout_ms), schema, "append",
-        "ProcessingTime" if timeout_ms is not None else "None")
+        "EventTime" if timeout_ms is not None else "None")

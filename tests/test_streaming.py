@@ -52,6 +52,36 @@ def test_retry_stream_equals_batch_for_any_arrival_order(spark, tables, tmp_path
     assert same(got, want)
 
 
+def test_retry_state_is_forgotten_and_open_calls_are_emitted(spark, tmp_path):
+    """20 batches, an hour each: calls time out while the stream runs, and state stays flat."""
+    hour, path = 3600, str(tmp_path / "in")
+    for b in range(20):
+        data = [("r", f"ok-{b}", "triage", 1, True, "p", b * hour), ("r", f"open-{b}", "triage", 1, False, None, b * hour),
+                ("r", f"gap-{b}", "triage", 2, True, "late", b * hour)]
+        (spark.createDataFrame(data, "run_id STRING, record_id STRING, stage STRING, attempt INT, valid BOOLEAN, payload STRING, s LONG")
+         .select("*", F.lit(None).cast("string").alias("provider_error"), F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at")).drop("s")
+         .coalesce(1).write.mode("append").parquet(path))
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    before = spark.conf.get(retries.PROVIDER)
+    spark.conf.set(retries.PROVIDER, retries.ROCKSDB)
+    try:
+        resolved = retries.resolve_stream(stream, timeout_ms=2 * hour * 1000, delay="1 hour")
+        done = runs.start(resolved, str(tmp_path / "out"), str(tmp_path / "cp"))
+        done.awaitTermination()
+    finally:
+        spark.conf.set(retries.PROVIDER, before)
+    got = {r.record_id: (r.outcome, r.attempt, r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    for b in range(20):
+        assert got.pop(f"ok-{b}") == ("ok", 1, "p")
+        over = b + 2 + 1 <= 19  # timeout and delay behind the last hour
+        assert (got.pop(f"open-{b}", None) == ("open", None, None)) == over
+        assert (got.pop(f"gap-{b}", None) == ("ok", 2, "late")) == over
+    assert not got
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress]
+    assert 0 < max(rows[10:]) <= max(rows[:10]) < 20
+
+
 def test_timeout_decides_from_what_was_seen():
     resolver = retries.RetryResolver(["k"], 3, 1000)
     assert resolver._decide(0b10, 0b00, 2, 0, force=False) is None
