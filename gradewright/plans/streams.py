@@ -36,12 +36,12 @@ def _append(t: Tables, stream, purpose: str):
     return t.spark.read.schema(stream.schema).parquet(f"{out}/table")
 
 
-def _fold(t: Tables, stream, initial, step, purpose: str, mode: str = "update"):
+def _fold(t: Tables, stream, initial, step, purpose: str, part, mode: str = "update"):
     out = shared_dir(t.spark, purpose)
-    initial.write.parquet(runs.version_path(f"{out}/table", 0))
-    done = runs.start_versions(stream, f"{out}/table", f"{out}/checkpoint", step, mode)
-    done.awaitTermination()
-    return runs.latest(t.spark, f"{out}/table")
+    table = runs.PartTable(t.spark, f"{out}/table", part)
+    table.create(initial)
+    runs.start_folds(stream, table, f"{out}/checkpoint", step, mode).awaitTermination()
+    return table.latest()
 
 
 def _streamed(t: Tables) -> StreamTables:
@@ -84,7 +84,8 @@ def _(t):
 def _(t):
     step = folds.queue_step(("ts", "event_id"))
     queue = t.view("queue").select("record_id", "draft_reply", "decision", "reviewer_text")
-    return _fold(t, _streamed(t).view("decisions"), queue, step, "queue", "append").select(
+    return _fold(t, _streamed(t).view("decisions"), queue, step, "queue",
+                 runs.hash_part(["record_id"]), "append").select(
         "record_id", "decision", "reviewer_text")
 
 
@@ -129,7 +130,7 @@ _ROLL = """SELECT CAST({w} AS BIGINT) AS window_start, stage,
 
 def _rolled(t: Tables, width: str, slide: str | None = None):
     """On-time rows: windows changed by a batch replace their earlier row, and old state is
-    dropped by watermark. Late rows: counts per window, added up batch by batch."""
+    dropped by watermark. The table is kept by months, so windows long closed are not rewritten. Late rows: counts per window, added up batch by batch."""
     keys = ["window_start", "stage"]
 
     def flat(frame, *columns):
@@ -138,11 +139,12 @@ def _rolled(t: Tables, width: str, slide: str | None = None):
     marked = traces.split_late(_timed(t), "at", "arrived", "1 HOUR")
     stream = flat(traces.rolling_operations(marked, "at", ["stage"], width, slide), "calls", "failures",
                   F.round("seconds", 6).alias("seconds"), "slowest", "tokens")
+    month = runs.range_part("window_start", 30 * 24 * _HOUR)
     on_time = _fold(t, stream, t.spark.createDataFrame([], stream.schema),
-                    lambda state, batch: merge.merge_by_key(state, batch, keys), "rolling")
+                    lambda state, batch: merge.merge_by_key(state, batch, keys), "rolling", month)
     late = flat(traces.late_rows(marked, "at", ["stage"], width, slide))
     counts = _fold(t, late, t.spark.createDataFrame([], "window_start BIGINT, stage STRING, late BIGINT"),
-                   folds.count_step(keys, "late"), "late", "append")
+                   folds.count_step(keys, "late"), "late", month, "append")
     return on_time.join(counts, keys, "full_outer").select(
         *keys, F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("failures", F.lit(0)).alias("failures"),
         "seconds", "slowest", "tokens", F.coalesce("late", F.lit(0)).alias("late"))
@@ -180,7 +182,8 @@ def _sums(t: Tables):
     scores = _streamed(t).view("cell_ratings").select("combination", "metric",
                                                       F.col("hit").alias("score"))
     keys = ["combination", "metric"]
-    return _fold(t, scores, folds.empty_sums(t.spark, keys), folds.sums_step(keys), "cells", "append")
+    return _fold(t, scores, folds.empty_sums(t.spark, keys), folds.sums_step(keys), "cells",
+                 runs.hash_part(keys, 16), "append")
 
 
 @query("t6_running_cell_means", """

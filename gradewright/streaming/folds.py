@@ -1,4 +1,4 @@
-"""Streams that fold into versioned tables: queue state and running cell sums."""
+"""Steps of streams that fold into tables kept in versions: queue state and running cell sums."""
 
 from __future__ import annotations
 

@@ -103,13 +103,13 @@ def test_queue_stream_equals_batch_when_the_log_is_ordered(spark, tables, tmp_pa
         marked.filter(F.col("batch") == i).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).parquet(path)
     root = str(tmp_path / "queue")
-    queue.write.parquet(runs.version_path(root, 0))
-    done = runs.start_versions(stream, root, str(tmp_path / "cp"),
-                               folds.queue_step(("ts", "event_id")), "append")
+    table = runs.PartTable(spark, root, runs.hash_part(["record_id"]))
+    table.create(queue)
+    done = runs.start_folds(stream, table, str(tmp_path / "cp"), folds.queue_step(("ts", "event_id")), "append")
     done.awaitTermination()
     assert done.lastProgress["batchId"] == 2
     want = review.apply_decisions(queue, review.first_decisions(log, queue, ("ts", "event_id")))
-    assert same(runs.latest(spark, root), want)
+    assert same(table.latest(), want)
 
 
 def test_running_sums_equal_one_aggregate(spark, tables, tmp_path):
@@ -117,13 +117,13 @@ def test_running_sums_equal_one_aggregate(spark, tables, tmp_path):
                                               "l_orderkey")
     stream = split_files(spark, rows, str(tmp_path / "in"), 4, "l_orderkey")
     keys = ["combination", "metric"]
-    root = str(tmp_path / "sums")
-    folds.empty_sums(spark, keys).write.parquet(runs.version_path(root, 0))
-    done = runs.start_versions(stream, root, str(tmp_path / "cp"), folds.sums_step(keys), "append")
+    table = runs.PartTable(spark, str(tmp_path / "sums"), runs.hash_part(keys, 8))
+    table.create(folds.empty_sums(spark, keys))
+    done = runs.start_folds(stream, table, str(tmp_path / "cp"), folds.sums_step(keys), "append")
     done.awaitTermination()
     want = rows.groupBy(*keys).agg(F.count("score").alias("n"),
                                    F.sum("score").cast("double").alias("total"))
-    assert same(runs.latest(spark, root), want)
+    assert same(table.latest(), want)
 
 
 def test_partial_sums_add_up_in_any_order(rows):
@@ -159,25 +159,64 @@ def test_stage_correlation_respects_the_bound(spark, tmp_path):
 
 def test_restart_with_nothing_new_returns_the_same_table(spark, tables, tmp_path):
     rows = tables.view("cell_ratings").select("combination", "metric", F.col("hit").alias("score"), "l_orderkey")
-    keys, root = ["combination", "metric"], str(tmp_path / "sums")
-    folds.empty_sums(spark, keys).write.parquet(runs.version_path(root, 0))
+    keys = ["combination", "metric"]
+    table = runs.PartTable(spark, str(tmp_path / "sums"), runs.hash_part(keys, 8))
+    table.create(folds.empty_sums(spark, keys))
     stream = split_files(spark, rows, str(tmp_path / "in"), 6, "l_orderkey")
     found = []
     for _ in range(2):
-        runs.start_versions(stream, root, str(tmp_path / "cp"), folds.sums_step(keys), "append").awaitTermination()
-        found.append(runs.latest(spark, root))
-        assert len(runs._versions(spark, root)) == 2
+        runs.start_folds(stream, table, str(tmp_path / "cp"), folds.sums_step(keys), "append").awaitTermination()
+        found.append(table.latest())
+        assert table.versions() == [5, 6]
     assert same(*found)
     assert found[0].agg(F.sum("n")).first()[0] == rows.count()
 
 
 def test_incomplete_version_is_not_taken(spark, tmp_path):
-    root = str(tmp_path / "v")
-    spark.range(3).write.parquet(runs.version_path(root, 0))
-    (tmp_path / "v" / "version=000000001").mkdir()
-    assert runs.latest(spark, root).count() == 3
+    table = runs.PartTable(spark, str(tmp_path / "v"), runs.hash_part(["id"], 4))
+    table.create(spark.range(3).toDF("id"))
+    spark.range(9).withColumn("_part", F.lit(0)).write.partitionBy("_part").parquet(str(tmp_path / "v/data/version=000000001"))
+    (tmp_path / "v/manifest/_000000001").write_text("{}")
+    assert table.latest().count() == 3 and table.versions() == [0]
     with pytest.raises(FileNotFoundError):
-        runs.latest(spark, str(tmp_path / "none"))
+        runs.PartTable(spark, str(tmp_path / "none"), runs.hash_part(["id"])).latest()
+
+
+def test_a_batch_rewrites_only_its_parts_and_may_be_replayed(spark, tmp_path):
+    """20,000 keys in 32 parts; batches of three keys write a few parts, and the same again on replay."""
+    def size(version):
+        return sum(f.stat().st_size for f in (tmp_path / f"t/data/version={version:09d}").rglob("*.parquet"))
+
+    table = runs.PartTable(spark, str(tmp_path / "t"), runs.hash_part(["id"], 32))
+    table.create(spark.range(20_000).select("id", F.lit(0).cast("long").alias("n")))
+
+    def step(state, batch):
+        return state.unionByName(batch).groupBy("id").agg(F.sum("n").alias("n"))
+    want = {}
+    for number in range(4):
+        batch = spark.createDataFrame([(7, 1), (8, 2), (20_000 + number, 5)], "id LONG, n LONG")
+        full = size(0) if number == 0 else full
+        table.fold(batch, number, step)
+        once = sorted(map(tuple, table.latest().filter("n > 0").collect()))
+        table.fold(batch, number, step)  # replayed: reads the version before its own
+        assert once == sorted(map(tuple, table.latest().filter("n > 0").collect()))
+        assert 0 < size(number + 1) < full / 5
+        want = {7: number + 1, 8: 2 * (number + 1), **{20_000 + k: 5 for k in range(number + 1)}}
+        assert dict(once) == want
+    assert table.latest().count() == 20_004 and table.versions() == [3, 4]
+    table.fold(spark.createDataFrame([], "id LONG, n LONG"), 4, step)  # an empty batch writes no data
+    assert table.latest().count() == 20_004 and not (tmp_path / "t/data/version=000000005").exists()
+
+
+def test_closed_windows_are_not_rewritten(spark, tmp_path):
+    table = runs.PartTable(spark, str(tmp_path / "w"), runs.range_part("start", 10))
+    table.create(spark.createDataFrame([], "start LONG, n LONG"))
+    for number in range(5):
+        batch = spark.createDataFrame([(10 * number + k, 1) for k in range(10)], "start LONG, n LONG")
+        table.fold(batch, number, lambda state, new: merge.merge_by_key(state, new, ["start"]))
+        manifest = table._manifest(number + 1)["parts"]
+        assert manifest == {str(k): k + 1 for k in range(number + 1)}
+    assert table.latest().count() == 50
 
 
 def test_late_rows_of_later_batches_are_counted(spark, tmp_path):
@@ -196,18 +235,18 @@ def test_late_rows_of_later_batches_are_counted(spark, tmp_path):
     marked = traces.split_late(stream, "at", "arrived", "1 HOUR")
     late = traces.late_rows(marked, "at", ["stage"], "24 hours").select(
         F.unix_micros("window.start").alias("w"), "stage")
-    root = str(tmp_path / "late")
-    spark.createDataFrame([], "w BIGINT, stage STRING, late BIGINT").write.parquet(runs.version_path(root, 0))
-    runs.start_versions(late, root, str(tmp_path / "cp"), folds.count_step(["w", "stage"], "late"),
-                        "append").awaitTermination()
-    assert [tuple(r) for r in runs.latest(spark, root).collect()] == [(0, "x", 2)]
+    part = runs.range_part("w", 24 * hour * 1_000_000)
+    table = runs.PartTable(spark, str(tmp_path / "late"), part)
+    table.create(spark.createDataFrame([], "w BIGINT, stage STRING, late BIGINT"))
+    runs.start_folds(late, table, str(tmp_path / "cp"), folds.count_step(["w", "stage"], "late"), "append").awaitTermination()
+    assert [tuple(r) for r in table.latest().collect()] == [(0, "x", 2)]
     flat = traces.rolling_operations(marked, "at", ["stage"], "24 hours").select(
         F.unix_micros("window.start").alias("w"), "stage", "calls")
-    root = str(tmp_path / "rolled")
-    spark.createDataFrame([], flat.schema).write.parquet(runs.version_path(root, 0))
-    runs.start_versions(flat, root, str(tmp_path / "cp2"), lambda state, batch: merge.merge_by_key(
+    table = runs.PartTable(spark, str(tmp_path / "rolled"), part)
+    table.create(spark.createDataFrame([], flat.schema))
+    runs.start_folds(flat, table, str(tmp_path / "cp2"), lambda state, batch: merge.merge_by_key(
         state, batch, ["w", "stage"])).awaitTermination()
-    assert sorted((r.w // (24 * hour * 1_000_000), r.calls) for r in runs.latest(spark, root).collect()) == [
+    assert sorted((r.w // (24 * hour * 1_000_000), r.calls) for r in table.latest().collect()) == [
         (0, 2), (2, 3)]
 
 
