@@ -36,7 +36,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """)
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, shared_dir(spark, "digest-index"))
-    decided = index.add(table(spark, folder, "documents"))
+    decided = index.add(table(spark, folder, "documents"), "documents")
     return decided.select("doc_id", "keep_id", "group_size", "kept",
                           F.lower(F.hex("digest")).alias("text_sha256"))
 
