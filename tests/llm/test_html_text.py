@@ -100,3 +100,82 @@ def test_broken_pages_with_icons_and_formulas():
     assert text('<article><svg b="/">no<svg/>no</svg><p>one</p><svg-icon></svg-icon><p>two</p></article>') == "one two"
     assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <math/>it</p></article>") == "Let x=2 be it"
     assert text("<article><p>one <math><mi>x</mi></p><p>two</p></article>") == "one x two"
+
+
+PARA = "This is one paragraph of running text of twenty six words, so that nobody could take it for a label or for the name of a button."
+
+
+def page(body):
+    return f'<body><nav><a href="/">Home</a> <a href="/n">News</a></nav>{body}<footer>Some words of a footer here</footer></body>'
+
+
+def test_a_name_does_not_decide():
+    """Text of the article stands, whatever its wrapper is called."""
+    many = [f"{PARA} Number {i}." for i in range(20)]
+    body = "".join(f"<p>{p}</p>" for p in many)
+    for opened, closed in (('<div class="post category-ads">', "</div>"), ('<article><section id="discussion">', "</section></article>"),
+                           ('<div class="menu">', "</div>"), ('<div id="comments">', "</div>")):
+        assert text(page(opened + body + closed)) == " ".join(many), opened
+    for name in ('id="related-work"', 'class="informed-consent"', 'class="newsletter-issue"', 'id="menu-right-page"',
+                 'class="nav-wrapper-page"', 'class="post tag-sponsored-by"', 'class="share"'):
+        assert text(page(f"<div {name}><p>{PARA}</p></div>")) == PARA, name
+        assert text(page(f"<article><p>{PARA}</p><section {name}><p>{PARA} Two.</p></section></article>")) == f"{PARA} {PARA} Two.", name
+
+
+def test_names_count_where_the_page_has_other_text():
+    for part in (f'<div id="comments"><h2>Comments</h2><p>{PARA}</p><p>{PARA}</p></div>', f'<div class="comment-list"><p>{PARA}</p></div>',
+                 f'<div class="cookie-consent">{PARA}</div>', f'<div class="left-sidebar"><p>{PARA}</p></div>', f'<div class="ad">{PARA}</div>',
+                 '<div class="main-nav"><a href="/">Home</a></div>', '<div class="related"><h3>Related</h3><a href="/x">Another text</a></div>'):
+        assert text(page(f"<div><p>{PARA}</p><p>{PARA}</p></div>{part}")) == f"{PARA} {PARA}", part
+
+
+def test_short_pages_and_linked_text():
+    assert text("Just a line") == "Just a line" and text("<p>Short.</p>") == "Short."
+    assert text(page("<article><p>Short.</p></article>")) == "Short."
+    refs = "".join(f'<li><a href="/{i}">{PARA}</a></li>' for i in range(3))
+    assert text(page(f'<article><p>{PARA}</p><p><a href="/x">{PARA}</a></p><ol>{refs}</ol></article>')) == " ".join([PARA] * 5)
+
+
+def tree_twin(row):
+    """The tree's answer from its table alone: nearest splits replayed without the Tree class."""
+    rows = [(r[:-1], bool(r[-1])) for r in h.LABELLED]
+    for _ in range(8):
+        answers = [y for _, y in rows]
+        if all(answers) or not any(answers):
+            break
+        best = None
+        for f in range(len(row)):
+            values = sorted({float(x[f]) for x, _ in rows})
+            for a, b in zip(values, values[1:]):
+                cut = (a + b) / 2
+                cost = 0.0
+                for side in ([y for x, y in rows if x[f] <= cut], [y for x, y in rows if x[f] > cut]):
+                    cost += sum(side) * (1 - sum(side) / len(side))
+                if best is None or cost < best[0] - 1e-12:
+                    best = (cost, f, cut)
+        _, f, cut = best
+        rows = [(x, y) for x, y in rows if (x[f] <= cut) == (row[f] <= cut)]
+    answers = [y for _, y in rows]
+    return 2 * sum(answers) >= len(answers)
+
+
+def test_tree_against_brute_force():
+    import random
+    r = random.Random(3)
+    for _ in range(60):
+        base = list(r.choice(h.LABELLED)[:-1])
+        for f in r.sample(range(len(base)), 2):
+            base[f] = r.choice(h.LABELLED)[f]
+        assert TREE.keeps(base) == tree_twin(base)
+
+
+def test_held_out_blocks():
+    """Trees grown without a fifth of the table answer most of that fifth alike."""
+    right = total = 0
+    for k in range(5):
+        tree = h.train([row for i, row in enumerate(h.LABELLED) if i % 5 != k])
+        held = [row for i, row in enumerate(h.LABELLED) if i % 5 == k]
+        right += sum(tree.keeps(row[:-1]) == bool(row[-1]) for row in held)
+        total += len(held)
+    print(f"held out: {right} of {total}")
+    assert right / total > 0.75
