@@ -13,9 +13,10 @@ import numpy as np
 from .common import SPACE, mix
 
 SEGMENT = 1 << 18  # bytes of text worked on at a time; a longer text is alone
-_BLANK = np.isin(np.arange(256), list(SPACE))
-_BASE = np.uint64(0xD1342543DE82EF95)
-_powers = np.ones(1, np.uint64)
+_FILLED = ~np.isin(np.arange(256), list(SPACE))
+_STEP = 1 << 12
+with np.errstate(over="ignore"):
+    _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(_STEP - 1, 0xD1342543DE82EF95, np.uint64)])
 
 
 def groups(raws: list[bytes]) -> Iterator[list[bytes]]:
@@ -31,25 +32,22 @@ def groups(raws: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
-def spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a byte array start and end."""
+def byte_runs(b: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes of a class start and end; ``inside``: for each byte value, whether it is one."""
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    blank = _BLANK[b]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
+    own = inside[b]
+    edge = np.flatnonzero(own[1:] != own[:-1]) + 1
+    if own[0]:
         edge = np.r_[0, edge]
-    if not blank[-1]:
+    if own[-1]:
         edge = np.r_[edge, len(b)]
     return edge[::2], edge[1::2]
 
 
-def _power(size: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < size:
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * size, _BASE, np.uint64)])
-    return _powers
+def spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a byte array start and end."""
+    return byte_runs(b, _FILLED)
 
 
 def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,7 +59,10 @@ def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     inside = b[np.repeat(starts, size) + place]
     values = mix(inside.astype(np.uint64), 77)
     with np.errstate(over="ignore"):
-        total = np.add.reduceat(values * _power(int(size.max()))[place], np.cumsum(size) - size)
+        values *= _POWERS[place & (_STEP - 1)]
+        if size.max() > _STEP:
+            values *= mix((place // _STEP).astype(np.uint64), 5) | np.uint64(1)
+        total = np.add.reduceat(values, np.cumsum(size) - size)
         return mix(total + size.astype(np.uint64), 3)
 
 

@@ -114,7 +114,8 @@ def test_edges(rows):
 @pytest.mark.parametrize("segment", [1, 50, 1 << 18])
 def test_word_table(monkeypatch, segment):
     monkeypatch.setattr(words, "SEGMENT", segment)
-    texts = ["", " ", "a", " a", "a ", "Ab\tcD\n\n ef  gh", "\x0bx\x0cy", "é É ß", "a" * 50, "to be to be", "\x1ca b", "ab ba"]
+    texts = ["", " ", "a", " a", "a ", "Ab\tcD\n\n ef  gh", "\x0bx\x0cy", "é É ß", "a" * 50, "to be to be", "\x1ca b", "ab ba",
+             "x" * 9000, "x" * 4095 + "y" + "x" * 4904, "x" * 8191 + "y" + "x" * 808, "x" * 9001]
     names = {}
     for group in words.groups([t.encode() for t in texts]):
         hashes, first = words.word_table(group)

@@ -137,3 +137,37 @@ def test_a_step_of_training_learns_what_scoring_sees(monkeypatch):
     monkeypatch.setattr(qn.Net, "gradient", lambda net, docs, y: given.extend(docs) or step(net, docs, y))
     qn.fit([text.encode(), b"word"], np.array([0.0, 1.0]), 0.5, epochs=1)
     assert any(d.shape == qn.halves(text).shape and (d == qn.halves(text)).all() for d in given)
+
+
+def test_toxicity_scores_against_brute_force():
+    """Word by word in plain Python, with exactly rounded sums."""
+    import math
+    import random
+    import re
+    import zlib
+
+    import numpy as np
+
+    from gradewright.llm import toxicity, words
+    r = random.Random(6)
+    g = np.random.default_rng(6)
+    model = toxicity.Model(g.normal(size=(3, toxicity.SIZE)), g.normal(size=3))
+    vocab = [f"{r.choice('abcdé')}{r.choice('xyzß')}{'q' * r.randint(0, 6)}{r.choice('mnü')}" for _ in range(200)]
+    texts = [None, "", " \n", "12 34", "İK ΑΒ ÉÀ", "a" * 9000] + [
+        " ".join(r.choice([str.upper, str.lower, str.title])(r.choice(vocab)) + r.choice(["", ",", "7", "."]) for _ in range(r.randint(0, 300)))
+        for _ in range(120)]
+
+    def score(text):
+        found = set(re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode()))
+        keys = [k for w in found for k in [b"w" + w] + [b"%d" % n + w[:n] for n in toxicity.STEMS if len(w) >= n]]
+        at = [zlib.crc32(k) >> (32 - toxicity.BITS) for k in keys]
+        z = [math.fsum(model.weights[m][i] for i in at) / math.sqrt(max(1, len(at))) + model.bias[m] for m in range(3)]
+        return sum(1 / (1 + math.exp(-max(-60, min(60, x)))) for x in z) / 3
+    want = [score(t) for t in texts]
+    for segment in (1, 700, 1 << 18):
+        words.SEGMENT, kept = segment, words.SEGMENT
+        try:
+            got = toxicity.Scorer(model).probabilities(texts)
+        finally:
+            words.SEGMENT = kept
+        assert max(abs(a - b) for a, b in zip(got, want)) < 1e-12
