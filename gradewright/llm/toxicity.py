@@ -34,7 +34,10 @@ DECAY = 2e-5
 THRESHOLD = 0.5
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 _LETTERS = np.array([bool(_WORD.fullmatch(bytes([x]))) for x in range(256)])
-_CACHED_WORDS = 60_000
+_CACHED_WORDS = 120_000
+# Checksums of the marks before a word and before its beginnings, which theirs go on from.
+_SHIFT, _WHOLE = 32 - BITS, zlib.crc32(b"w")
+_STARTS = tuple((size, zlib.crc32(b"%d" % size)) for size in STEMS)
 
 
 class _Features(dict):
@@ -43,8 +46,11 @@ class _Features(dict):
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= _CACHED_WORDS:
             self.clear()
-        keys = [b"w" + word] + [b"%d" % k + word[:k] for k in STEMS if len(word) >= k]
-        value = self[word] = tuple(zlib.crc32(k) >> (32 - BITS) for k in keys)
+        value = [zlib.crc32(word, _WHOLE) >> _SHIFT]
+        for size, start in _STARTS:
+            if len(word) >= size:
+                value.append(zlib.crc32(word[:size], start) >> _SHIFT)
+        self[word] = value = tuple(value)
         return value
 
 
@@ -64,22 +70,20 @@ class Model:
     bias: np.ndarray     # (MODELS,)
 
 
-class Scorer(dict):
-    """Word -> number of its features and sums of their weights, for words met recently.
-
-    A text's score is the sum over its distinct words, over the root of the number of
-    features, so that long texts do not score high by their length.
-    """
+class Scorer:
+    """Scores texts: the sum of the weights of the features of its distinct words, over the root
+    of the number of features, so that long texts do not score high by their length."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.features = model, _Features()
 
-    def __missing__(self, word: bytes) -> tuple[float, ...]:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        at = self.features[word]
-        value = self[word] = (len(at), *self.model.weights[:, list(at)].sum(axis=1).tolist())
-        return value
+    def _values(self, words: list[bytes]) -> np.ndarray:
+        """For each word, the number of its features and the sums of their weights."""
+        at = [self.features[word] for word in words]
+        size = np.fromiter(map(len, at), np.int64, len(at))
+        flat = np.fromiter(itertools.chain.from_iterable(at), np.int64, int(size.sum()))
+        sums = np.add.reduceat(self.model.weights[:, flat], np.cumsum(size) - size, axis=1)
+        return np.vstack([size, sums]).T
 
     def _group(self, raws: list[bytes]) -> np.ndarray:
         """Scores of several texts, whose words are told apart by hash and looked up once for all."""
@@ -89,7 +93,7 @@ class Scorer(dict):
         starts, ends = byte_runs(b, _LETTERS)
         if len(starts):
             named, first, which = np.unique(hash_spans(b, starts, ends), return_index=True, return_inverse=True)
-            values = np.array([self[whole[s:e]] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+            values = self._values([whole[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
             owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, side="right")
             text, word = np.divmod(np.unique(owner * len(named) + which), len(named))
             for k in range(sums.shape[1]):
