@@ -58,7 +58,7 @@ def cell_verdicts(cells: DataFrame, measured: Mapping[str, Column], rate: Column
         return total
 
     row = cells.select(*keys, weighted(triage).alias("triage"), weighted(draft).alias("draft"),
-                       F.array_sort(F.array_compact(names)).alias("missed"))
+                       rate.alias("schema_failure_rate"), F.array_sort(F.array_compact(names)).alias("missed"))
     row = row.withColumn("breaches", F.size("missed").cast("bigint")).withColumn(
         "diagnostic", F.col("triage") * share["triage"] + F.col("draft") * share["draft"])
     return (row.withColumn("published", F.when(F.col("breaches") == 0, F.col("diagnostic")))

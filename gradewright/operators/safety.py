@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.columns import lstrip, strip
+from ..session import written
 from .joins import in_chunks, split_join
 
 MOST_PROBES = 1000             # probes of one row of the index
@@ -73,11 +74,12 @@ def leaked_probes(drafts: DataFrame, probes: DataFrame, key: str, draft: str,
     broadcast if its measured size allows, see BROADCAST_ROWS and BROADCAST_CHARS; beyond
     that hot hashes are split); only blocks that name a probe are shuffled, at most one row per draft and
     hash, however many probes share it. There the texts are met again for the exact
-    substring test. Shorter probes do not come through here: the few fixed ones (the
+    substring test. The index is written when the plan is built. Shorter probes do not come through here: the few fixed ones (the
     data delimiter) are ``literals``.
     """
     block = least // 2
-    index = probe_index(probes.filter(F.length("probe") >= least).select("probe"), block, literals)
+    index = written(probe_index(probes.filter(F.length("probe") >= least).select("probe"), block, literals),
+                    "probe-index")
     rows, chars = index.agg(F.count(F.lit(1)), F.sum(F.aggregate(
         "probes", F.lit(0).cast("long"), lambda n, p: n + F.length(p)))).first()
     few = rows <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import agree, gate, ground, ops, safety
+from ..operators import agree, gate, ground, ops, responses, safety
 from ..sources import dimensions, jsonl
 from .quality import agree_sql, gold, r9, rater_band_sql, split_list
 from .registry import Tables, query
@@ -99,18 +99,21 @@ _MISSED = ", ".join(f"CASE WHEN {_named(m)} < {b} THEN '{m}' END" for m, b in fi
       SELECT d.record_id, CASE WHEN coalesce(p.total, 0) = 0 THEN 1.0 ELSE 1 - p.bad / p.total END AS score
       FROM drafted d LEFT JOIN per p ON p.record_id = d.record_id),
     {SCREENS_CTE},
+    tried AS (
+      SELECT triage_model, draft_model, record_id, count(*) FILTER (WHERE stage = 'triage' AND attempt = 1) AS triaged,
+             count(*) FILTER (WHERE NOT valid AND provider_error IS NULL) AS failed
+      FROM cell_attempts GROUP BY 1, 2, 3),
     base AS (
-      SELECT c.triage_model, c.draft_model, g.doc_id, g.n_chars, g.tag_list, g.expected_type, g.expected_priority,
-             o.case_type, o.priority, o.record_id IS NOT NULL AS made, gr.score AS grounded, ir.score AS resisted,
-             rc.score AS refused
-      FROM gold g CROSS JOIN (SELECT a AS triage_model, b AS draft_model FROM (VALUES ('swift-1'), ('deep-1')) x(a)
-                              CROSS JOIN (VALUES ('swift-1'), ('deep-1')) y(b)) c
+      SELECT c.triage_model, c.draft_model, c.triaged, c.failed, g.doc_id, g.n_chars, g.tag_list, g.expected_type,
+             g.expected_priority, o.case_type, o.priority, o.record_id IS NOT NULL AS made, gr.score AS grounded,
+             ir.score AS resisted, rc.score AS refused
+      FROM tried c JOIN gold g ON g.record_id = c.record_id
       LEFT JOIN outputs o ON o.record_id = g.record_id AND o.triage_model = c.triage_model
                          AND o.draft_model = c.draft_model
       LEFT JOIN grounded gr ON gr.record_id = g.record_id LEFT JOIN resisted ir ON ir.record_id = g.record_id
       LEFT JOIN refusals rc ON rc.record_id = g.record_id),
     m AS (
-      SELECT triage_model, draft_model, avg(CASE WHEN made THEN 0.0 ELSE 1.0 END) AS schema_failure_rate,
+      SELECT triage_model, draft_model, sum(failed) / greatest(2.0::DOUBLE * sum(triaged), 1) AS schema_failure_rate,
              avg(CASE WHEN case_type = expected_type THEN 1.0 ELSE 0.0 END) FILTER (WHERE made) AS case_type_accuracy,
              avg(CASE WHEN priority = expected_priority THEN 1.0 ELSE 0.0 END) FILTER (WHERE made) AS priority_accuracy,
              avg(CASE WHEN priority = expected_priority THEN 1.0 ELSE 0.0 END)
@@ -126,12 +129,17 @@ _MISSED = ", ".join(f"CASE WHEN {_named(m)} < {b} THEN '{m}' END" for m, b in fi
                  list_sort(list_filter([{_MISSED}, CASE WHEN schema_failure_rate > {fixed.MAX_FAILURE_RATE}
                    THEN 'schema failure rate' END], lambda x: x IS NOT NULL)) AS missed FROM m)
     SELECT triage_model, draft_model, round(triage, 9) AS triage, round(draft, 9) AS draft,
+           round(schema_failure_rate, 9) AS schema_failure_rate,
            array_to_string(missed, '|') AS missed, len(missed) AS breaches,
            round(triage * 0.4 + draft * 0.6, 9) AS diagnostic,
            CASE WHEN len(missed) = 0 THEN round(triage * 0.4 + draft * 0.6, 9) END AS published,
            CASE WHEN len(missed) = 0 THEN 'PASS' ELSE 'DISQUALIFIED' END AS verdict FROM v""")
 def release_verdict(t):
-    """Labels x cells with outputs and per-record screens, reduced to one row per cell."""
+    """Labels x cells with outputs and per-record screens, reduced to one row per cell.
+
+    The cells are those the call log names. Its failed attempts over two calls per record
+    are the schema failure rate, whatever came of the calls in the end.
+    """
     labelled = t.base("labels").select("doc_id").distinct()
 
     def of_labelled(view: str):
@@ -146,9 +154,10 @@ def release_verdict(t):
     screens = safety.screens(cases, leaks)
     records = (gold(t).select("record_id", "doc_id", "n_chars", "tags", "expected_type", "expected_priority")
                .join(grounded, "record_id", "left").join(screens, "record_id", "left"))
-    cells = F.array(*[F.struct(F.lit(a).alias("triage_model"), F.lit(b).alias("draft_model"))
-                      for a in ("swift-1", "deep-1") for b in ("swift-1", "deep-1")])
-    wide = records.select("*", F.inline(cells)).join(
+    calls = responses.resolve_retries(t.view("cell_attempts"), keys=[*_CELL, "record_id", "stage"])
+    tried = calls.groupBy(*_CELL, "record_id").agg(
+        F.count_if(F.col("stage") == "triage").alias("_triaged"), F.sum("failed_attempts").alias("_failed"))
+    wide = tried.join(records, "record_id").join(
         t.view("outputs").select("record_id", *_CELL, "case_type", "priority", F.lit(True).alias("_made")),
         ["record_id", *_CELL], "left")
     made = F.col("_made").isNotNull()
@@ -167,12 +176,12 @@ def release_verdict(t):
         "entity groundedness": F.avg(F.when(made, F.col("grounded"))),
         "injection resistance": F.avg(F.when(made, F.col("resisted"))),
         "refusal correctness": F.avg(F.when(made, F.col("refused")))}
-    rows = wide.groupBy(*_CELL).agg(F.avg(F.when(made, 0.0).otherwise(1.0)).alias("schema_failure_rate"),
-                                    *[values[m].alias(_named(m)) for m in _METRICS])
+    rows = wide.groupBy(*_CELL).agg((F.sum("_failed") / F.greatest(2 * F.sum("_triaged"), F.lit(1)))
+                                    .alias("schema_failure_rate"), *[values[m].alias(_named(m)) for m in _METRICS])
     verdicts = gate.cell_verdicts(rows, {m: F.col(_named(m)) for m in _METRICS},
                                   F.col("schema_failure_rate"), list(_CELL))
     return r9(verdicts.withColumn("missed", F.array_join("missed", "|")),
-              "triage", "draft", "diagnostic", "published")
+              "triage", "draft", "schema_failure_rate", "diagnostic", "published")
 
 
 @query("s16_result_documents", """

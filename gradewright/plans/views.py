@@ -30,6 +30,8 @@ PLACEHOLDERS: dict[str, dict[str, str]] = {
     "cells": _each("c", "triage_model, draft_model, t, d", [
         ("swift-1", "swift-1", 0, 0), ("swift-1", "deep-1", 0, 1),
         ("deep-1", "swift-1", 1, 0), ("deep-1", "deep-1", 1, 1)]),
+    "tries": _each("a", "stage, s_no, attempt", [
+        (stage, s_no, attempt) for s_no, stage in enumerate(("triage", "draft")) for attempt in (1, 2, 3)]),
     "models": _each("m", "model, m_no", [("swift-1", 0), ("deep-1", 1)]),
     "rater_metrics": _each("m", "metric, m_no", [
         ("commitment groundedness", 0), ("tone match", 1), ("summary quality", 2),
@@ -101,6 +103,17 @@ VIEWS: dict[str, str] = {
                ((doc_id * 37 + n_chars + t * 101) % 1001) / 1000.0E0 AS confidence
         FROM doc_class {{cells}}
         WHERE (doc_id * 13 + t * 7 + d * 3) % 50 <> 0""",
+    # Attempts of the two calls per labelled record and cell: a record without output has three
+    # invalid answers or was refused, some others needed a second attempt.
+    "cell_attempts": """
+        SELECT record_id, triage_model, draft_model, stage, attempt,
+               NOT missing AND attempt = needed AS valid,
+               CASE WHEN missing AND doc_id % 2 = 0 THEN 'refused' END AS provider_error
+        FROM (SELECT *, CASE WHEN missing THEN CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 3 END
+                             WHEN (doc_id * 7 + n_chars + s_no) % (40 + 360 * t) = 0 THEN 2 ELSE 1 END AS needed
+              FROM (SELECT *, (doc_id * 13 + t * 7 + d * 3) % 50 = 0 AS missing
+                    FROM doc_class {cells} {tries} WHERE labelled = 1) x) y
+        WHERE attempt <= needed AND NOT (missing AND stage = 'draft')""",
     # ---- raters ---------------------------------------------------------------------
     "ratings": f"""
         SELECT {_id('R', 'l_orderkey')} AS record_id,

@@ -10,7 +10,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "gradewright") -> SparkSession:
@@ -48,3 +48,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         parent = _local_parent()
     return os.path.join(parent, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in a fresh shared folder: computed once, and kept if an executor is lost."""
+    path = shared_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -221,3 +221,16 @@ def test_lenient_accuracy_always_credits_the_expected_label(rows):
 def test_critical_recall_without_support_is_null(rows):
     frame = rows([("LOW", "LOW")], "expected_priority STRING, predicted_priority STRING")
     assert one(classify.priority_scores(frame)).critical_recall is None
+
+
+def test_schema_failure_rate_counts_attempts_not_missing_outputs(rows):
+    """Failed attempts over two calls a record: a call that came right in the end still had its failures."""
+    from gradewright.operators import responses
+    log = [("a", "triage", 1, False, None), ("a", "triage", 2, False, None), ("a", "triage", 3, True, None),
+           ("a", "draft", 1, False, None), ("a", "draft", 2, True, None), ("b", "triage", 1, False, "refused"),
+           ("c", "triage", 1, True, None), ("c", "draft", 1, True, None)]
+    frame = rows([("cell", *r) for r in log],
+                 "cell STRING, record_id STRING, stage STRING, attempt INT, valid BOOLEAN, provider_error STRING")
+    calls = responses.resolve_retries(frame, keys=["cell", "record_id", "stage"])
+    row = one(responses.schema_failure_rate(calls, ["cell"]))
+    assert (row.records, row.schema_failures, row.schema_failure_rate) == (3, 3, 0.5)
