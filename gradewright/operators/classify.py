@@ -180,8 +180,8 @@ def batch_metric(name: str, function: Callable, inputs: Sequence[str],
     def _call(*series: pd.Series) -> pd.Series:
         return function(*series)
 
-    _call.__annotations__ = {"return": pd.Series}
-    udf = F.pandas_udf(_call, "double", F.PandasUDFType.SCALAR)
+    _call.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(_call, "double")
     return column_metric(name, udf(*[F.col(c) for c in inputs]), keys=keys)
 
 

@@ -73,18 +73,19 @@ def late_rows(stream: DataFrame, at: str, keys: Sequence[str], width: str,
     return stream.filter("late").select(_span(at, width, slide), *keys)
 
 
-def correlate_stages(triage: DataFrame, draft: DataFrame, bound: str, delay: str = "1 hour"
-                     ) -> DataFrame:
+def correlate_stages(triage: DataFrame, draft: DataFrame, bound: str, delay: str = "1 hour",
+                     unpaired: bool = False) -> DataFrame:
     """Triage joined to the draft of the same record within a time bound.
 
     Both sides carry ``record_id``, ``at`` and ``seconds``; the time range lets
-    Spark drop join state once no partner can arrive any more.
+    Spark drop join state once no partner can arrive any more. With ``unpaired`` a triage
+    whose draft never came is emitted then, its draft columns and ``end_to_end`` null.
     """
     left = triage.select("record_id", F.col("at").alias("triage_at"),
                          F.col("seconds").alias("triage_seconds")).withWatermark("triage_at", delay)
     right = draft.select(F.col("record_id").alias("draft_record"), F.col("at").alias("draft_at"),
                          F.col("seconds").alias("draft_seconds")).withWatermark("draft_at", delay)
     joined = left.join(right, F.expr(f"""record_id = draft_record AND draft_at >= triage_at
-        AND draft_at <= triage_at + INTERVAL {bound}"""))
+        AND draft_at <= triage_at + INTERVAL {bound}"""), "left_outer" if unpaired else "inner")
     return joined.withColumn(
         "end_to_end", F.col("triage_seconds") + F.col("draft_seconds")).drop("draft_record")

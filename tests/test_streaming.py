@@ -157,6 +157,22 @@ def test_stage_correlation_respects_the_bound(spark, tmp_path):
     assert [(r.record_id, r.end_to_end) for r in got] == [("a", 3.0)]
 
 
+def test_an_unpaired_triage_leaves_when_no_draft_can_come(spark, tmp_path):
+    hour, path = 3600, str(tmp_path / "in")
+    batches = [[("a", "triage", 0, 1.0), ("a", "draft", 30, 2.0), ("b", "triage", 10, 4.0)],
+               [("c", "triage", 3 * hour, 1.0), ("c", "draft", 3 * hour + 5, 2.0), ("a", "draft", 3 * hour, 9.0)],
+               [("d", "triage", 6 * hour, 1.0), ("d", "draft", 6 * hour + 5, 2.0), ("e", "triage", 6 * hour, 1.0)]]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "record_id STRING, stage STRING, s INT, seconds DOUBLE").withColumn(
+            "at", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+        frame.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    joined = traces.correlate_stages(stream.filter("stage = 'triage'"), stream.filter("stage = 'draft'"), "1 HOUR",
+                                     unpaired=True)
+    got = sorted((r.record_id, r.draft_seconds, r.end_to_end) for r in run_append(joined, tmp_path, spark).collect())
+    assert got == [("a", 2.0, 3.0), ("b", None, None), ("c", 2.0, 3.0), ("d", 2.0, 3.0)]  # e may still get one
+
+
 def test_restart_with_nothing_new_returns_the_same_table(spark, tables, tmp_path):
     rows = tables.view("cell_ratings").select("combination", "metric", F.col("hit").alias("score"), "l_orderkey")
     keys = ["combination", "metric"]
