@@ -2,12 +2,14 @@
 
 1. Each task reduces its documents to (line hash, smallest id, largest id); Spark
    merges them. A line in two documents has two different ids.
-2. The repeated hashes are dealt to shards. A shard task builds a minimal perfect
+2. The distinct hashes are dealt to shards. A shard task builds a minimal perfect
    hash over its keys (level bitmaps, as in the published BBHash scheme) that indexes compact
-   arrays: 64-bit fingerprint, count of documents, smallest id.
-3. Each task packs its documents' distinct line hashes into one binary block per
-   shard; the block probes the shard's arrays. No line is ever joined, and a line
-   that sits in a third of all documents is one entry in each block.
+   arrays: 64-bit fingerprint, count of documents, smallest id. A line goes where its
+   count is two or more.
+3. Each task packs its documents' lines into binary blocks, one per shard, which probe
+   the shard's arrays; no line is ever joined. A shard gets a copy of its arrays for
+   every LINES_PER_GROUP lines that probe it, so a line that sits in a third of all
+   documents is spread over as many groups as its lines need.
 4. The positions to drop go back to their documents, which are split once more.
 
 Keys are 128-bit hashes: 64 bits address the perfect hash, 64 bits are the
@@ -30,6 +32,7 @@ from .common import SPACE, mix, partitions, text_batches, written
 MIN_CHARS = 10
 KEYS_PER_SHARD = 1 << 18
 LINES_PER_BLOCK = 1 << 16
+LINES_PER_GROUP = 1 << 21
 GAMMA = 2.0
 LEVELS = 48
 
@@ -115,7 +118,7 @@ def _blocks(batches):
 
 
 def _key_rows(batches):
-    """One row per distinct line of a block: hash, rows that hold it, smallest and largest id."""
+    """One row per distinct line of a block: hash, ids that hold it, its lines, smallest and largest id."""
     for keys, ids, _, _ in _blocks(batches):
         order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
         keys, ids = keys[order], ids[order]
@@ -125,6 +128,7 @@ def _key_rows(batches):
         yield pa.RecordBatch.from_pydict({
             "hi": keys[first, 0].view(np.int64), "lo": keys[first, 1].view(np.int64),
             "docs": np.add.reduceat(step.astype(np.int64), first),
+            "lines": last - first + 1,
             "low": ids[first], "high": ids[last]})
 
 
@@ -141,33 +145,43 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
                          "arrays": [pickle.dumps((table, marks, counts, low))]})
 
 
-def _pack(shards: int):
+def _pack(shards: int, total: int, per_group: int):
+    """Blocks (shard, salt, block) that probe the arrays.
+
+    A piece with n of a block's b lines may go to ceil(total * n / (b * per_group)) groups
+    of its shard. Summed over all blocks, no group is expected to get more than
+    ``per_group`` lines, however the lines of a shard lie among the documents.
+    """
     def pack(batches):
-        for keys, ids, tags, places in _blocks(batches):
+        for number, (keys, ids, tags, places) in enumerate(_blocks(batches)):
             order = np.lexsort((keys[:, 1], keys[:, 0], keys[:, 0] % np.uint64(shards)))
             keys, ids, tags, places = keys[order], ids[order], tags[order], places[order]
             shard = (keys[:, 0] % np.uint64(shards)).astype(np.int64)
             cuts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)]
+            groups = -(-total * np.diff(cuts) // (len(shard) * per_group))
+            mark = xxhash.xxh3_64_intdigest(ids[:64].tobytes() + tags[:64].tobytes(), seed=number)
             blocks = []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 k = keys[a:b]
                 new = np.r_[True, (k[1:] != k[:-1]).any(axis=1)]
                 blocks.append(pickle.dumps((k[new], np.cumsum(new) - 1, ids[a:b], tags[a:b],
                                             places[a:b])))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[cuts[:-1]], pa.int64()),
-                                              "block": pa.array(blocks, pa.binary())})
+            yield pa.RecordBatch.from_pydict({
+                "shard": pa.array(shard[cuts[:-1]], pa.int64()),
+                "salt": pa.array([mark % max(1, int(g)) for g in groups], pa.int64()),
+                "block": pa.array(blocks, pa.binary())})
     return pack
 
 
 def _probe(blocks: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(arrays) and len(blocks):
-        table, marks, _, low = pickle.loads(arrays["arrays"].iloc[0])
+        table, marks, counts, low = pickle.loads(arrays["arrays"].iloc[0])
         for raw in blocks["block"]:
             keys, which, ids, tags, places = pickle.loads(raw)
             at = table.index(keys[:, 0], keys[:, 1])
-            known = (at >= 0) & (marks[np.maximum(at, 0)] == keys[:, 1])
-            gone = known[which] & (ids != low[np.maximum(at, 0)][which])
+            repeated = (at >= 0) & (marks[at] == keys[:, 1]) & (counts[at] > 1)
+            gone = repeated[which] & (ids != low[at][which])
             if gone.any():
                 out.append(pd.DataFrame({"doc_id": ids[gone], "tag": tags[gone],
                                          "place": places[gone]}))
@@ -195,22 +209,36 @@ def _rewrite(batches):
                .append_column("n_dropped", pa.array(dropped, pa.int64())))
 
 
-def line_arrays(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(shard, arrays) for all lines found in two documents or more, and the number of shards."""
+def line_arrays(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(shard, arrays) over all distinct lines, the number of shards and that of all lines."""
     spark = docs.sparkSession
-    keys = docs.mapInArrow(_key_rows, "hi long, lo long, docs long, low long, high long")
-    repeated = written(
-        keys.groupBy("hi", "lo").agg(F.sum("docs").alias("docs"), F.min("low").alias("low"),
-                                     F.max("high").alias("high"))
-        .filter("low <> high").drop("high"), "line-keys")
-    shards = max(2 * partitions(spark), -(-repeated.count() // KEYS_PER_SHARD))
+    found = docs.mapInArrow(_key_rows, "hi long, lo long, docs long, lines long, low long, high long")
+    keys = written(
+        found.groupBy("hi", "lo").agg(F.sum("docs").alias("docs"), F.sum("lines").alias("lines"),
+                                      F.min("low").alias("low"), F.max("high").alias("high"))
+        # Blocks with rows of one id counted it once each; it is one document.
+        .withColumn("docs", F.when(F.col("low") == F.col("high"), 1).otherwise(F.col("docs")))
+        .drop("high"), "line-keys")
+    distinct, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("lines"), F.lit(0))).first()
+    shards = max(2 * partitions(spark), -(-distinct // KEYS_PER_SHARD))
     # The keys are read as unsigned for the shard: hi mod shards, from its two halves.
     half = 1 << 32
     shard = ((F.shiftrightunsigned("hi", 32) % shards) * (half % shards)
              + F.col("hi").bitwiseAND(half - 1) % shards) % shards
-    arrays = (repeated.withColumn("shard", shard).groupBy("shard")
+    arrays = (keys.select(shard.alias("shard"), "hi", "lo", "docs", "low").groupBy("shard")
               .applyInPandas(_build, "shard long, arrays binary"))
-    return written(arrays, "line-arrays"), shards
+    return written(arrays, "line-arrays"), shards, total
+
+
+def line_drops(docs: DataFrame, per_group: int = LINES_PER_GROUP) -> DataFrame:
+    """(doc_id, tag, places) of the lines that an earlier document holds, in parts."""
+    arrays, shards, total = line_arrays(docs)
+    blocks = written(docs.mapInArrow(_pack(shards, total, per_group),
+                                     "shard long, salt long, block binary"), "line-blocks")
+    groups = blocks.select(F.col("shard").alias("to_shard"), F.col("salt").alias("to_salt")).distinct()
+    copies = groups.join(arrays, F.col("to_shard") == F.col("shard")).drop("shard")
+    return (blocks.groupBy("shard", "salt").cogroup(copies.groupBy("to_shard", "to_salt"))
+            .applyInPandas(_probe, "doc_id long, tag long, places array<int>"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -229,11 +257,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("tag"))
-    arrays, shards = line_arrays(base)
-    blocks = base.mapInArrow(_pack(shards), "shard long, block binary")
-    hits = (blocks.groupBy("shard").cogroup(arrays.groupBy("shard"))
-            .applyInPandas(_probe, "doc_id long, tag long, places array<int>"))
-    drops = written(hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("places")).alias("places"))
+    drops = written(line_drops(base).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("places")).alias("places"))
                     .withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), "line-drops")
     joined = (docs.join(drops.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("_id"))
                         & (F.xxhash64("text") == F.col("_tag")), "left").drop("_id", "_tag"))

@@ -1,6 +1,8 @@
+import pickle
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gradewright.llm import line_dedup
 
@@ -65,3 +67,30 @@ def test_perfect_hash_is_minimal_and_survives_equal_halves():
     assert table.n == 20_000 and len(table.bits) * 8 < 20_000 * 8
     none = line_dedup.PerfectHash(hi[:0], lo[:0])
     assert none.index(hi[:3], lo[:3]).tolist() == [-1, -1, -1]
+
+
+def test_line_in_a_third_of_all_documents_is_spread(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINES_PER_BLOCK", 64)
+    data = [(i, "a line that very many hold" if i % 3 == 0 else f"own line of document {i}")
+            for i in range(6000)]
+    base = rows(data, SCHEMA).withColumn("tag", F.lit(0).cast("long")).repartition(8)
+    seen = []
+    whole = line_dedup.line_arrays(base)
+    monkeypatch.setattr(line_dedup, "line_arrays", lambda docs: whole)
+    keep = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda f, name: seen.append(keep(f, name)) or seen[-1])
+    drops = line_dedup.line_drops(base, per_group=256).collect()
+    assert sorted(r.doc_id for r in drops) == list(range(3, 6000, 3))
+    lines = {}
+    for r in seen[-1].collect():
+        lines[r.shard, r.salt] = lines.get((r.shard, r.salt), 0) + len(pickle.loads(r.block)[2])
+    hot = [n for n in lines.values() if n > 2000 / 16]
+    assert sum(lines.values()) == 6000 and max(lines.values()) < 1200 and len(hot) >= 4
+
+
+def test_counts_are_of_documents(rows):
+    base = rows([(1, "the very first line"), (1, "the very first line"), (2, "a second line here"),
+                 (3, "A second line here")], SCHEMA).withColumn("tag", F.lit(0).cast("long")).repartition(4)
+    arrays, shards, total = line_dedup.line_arrays(base)
+    counts = [c for r in arrays.collect() for c in pickle.loads(r.arrays)[2].tolist()]
+    assert sorted(counts) == [1, 2] and total == 4
