@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,25 +152,32 @@ def route_metrics(cases: DataFrame, metrics: Sequence[str]) -> DataFrame:
             .withColumn("metric", name))
 
 
-# A metric takes bound cases and returns (key columns, metric, score, reason, status).
-Metric = Callable[[DataFrame], DataFrame]
+@dataclass(frozen=True)
+class Metric:
+    """A named score over bound cases; rows outside ``applies`` are skipped, never zero.
+
+    Called with cases alone, it gives their rows (key columns, metric, score, reason, status).
+    """
+    name: str
+    score: Column
+    reason: Column | None = None
+    applies: Column | None = None
+    keys: tuple[str, ...] = ("record_id",)
+
+    def status(self) -> Column:
+        made = F.when(~F.col("produced_output"), "no_output").otherwise("scored")
+        if self.applies is None:
+            return made
+        return F.when(~F.coalesce(self.applies, F.lit(False)), "skipped").otherwise(made)
+
+    def __call__(self, cases: DataFrame) -> DataFrame:
+        return run_metrics(cases, [self])
 
 
 def column_metric(name: str, score: Column, reason: Column | None = None,
                   applies: Column | None = None, keys: Sequence[str] = ("record_id",)) -> Metric:
-    """Metric from Column expressions; rows outside ``applies`` are skipped, never zero."""
-    def run(cases: DataFrame) -> DataFrame:
-        status = F.when(~F.col("produced_output"), "no_output")
-        if applies is not None:
-            status = F.when(~F.coalesce(applies, F.lit(False)), "skipped").when(
-                ~F.col("produced_output"), "no_output")
-        staged = cases.withColumn("_status", status.otherwise("scored"))
-        open_ = F.col("_status") == "scored"
-        return staged.select(
-            *keys, F.lit(name).alias("metric"), F.when(open_, score).alias("score"),
-            F.when(open_, reason if reason is not None else F.lit("")).alias("reason"),
-            F.col("_status").alias("status"))
-    return run
+    """Metric from Column expressions."""
+    return Metric(name, score, reason, applies, tuple(keys))
 
 
 def batch_metric(name: str, function: Callable, inputs: Sequence[str],
@@ -186,11 +194,21 @@ def batch_metric(name: str, function: Callable, inputs: Sequence[str],
 
 
 def run_metrics(cases: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
-    """Union of all metrics over the same cases."""
-    first, *rest = [m(cases) for m in metrics]
-    for frame in rest:
-        first = first.unionByName(frame)
-    return first
+    """All metrics over the same cases in one pass: a row per case and metric."""
+    if len({m.keys for m in metrics}) != 1:
+        raise ValueError("metrics that run together need the same key columns")
+    keys = metrics[0].keys
+    # Scores first, each in a column: vectorised functions are not evaluated inside a generator.
+    scored = cases.select(*keys, *[c for i, m in enumerate(metrics) for c in (
+        m.status().alias(f"_status{i}"), m.score.cast("double").alias(f"_score{i}"),
+        (m.reason if m.reason is not None else F.lit("")).alias(f"_reason{i}"))])
+    rows = []
+    for i, m in enumerate(metrics):
+        open_ = F.col(f"_status{i}") == "scored"
+        rows.append(F.struct(F.lit(m.name).alias("metric"), F.when(open_, F.col(f"_score{i}")).alias("score"),
+                             F.when(open_, F.col(f"_reason{i}")).alias("reason"),
+                             F.col(f"_status{i}").alias("status")))
+    return scored.select(*keys, F.inline(F.array(*rows)))
 
 
 def with_threshold(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:

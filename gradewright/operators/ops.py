@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import from_ordered_bits, ordered_bits
+
 
 def drop_warmups(records: DataFrame, warmups: int, run: str = "run_id",
                  order: str = "record_id") -> DataFrame:
@@ -24,51 +26,62 @@ def drop_warmups(records: DataFrame, warmups: int, run: str = "run_id",
     return good.join(edge, run).filter(F.col(order) > F.col("_edge")).drop("_edge")
 
 
-def exact_ranks(values: DataFrame, keys: Sequence[str], value: str,
-                ranks: dict[str, Column], resolution: float = 0.001) -> DataFrame:
-    """Values at given 1-based ranks per key, exactly, without sorting a whole group.
+def _locate(targets: DataFrame, counts: DataFrame, within: Sequence[str], cell: str) -> DataFrame:
+    """Targets moved into the cell of ``counts`` that holds their rank.
 
-    ``ranks`` maps a name to a rank expression over ``_n`` (rows per key). Counts
-    per order-preserving bucket of width ``resolution`` locate the bucket of each
-    rank; only those buckets are then resolved by distinct value. Both counting
-    steps combine map-side and every window runs over buckets or distinct values
-    inside one bucket, never over the raw rows of a key.
+    ``rank`` becomes the rank inside that cell. The window runs over the cells of one group.
     """
-    cell = F.floor(F.col(value) / F.lit(resolution))
-    known = values.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), cell.alias("_bucket"))
-    per_bucket = known.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    upto = Window.partitionBy(*within).orderBy(cell).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    placed = (per_bucket.withColumn("_n", F.sum("_c").over(whole))
-              .withColumn("_end", F.sum("_c").over(upto)))
+    ends = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+    rank = F.col("rank")
+    return (targets.join(ends, list(within)).filter((rank > F.col("_start")) & (rank <= F.col("_end")))
+            .withColumn("rank", rank - F.col("_start")).drop("_start", "_end", "_c"))
+
+
+def exact_ranks(values: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
+                shifts: Sequence[int] = (40, 20, 0)) -> DataFrame:
+    """Values at given 1-based ranks per key, exactly, by selection level by level.
+
+    ``ranks`` maps a name to a rank expression over ``_n`` (rows per key). Values become
+    integers of the same order. The first level counts the cells of their leading bits
+    (4,096 for each power of two); rows of the cells hit by a rank are read once more and
+    reduced to distinct values, and each further level splits a hit cell into 2^20. At the
+    last shift, 0, a cell is one value. Counts combine map-side, and no window sees more
+    cells than one level has, whatever the range of the values or the rows of a key.
+    NULL values are left out; NaN counts as the largest.
+    """
+    keys, first = list(keys), "_b0"
+    known = values.filter(F.col(value).isNotNull()).select(
+        *keys, ordered_bits(F.col(value)).alias("_k")).withColumn(first, F.shiftright("_k", shifts[0]))
+    coarse = known.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("_c"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"))
                        for name, rank in ranks.items()])
-    targets = (placed.select(*keys, "_bucket", "_n", (F.col("_end") - F.col("_c")).alias("_before"),
-                             "_end", F.inline(wanted))
-               .filter((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_end"))))
-    cut = targets.select(*keys, "_bucket").distinct()
-    inside = (known.join(cut, [*keys, "_bucket"], "left_semi")
-              .groupBy(*keys, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    ahead = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_stop", F.sum("_c").over(ahead))
-    hit = targets.join(inside, [*keys, "_bucket"])
-    local = F.col("rank") - F.col("_before")
-    hit = hit.filter((local > F.col("_stop") - F.col("_c")) & (local <= F.col("_stop")))
-    return hit.groupBy(*keys).agg(
+    asked = (coarse.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+             .select(*keys, "_n", F.inline(wanted)))
+    targets = _locate(asked, coarse, keys, first)
+    inside = (known.join(targets.select(*keys, first).distinct(), [*keys, first], "left_semi")
+              .groupBy(*keys, first, "_k").agg(F.count(F.lit(1)).alias("_c")))
+    above = first
+    for level, shift in enumerate(shifts[1:], 1):
+        cell = f"_b{level}"
+        inside = inside.withColumn(cell, F.shiftright("_k", shift))
+        hit = inside if above == first else inside.join(
+            targets.select(*keys, above).distinct(), [*keys, above], "left_semi")
+        counts = hit.groupBy(*keys, above, cell).agg(F.sum("_c").alias("_c"))
+        targets = _locate(targets, counts, [*keys, above], cell).drop(above)
+        above = cell
+    return targets.groupBy(*keys).agg(
         F.max("_n").alias("n"),
-        *[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+        *[F.max(F.when(F.col("name") == name, from_ordered_bits(F.col(above)))).alias(name) for name in ranks])
 
 
-def stage_latency(samples: DataFrame, keys: Sequence[str], seconds: str = "seconds",
-                  resolution: float = 0.001) -> DataFrame:
+def stage_latency(samples: DataFrame, keys: Sequence[str], seconds: str = "seconds") -> DataFrame:
     """n, exact median (mean of the middle two) and nearest-rank p95 per key."""
     n = F.col("_n")
     picked = exact_ranks(samples, keys, seconds, {
         "_low": F.floor((n + 1) / 2), "_high": F.floor(n / 2) + 1,
-        "p95": F.greatest(F.lit(1), F.ceil(F.lit(0.95) * n))}, resolution)
+        "p95": F.greatest(F.lit(1), F.ceil(F.lit(0.95) * n))})
     return picked.select(*keys, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95")
 
 

@@ -77,7 +77,8 @@ def _counts(spark, name):
 
 
 @pytest.mark.parametrize("name, scans, exchanges", [
-    ("release_verdict", 16, 26), ("a20_merged_usage", 1, 2), ("s10_table_fingerprints", 1, 1)])
+    ("release_verdict", 16, 26), ("a20_merged_usage", 1, 2), ("s10_table_fingerprints", 1, 1),
+    ("d1_metric_plugins", 4, 6)])
 def test_plan_budget(spark, name, scans, exchanges):
     got = _counts(spark, name)
     assert got[0] <= scans and got[1] <= exchanges, got

@@ -1,12 +1,14 @@
 """Hand-computed values for calibration, agreement, latency and confidence."""
 
 import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradewright.functions import banding
 from gradewright.functions.logprob import with_label_probability
+from gradewright.functions.ordered import from_ordered_bits, ordered_bits
 from gradewright.operators import agree, calibrate, classify, confidence, ops
 
 
@@ -234,3 +236,32 @@ def test_schema_failure_rate_counts_attempts_not_missing_outputs(rows):
     calls = responses.resolve_retries(frame, keys=["cell", "record_id", "stage"])
     row = one(responses.schema_failure_rate(calls, ["cell"]))
     assert (row.records, row.schema_failures, row.schema_failure_rate) == (3, 3, 0.5)
+
+
+AWKWARD = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308,
+           float("inf"), float("-inf"), 3.0, 0.1, -0.1, 1e-310, 1234.5678,
+           *[2.0 ** e * f for e in (-1000, -30, 0, 31, 53, 900) for f in (1 - 2 ** -53, 1.0, 1 + 2 ** -52)]]
+
+
+def test_ordered_bits_keep_order_and_every_bit(rows):
+    frame = rows([(v,) for v in AWKWARD], "v DOUBLE")
+    bits = F.col("bits")
+    got = frame.select("v", ordered_bits(F.col("v")).alias("bits")).select(
+        "v", "bits", from_ordered_bits(bits).alias("back")).collect()
+    for r in got:
+        assert r.back == r.v
+        expected = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.bits == (-expected if r.v < 0 else expected), r.v
+    assert [r.v for r in sorted(got, key=lambda r: r.bits)] == sorted(AWKWARD)
+
+
+def test_percentiles_of_one_narrow_cell_and_of_a_wide_range(rows):
+    close = [1e9 + i * 2 ** -20 for i in range(500)]
+    wide = [(-1) ** i * 10.0 ** (i % 600 - 300) for i in range(500)]
+    frame = rows([("close", v) for v in close] + [("wide", v) for v in wide] + [("wide", None)], SECONDS)
+    got = {r.k: r for r in ops.stage_latency(frame, ["k"]).collect()}
+    for name, values in (("close", close), ("wide", wide)):
+        ordered = sorted(values)
+        assert got[name].n == 500 and got[name].p95 == ordered[474]
+        assert got[name].median == (ordered[249] + ordered[250]) / 2
+    assert ops.stage_latency(frame.limit(0), ["k"]).count() == 0
