@@ -319,3 +319,67 @@ def _(t):
     FROM lined WHERE reason IS NULL GROUP BY 1 HAVING count(*) > 1""")
 def _(t):
     return jsonl.line_violations(jsonl.strict_lines(t.view("enquiry_lines"), LONG_ENQUIRY))
+
+
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_GOLDEN_CTE = f"""lined AS (
+  SELECT line_no, value, CASE
+      WHEN len(list_filter(json_keys(value), lambda x: x NOT IN ({_listed(f.name for f in contract.GOLDEN_LABEL)}))) > 0
+        THEN 'unexpected field'
+      WHEN json_type(value, '$.expected_priority') IS NULL THEN 'expected_priority: missing'
+      WHEN json_type(value, '$.expected_priority') <> 'VARCHAR' THEN 'expected_priority: wrong type'
+      WHEN json_type(value, '$.tags') <> 'ARRAY' THEN 'tags: wrong type'
+      WHEN json_type(value, '$.label_note') NOT IN ('VARCHAR', 'NULL') THEN 'label_note: wrong type'
+      WHEN NOT regexp_matches(json_extract_string(value, '$.id'), '^ENQ-[0-9]{{9}}$') THEN 'id: bad format'
+      WHEN json_extract_string(value, '$.expected_type') NOT IN ({_listed(fixed.CASE_TYPES)})
+        THEN 'expected_type: not allowed'
+      WHEN len(list_filter(json_extract_string(value, '$.tags[*]'), lambda x: x NOT IN ({_listed(fixed.TAGS)}))) > 0
+        THEN 'tags: not allowed' END AS reason
+  FROM golden_lines)"""
+LONG_GOLDEN = tuple(replace(f, pattern=r"^ENQ-\d{9}$") if f.name == "id" else f
+                    for f in contract.GOLDEN_LABEL)
+
+
+@query("s1_golden_labels", f"""WITH {_GOLDEN_CTE}
+    SELECT line_no, reason IS NULL AS valid, reason,
+           CASE WHEN reason IS NULL THEN json_extract_string(value, '$.id') END AS id,
+           CASE WHEN reason IS NULL THEN json_extract_string(value, '$.expected_type') END AS expected_type,
+           CASE WHEN reason IS NULL THEN array_to_string(json_extract_string(value, '$.tags[*]'), '|') END AS tags,
+           CASE WHEN reason IS NULL THEN json_extract_string(value, '$.label_note') END AS label_note
+    FROM lined""")
+def _(t):
+    parsed = jsonl.strict_lines(t.view("golden_lines"), LONG_GOLDEN)
+    tags = F.when(F.col("valid"), F.coalesce(F.array_join("tags", "|"), F.lit("")))
+    return parsed.select("line_no", "valid", "reason", "id", "expected_type", tags.alias("tags"), "label_note")
+
+
+@query("s1_drafts", """
+    SELECT line_no, reason IS NULL AS valid, reason,
+           CASE WHEN reason IS NULL THEN json_extract_string(value, '$.summary') END AS summary,
+           CASE WHEN reason IS NULL THEN json_extract_string(value, '$.draft_reply') END AS draft_reply
+    FROM (SELECT *, CASE
+      WHEN len(list_filter(json_keys(value), lambda x: x NOT IN ('summary', 'draft_reply'))) > 0 THEN 'unexpected field'
+      WHEN json_type(value, '$.draft_reply') IS NULL THEN 'draft_reply: missing'
+      WHEN json_type(value, '$.draft_reply') <> 'VARCHAR' THEN 'draft_reply: wrong type'
+      WHEN length(json_extract_string(value, '$.summary')) < 1 THEN 'summary: too short' END AS reason
+    FROM draft_lines WHERE length(trim(value)) > 0) x""")
+def _(t):
+    return jsonl.strict_lines(t.view("draft_lines"), contract.DRAFT_OUTPUT).select(
+        "line_no", "valid", "reason", "summary", "draft_reply")
+
+
+@query("f1_numeric_confidence", """
+    SELECT line_no, reason IS NULL AS valid, reason,
+           CASE WHEN reason IS NULL THEN CAST(json_extract_string(value, '$.confidence') AS DOUBLE) END AS confidence
+    FROM (SELECT *, CASE
+      WHEN json_type(value, '$.confidence') IS NULL THEN 'confidence: missing'
+      WHEN json_type(value, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 'confidence: wrong type'
+      WHEN TRY_CAST(json_extract_string(value, '$.confidence') AS DOUBLE) NOT BETWEEN 0 AND 1
+        THEN 'confidence: out of range' END AS reason
+    FROM confidence_lines) x""")
+def _(t):
+    return contract.parse(t.view("confidence_lines"), "value", contract.TRIAGE_OUTPUT).select(
+        "line_no", "valid", "reason", "confidence")

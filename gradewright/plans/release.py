@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import agree, gate, ground, ops, responses, safety
-from ..sources import dimensions, jsonl
+from ..session import shared_dir
+from ..sources import dimensions, jsonl, results
 from .quality import agree_sql, gold, r9, rater_band_sql, split_list
 from .registry import Tables, query
 from .texts import GROUND_CTE, PROBES_CTE, SCREENS_CTE
@@ -198,6 +199,77 @@ def _(t):
         F.try_element_at("scores", F.lit("tone match")).alias("tone_match")), "tone_match")
 
 
+_PARTS_CTE = """parts AS (
+  SELECT combination, count(*) AS scored,
+         count(hit) AS tone, count(*) FILTER (WHERE hit = 0 AND l_orderkey % 97 = 0) AS errors
+  FROM cell_ratings GROUP BY combination)"""
+_SETTINGS = {"evaluation_profile": "recorded-v1", "draft_weights": ",".join(
+    f"{m}={w}" for m, w in sorted(fixed.DRAFT_WEIGHTS["recorded"].items()))}
+
+
+def cell_documents(t: Tables):
+    """Documents of all cells, from their scores, counts, failed ratings and the gate."""
+    scores, rates = cell_inputs(t)
+    missed = gate.breaches(scores, rates)
+    parts = t.sql(f"WITH {_PARTS_CTE} SELECT * FROM parts")
+
+    def named(**columns):
+        return parts.select("combination", F.inline(F.array(*[
+            F.struct(F.lit(name.replace("_", " ")).alias("name"), F.col(c).alias("n"))
+            for name, c in columns.items()])))
+
+    fit = gate.fitness(scores, missed, profiles={"recorded": fixed.DRAFT_WEIGHTS["recorded"]})
+    composites = fit.select("combination", F.col("triage").alias("composite_triage"),
+                            F.col("draft").alias("composite_draft"),
+                            F.col("diagnostic").alias("composite_overall_diagnostic"))
+    return results.documents(scores, named(scored="scored", tone_match_scored="tone"),
+                             named(tone_match_errors="errors"), missed, composites, _SETTINGS)
+
+
+def stored_documents(t: Tables):
+    """The documents after a round over the sink."""
+    made = cell_documents(t)
+    path = shared_dir(t.spark, "result-documents")
+    results.write_documents(made, path)
+    return results.read_documents(t.spark, path, made.schema)
+
+
+@query("s16_written_documents", f"""WITH {_GATE_CTE}, {_PARTS_CTE},
+    b AS (SELECT combination, string_agg(metric, '|' ORDER BY metric) AS missed FROM breached GROUP BY 1),
+    s AS (SELECT combination, count(*) AS metrics, count(value) AS measured FROM cell_scores GROUP BY 1)
+    SELECT f.combination, s.metrics, s.measured, p.scored, p.tone AS tone_scored, p.errors AS tone_errors,
+           coalesce(b.missed, '') AS missed, round(f.triage, 9) AS composite_triage,
+           round(f.draft, 9) AS composite_draft, round(f.diagnostic, 9) AS composite_overall_diagnostic,
+           CAST(0 AS BIGINT) AS damaged
+    FROM fit f JOIN parts p ON p.combination = f.combination JOIN s ON s.combination = f.combination
+    LEFT JOIN b ON b.combination = f.combination WHERE f.profile = 'recorded'""")
+def _(t):
+    stored = stored_documents(t)
+    broken = results.damaged(stored).select("combination", F.lit(1).cast("bigint").alias("_broken"))
+    shown = stored.join(broken, "combination", "left").select(
+        "combination", F.size("scores").cast("bigint").alias("metrics"),
+        F.size(F.filter(F.map_values("scores"), lambda v: v.isNotNull())).cast("bigint").alias("measured"),
+        F.col("counts")["scored"].alias("scored"), F.col("counts")["tone match scored"].alias("tone_scored"),
+        F.col("failures")["tone match errors"].alias("tone_errors"),
+        F.array_join(F.transform("breaches", lambda b: b["name"]), "|").alias("missed"),
+        "composite_triage", "composite_draft", "composite_overall_diagnostic",
+        F.coalesce("_broken", F.lit(0)).alias("damaged"))
+    return r9(shown, "composite_triage", "composite_draft", "composite_overall_diagnostic")
+
+
+@query("f14_resume_from_documents", f"""WITH {_PARTS_CTE}
+    SELECT combination FROM parts
+    WHERE NOT (scored = (SELECT scored FROM parts WHERE combination = 'cell-1') AND errors = 0
+               AND tone = (SELECT tone FROM parts WHERE combination = 'cell-1'))""")
+def _(t):
+    stored = stored_documents(t)
+    # One cell's counts stand for the records of the run.
+    records, judged = stored.filter(F.col("combination") == "cell-1").select(
+        F.col("counts")["scored"], F.col("counts")["tone match scored"]).first()
+    return results.cells_to_resume(stored, stored.select("combination"), _SETTINGS, records, judged,
+                                   ("tone match",))
+
+
 # ---- validation sets and acceptance ---------------------------------------------------
 def items(t: Tables):
     return t.view("scored_variants")

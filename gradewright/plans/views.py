@@ -229,6 +229,35 @@ VIEWS: dict[str, str] = {
                       ELSE '{{"id": "ENQ-000000001", "subject": "s", "body": "b", "x": 1}}' END
                END AS value
         FROM calls""",
+    "golden_lines": f"""
+        SELECT o_orderkey AS line_no,
+               '{{"id": "' || CASE WHEN o_orderkey % 61 = 7 THEN 'ENQ-7' ELSE {_id('ENQ-', 'o_orderkey')} END
+               || '", "expected_type": "' || CASE WHEN o_orderkey % 43 = 5 THEN 'OTHER'
+                    ELSE {_cls('o_custkey % 6')} END || '"'
+               || CASE WHEN o_orderkey % 47 = 3 THEN '' ELSE ', "expected_priority": '
+                    || CASE WHEN o_orderkey % 53 = 4 THEN 'true' ELSE '"URGENT"' END END
+               || CASE o_orderkey % 37 WHEN 1 THEN ', "tags": ["REFUSAL"]' WHEN 2 THEN ', "tags": "REFUSAL"'
+                    WHEN 3 THEN ', "tags": []' WHEN 4 THEN ', "tags": ["LOUD"]' ELSE '' END
+               || CASE o_orderkey % 41 WHEN 1 THEN ', "label_note": null' WHEN 2 THEN ', "label_note": "seen"'
+                    WHEN 3 THEN ', "label_note": 4' WHEN 4 THEN ', "extra": 1' ELSE '' END || '}}' AS value
+        FROM orders""",
+    "draft_lines": f"""
+        SELECT o_orderkey AS line_no,
+               CASE o_orderkey % 29 WHEN 1 THEN '{{"summary": "", "draft_reply": "r"}}'
+                    WHEN 2 THEN '{{"summary": "s"}}' WHEN 3 THEN '{{"summary": "s", "draft_reply": false}}'
+                    WHEN 4 THEN '{{"summary": "s", "draft_reply": "r", "tone": "kind"}}' WHEN 5 THEN ' '
+                    ELSE '{{"summary": "' || o_orderstatus || '", "draft_reply": "r' || CAST(o_custkey AS STRING)
+                         || '"}}' END AS value
+        FROM orders""",
+    "confidence_lines": f"""
+        SELECT o_orderkey AS line_no,
+               '{{"case_type": "' || {_cls('o_custkey % 6')} || '", "priority": "LOW"'
+               || CASE o_orderkey % 13 WHEN 1 THEN ', "confidence": true' WHEN 2 THEN ', "confidence": "0.5"'
+                    WHEN 3 THEN ', "confidence": 1.5' WHEN 4 THEN ', "confidence": -1' WHEN 5 THEN ''
+                    WHEN 6 THEN ', "confidence": null' WHEN 7 THEN ', "confidence": 1'
+                    WHEN 8 THEN ', "confidence": 0' WHEN 9 THEN ', "confidence": [0.5]'
+                    ELSE ', "confidence": 0.' || CAST(o_orderkey % 90 + 10 AS STRING) END || '}}' AS value
+        FROM orders""",
     # ---- traces and prices -------------------------------------------------------------
     "traces": f"""
         SELECT event_id, {_id('E', 'CAST(floor(event_id / 2) AS BIGINT)')} AS record_id,
