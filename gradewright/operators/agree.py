@@ -14,9 +14,12 @@ from .classify import confusion_matrix, label_margins
 
 
 def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
-              a: str = "human_band", b: str = "judge_band") -> DataFrame:
+              a: str = "human_band", b: str = "judge_band", errors: bool = False) -> DataFrame:
     """Quadratic-weighted kappa, Spearman, exact and within-one rates and n.
 
+    With ``errors`` a column of that name counts the pairs left out because a side has no
+    band, and a key whose every pair is left out keeps its row, without metrics.
+
     Rows are counted per band pair, combined map-side; ranks for Spearman come
     from the cumulative band counts, so no sort and no window.
     Kappa is NULL when chance agreement is total, Spearman when n <= 2 or one
@@ -30,7 +33,7 @@ def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
     # travel as one array: a wide projection makes constraint inference very slow.
     staged = joint.groupBy(*keys).agg(F.array(*[
         F.sum(F.when((F.col("_a") == i) & (F.col("_b") == j), F.col("_k")).otherwise(0))
-        .cast("double") for i in side for j in side]).alias("_o"))
+        .cast("double") for i in side for j in side]).alias("_o"), F.sum("_k").alias("_all"))
 
     def total(terms) -> str:
         return " + ".join(terms)
@@ -45,9 +48,9 @@ def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
     by_row = ", ".join(total(o for i, _, o in cells if i == k) for k in side)
     by_col = ", ".join(total(o for _, j, o in cells if j == k) for k in side)
     staged = staged.selectExpr(*keys, "_o", f"array({by_row}) AS _r", f"array({by_col}) AS _c",
-                               "aggregate(_o, 0D, (s, v) -> s + v) AS _n")
+                               "aggregate(_o, 0D, (s, v) -> s + v) AS _n", "_all")
     staged = staged.selectExpr(*keys, "_o", "_r", "_c", "_n", f"{rank('_r')} AS _x",
-                               f"{rank('_c')} AS _y")
+                               f"{rank('_c')} AS _y", "_all")
     seen = total(f"{o} * {w}" for _, _, o, w in apart)
     chance = total(f"_r[{i}] * _c[{j}] * {w}" for i, j, _, w in apart)
     cov = total(f"{o} * _x[{i}] * _y[{j}]" for i, j, o in cells)
@@ -55,12 +58,14 @@ def agreement(pairs: DataFrame, keys: Sequence[str] = (), bands: int = 4,
     spread_y = total(f"_c[{i}] * _y[{i}] * _y[{i}]" for i in side)
     exact = total(o for i, j, o in cells if i == j)
     near = total(o for i, j, o in cells if abs(i - j) <= 1)
-    return staged.selectExpr(
-        *keys, "CAST(_n AS BIGINT) AS n",
+    left_out = ["_all - CAST(_n AS BIGINT) AS errors"] if errors else []
+    found = staged.selectExpr(
+        *keys, "CAST(_n AS BIGINT) AS n", *left_out,
         f"1 - try_divide({seen}, try_divide({chance}, _n)) AS kappa",
         f"CASE WHEN _n > 2 THEN try_divide({cov}, sqrt(({spread_x}) * ({spread_y}))) END AS spearman",
         f"try_divide({exact}, _n) AS exact",
-        f"try_divide({near}, _n) AS within_one").filter(F.col("n") > 0)
+        f"try_divide({near}, _n) AS within_one")
+    return found.filter((F.col("n") > 0) | (F.col("errors") > 0) if errors else F.col("n") > 0)
 
 
 def band_scores(scores: DataFrame, score: str = "score", metric: str = "metric",
@@ -201,11 +206,13 @@ def judge_acceptance(measures: DataFrame, criteria: DataFrame,
                     F.coalesce(met, F.lit(False)).alias("met")))
 
 
-def acceptance_verdict(judged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Profile passes when every criterion is met."""
+def acceptance_verdict(judged: DataFrame, keys: Sequence[str] = (), names: bool = False) -> DataFrame:
+    """Profile passes when every criterion is met; ``names`` adds ``unmet``, the criteria missed."""
+    unmet = F.array_join(F.array_sort(F.collect_list(
+        F.when(~F.col("met"), F.col("criterion")))), "|").alias("unmet")
     return judged.groupBy(*keys, "profile").agg(
         F.bool_and("met").alias("passed"), F.count(F.lit(1)).alias("criteria"),
-        F.count_if(~F.col("met")).alias("failed"))
+        F.count_if(~F.col("met")).alias("failed"), *([unmet] if names else []))
 
 
 def validation_measures(items: DataFrame, keys: Sequence[str],

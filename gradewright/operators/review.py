@@ -61,16 +61,25 @@ def apply_decisions(queue: DataFrame, decided: DataFrame, key: str = "record_id"
     return joined.withColumns(updates).drop("_decision", "_text")
 
 
-def review_counts(before: DataFrame, after: DataFrame, skipped: DataFrame | None = None,
-                  key: str = "record_id") -> DataFrame:
-    """Decided now per decision, items skipped, and items still pending."""
-    was = before.filter(F.col("decision").isNull()).select(key)
-    now = after.join(was, key, "left_semi")
-    parts = now.select(F.coalesce("decision", F.lit("pending")).alias("outcome"), key)
-    counts = parts.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-    if skipped is not None:
-        passed = skipped.select(key).distinct().join(
-            now.filter(F.col("decision").isNull()), key, "left_semi")
-        counts = counts.unionByName(passed.groupBy().agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit("skipped").alias("outcome"), "n"))
-    return counts
+def review_counts(queue: DataFrame, decisions: DataFrame, order: Sequence[str] = ("ts",),
+                  key: str = "record_id", allowed: Sequence[str] = fixed.DECISIONS) -> DataFrame:
+    """Open items of the queue by what this log decides, items left pending, and those of them skipped.
+
+    The log is folded as in ``first_decisions`` and joined once to the open items (one row
+    per ``key``); the outcomes are a closed set, so all counts come from one aggregate.
+    Outcomes without an item are absent, ``skipped`` is always there.
+    """
+    folded = decisions.groupBy(key, "decision", "reviewer_text").agg(
+        F.min(F.struct(*order)).alias("_at"))
+    open_ = queue.filter(F.col("decision").isNull()).select(key, F.col("draft_reply").alias("_draft"))
+    valid = is_valid_decision(F.col("_draft"), allowed)
+    items = open_.join(folded, key, "left").groupBy(key).agg(
+        F.min_by("decision", F.when(valid, F.col("_at"))).alias("_first"),
+        F.max(F.coalesce(F.col("decision") == "skip", F.lit(False))).alias("_skip"))
+    pending = F.col("_first").isNull()
+    counts = items.agg(
+        *[F.count_if(F.col("_first") == d).alias(d) for d in allowed],
+        F.count_if(pending).alias("pending"), F.count_if(pending & F.col("_skip")).alias("skipped"))
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in counts.columns]))
+        ).filter("n > 0 OR outcome = 'skipped'")

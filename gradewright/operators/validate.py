@@ -223,6 +223,23 @@ def label_violations(labels: DataFrame, metrics: Sequence[str] = tuple(fixed.RUB
                                         F.col("n").cast("string").alias("detail")))
 
 
+def label_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Labels from JSON lines: record_id, metric, human and ``kind``, the JSON type of the raw score.
+
+    ``kind`` is MISSING without the field and BROKEN where the line is no JSON, so that
+    ``label_violations`` rejects both; only an integer gives a score. Other columns stay.
+    """
+    parsed = lines.withColumn("_v", F.try_parse_json(value))
+    raw = F.try_variant_get("_v", "$.human", "variant")
+    kind = F.when(F.col("_v").isNull(), "BROKEN").otherwise(
+        F.coalesce(F.schema_of_variant(raw), F.lit("MISSING")))
+    return (parsed.withColumn("kind", kind)
+            .withColumn("record_id", F.try_variant_get("_v", "$.record_id", "string"))
+            .withColumn("metric", F.try_variant_get("_v", "$.metric", "string"))
+            .withColumn("human", F.when(F.col("kind") == "BIGINT",
+                                        F.try_variant_get("_v", "$.human", "bigint"))).drop("_v"))
+
+
 def label_progress(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Total, completed and missing counts; agreement stays hidden until missing is 0."""
     return labels.groupBy(*keys).agg(
@@ -269,18 +286,17 @@ def subset_violations(subset: DataFrame, source: DataFrame, labels: DataFrame,
                       columns: Sequence[str], key: str = "id") -> DataFrame:
     """A demo subset copies the source verbatim, keeps the declared order and has labels.
 
-    ``subset`` carries ``ord`` (position found) and ``declared`` (position wanted).
+    ``subset`` carries ``ord`` (position found) and ``declared`` (position wanted). Both
+    sides are digested where they are read, so whole texts never reach a shuffle.
     """
-    original = source.select(key, *[F.col(c).alias(f"_s_{c}") for c in columns],
-                             F.lit(True).alias("_in_source"))
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    original = source.select(key, content.alias("_source"))
     known = labels.select(key).distinct().withColumn("_labelled", F.lit(True))
-    joined = subset.join(original, key, "left").join(known, key, "left")
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    joined = (subset.select(key, "ord", "declared", content.alias("_copy"))
+              .join(original, key, "left").join(known, key, "left"))
     return violations(joined, key, {
-        "not in source": F.col("_in_source").isNull(),
-        "not verbatim": F.col("_in_source").isNotNull() & ~same,
+        "not in source": F.col("_source").isNull(),
+        "not verbatim": F.col("_source").isNotNull() & (F.col("_copy") != F.col("_source")),
         "out of order": F.col("ord") != F.col("declared"),
         "no label": F.col("_labelled").isNull()})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.banding import band_of
 from ..operators import agree, review, sample, validate
+from ..session import shared_dir
 from ..sources import fingerprint, jsonl, merge
 from .quality import band_sql, gold, split_list
 from .registry import Tables, query
@@ -308,6 +309,47 @@ def _(t):
                                    rows.filter(F.col("o_custkey") % 2 == 1))
 
 
+# ---- file drift ----------------------------------------------------------------------------
+_BLOCK = "'b' || CAST(CAST(floor(c_custkey / 100) AS BIGINT) AS STRING)"
+_DELIVERED = f"""delivered AS (
+    SELECT {_BLOCK} AS block, c_custkey, CAST(c_custkey AS STRING) || ';' || c_name || ';' || c_mktsegment AS value
+    FROM customer)"""
+_REDELIVERED = f"""redelivered AS (
+    SELECT block, c_custkey, CASE WHEN c_custkey % 300 = 7 THEN value || '!' ELSE value END AS value
+    FROM delivered WHERE c_custkey % 500 >= 100 OR c_custkey < 100
+    UNION ALL SELECT 'x' || block, c_custkey, value FROM delivered WHERE c_custkey % 1000 < 100)"""
+_FILE = """SELECT block, sha256(string_agg(value, chr(10) ORDER BY c_custkey) || chr(10)) AS h FROM {t} GROUP BY 1"""
+
+
+def text_files(t: Tables, name: str, ctes: str):
+    """One text file per block of the named rows, written by Spark."""
+    path = shared_dir(t.spark, name)
+    (t.sql(f"WITH {ctes} SELECT block, c_custkey, value FROM {name}").repartition("block")
+     .sortWithinPartitions("block", "c_custkey").drop("c_custkey")
+     .write.partitionBy("block").text(path))
+    return path
+
+
+@query("s10_file_fingerprints", f"""WITH {_DELIVERED}, h AS ({_FILE.replace('{t}', 'delivered')})
+    SELECT 'block=' || block AS name, CAST(1 AS BIGINT) AS n, CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS STRING)
+      || '-' || CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS STRING) AS fingerprint FROM h""")
+def _(t):
+    return fingerprint.folder_fingerprints(t.spark, text_files(t, "delivered", _DELIVERED), "*.txt")
+
+
+@query("s10_file_drift", f"""WITH {_DELIVERED}, {_REDELIVERED},
+    a AS ({_FILE.replace('{t}', 'delivered')}), b AS ({_FILE.replace('{t}', 'redelivered')})
+    SELECT 'block=' || coalesce(a.block, b.block) AS name,
+           CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed'
+                WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS status
+    FROM a FULL JOIN b ON a.block = b.block""")
+def _(t):
+    now = text_files(t, "delivered", _DELIVERED)
+    then = text_files(t, "redelivered", f"{_DELIVERED}, {_REDELIVERED}")
+    return fingerprint.drift(fingerprint.folder_fingerprints(t.spark, now, "*.txt"),
+                             fingerprint.folder_fingerprints(t.spark, then, "*.txt"), ["name"])
+
+
 # ---- labels, blind reviews, subsets, plans -------------------------------------------------
 _LABELLED = """labelled AS (
   SELECT record_id, CASE WHEN human = 7 THEN 'charm' ELSE metric END AS metric,
@@ -327,6 +369,16 @@ def _(t):
     return validate.label_violations(t.sql(f"WITH {_LABELLED} SELECT * FROM labelled"))
 
 
+@query("f10_json_labels", """
+    WITH j AS (SELECT json_extract_string(value, '$.record_id') || '|' || json_extract_string(value, '$.metric') AS key,
+                      json_type(value, '$.human') AS kind, json_extract_string(value, '$.human') AS h FROM label_lines)
+    SELECT key, 'not an integer 0-10' AS rule, CAST(NULL AS STRING) AS detail FROM j
+    WHERE kind IS NULL OR kind <> 'NULL' AND (kind NOT IN ('UBIGINT', 'BIGINT') OR TRY_CAST(h AS BIGINT) NOT BETWEEN 0 AND 10)
+    UNION ALL SELECT key, 'duplicate label', CAST(count(*) AS STRING) FROM j GROUP BY key HAVING count(*) > 1""")
+def _(t):
+    return validate.label_violations(validate.label_lines(t.view("label_lines")), kind="kind")
+
+
 @query("f10_label_progress", f"""WITH {_LABELLED}
     SELECT metric, count(*) AS total, count(human) AS completed, count(*) - count(human) AS missing
     FROM labelled GROUP BY 1""")
@@ -559,8 +611,6 @@ def _(t):
     SELECT 'skipped', count(DISTINCT d.record_id) FROM decisions d JOIN state s ON s.record_id = d.record_id
     WHERE d.decision = 'skip' AND s.was_open AND s.decision IS NULL""")
 def _(t):
-    before, after = decided(t)
-    skipped = t.view("decisions").filter(F.col("decision") == "skip")
-    return review.review_counts(before, after, skipped)
+    return review.review_counts(t.view("queue"), t.view("decisions"), ("ts", "event_id"))
 
 

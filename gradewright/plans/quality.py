@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.banding import band_of
 from ..operators import agree, calibrate, classify
 from .registry import Tables, query
 
@@ -333,7 +334,6 @@ def _(t):
 
 # ---- rater agreement ----------------------------------------------------------------
 def banded(t: Tables):
-    from ..functions.banding import band_of
     rows = t.view("ratings").withColumn("human_band", band_of(F.col("human"), F.col("metric")))
     return agree.band_scores(rows)
 
@@ -404,6 +404,26 @@ def _(t):
     return r9(agree.off_scale(t.sql(f"WITH {_ODD} SELECT * FROM odd")), "score")
 
 
+_ERRORS = """errored AS (
+    SELECT metric, human, CASE WHEN run_no = 6 OR metric = 'actionability' AND run_no > 2 THEN score + 1.3E0
+                               ELSE score END AS score, run_no
+    FROM ratings WHERE metric <> 'tone match' OR run_no = 6)"""
+
+
+@query("a12_agreement_errors", f"""
+    WITH {_ERRORS}, b AS (SELECT metric, {band_sql('human')} AS a, {rater_band_sql('score')} AS b FROM errored),
+    good AS ({agree_sql("(SELECT * FROM b WHERE a IS NOT NULL AND b IS NOT NULL)", 'metric')}),
+    total AS (SELECT metric, count(*) AS pairs FROM b GROUP BY 1)
+    SELECT t.metric, coalesce(g.n, 0) AS n, t.pairs - coalesce(g.n, 0) AS errors, g.kappa, g.spearman, g.exact,
+           g.within_one
+    FROM total t LEFT JOIN good g ON g.metric = t.metric""")
+def _(t):
+    odd = t.sql(f"WITH {_ERRORS} SELECT * FROM errored")
+    human = odd.withColumn("human_band", band_of(F.col("human"), F.col("metric")))
+    found = agree.agreement(agree.band_scores(human), ["metric"], errors=True)
+    return r9(found, "kappa", "spearman", "exact", "within_one")
+
+
 @query("j7_matched_ratings", """
     SELECT h.record_id, h.metric, h.human, j.score FROM human_labels h
     JOIN judge_scores j ON h.record_id = j.record_id AND h.metric = j.metric

@@ -387,6 +387,20 @@ def _(t):
     return agree.acceptance_verdict(accepted(t), ["set_name"])
 
 
+_SETS_OF_24 = _ACCEPT_CTE.replace("scored_variants", "scored_bands")
+
+
+@query("a24_sets_of_24", f"""WITH {_SETS_OF_24}
+    SELECT set_name, bool_and(met) AS passed, count(*) AS criteria, count(*) FILTER (WHERE NOT met) AS failed,
+           coalesce(string_agg(criterion, '|' ORDER BY criterion) FILTER (WHERE NOT met), '') AS unmet
+    FROM judged WHERE profile = 'strict-24' GROUP BY 1""")
+def _(t):
+    rounded = r9(agree.validation_measures(t.view("scored_bands"), ["set_name"]), "value")
+    criteria = [(p, c, m, o, round(v, 9)) for p, c, m, o, v in fixed.ACCEPTANCE if p == "strict-24"]
+    judged = agree.judge_acceptance(rounded, criteria, ["set_name"])
+    return agree.acceptance_verdict(judged, ["set_name"], names=True).drop("profile")
+
+
 @query("a29_regrade_relaxed", f"""WITH {_ACCEPT_CTE}
     SELECT set_name, criterion, round(value, 9) AS value, met FROM judged
     WHERE profile = 'relaxed-18'""")

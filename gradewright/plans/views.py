@@ -465,6 +465,30 @@ VIEWS: dict[str, str] = {
                CAST(CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 8 ELSE 10 END AS INT)
                  AS score_high
         FROM orders""",
+    "scored_bands": f"""
+        SELECT set_name, o_orderkey, {_id('B', 'o_orderkey')} AS blind_id,
+               {_id('P', 'CAST(floor(o_orderkey / 2) AS BIGINT)')} AS pair_id,
+               {_id('R', 'CAST(floor(o_orderkey / 4) AS BIGINT)')} AS record_id,
+               CAST(1 + 3 * (o_orderkey % 4) AS INT) AS target_score, 'commitment groundedness v2' AS metric,
+               CAST(o_orderkey % 4 AS INT) AS expected_band,
+               greatest(0, least(1000, 100 + 300 * (o_orderkey % 4)
+                 + CASE WHEN set_no % 5 = 1 THEN noise % 500 - 250 ELSE noise % 88 - 44 END)) / 1000.0E0 AS judge_score,
+               (1 + 3 * (o_orderkey % 4) - CASE WHEN noise % 23 = 0 AND o_orderkey % 4 > 0 THEN 2 ELSE 0 END) / 10.0E0
+                 AS blind_score,
+               CASE WHEN set_no % 5 = 2 AND noise % 29 = 0 THEN 'timeout' END AS error,
+               set_no % 5 <> 3 OR noise % 31 <> 0 AS has_logprobs,
+               set_no % 5 = 4 AND noise % 37 = 0 AS degraded
+        FROM (SELECT o_orderkey, CAST(floor(o_orderkey / 24) AS BIGINT) AS set_no,
+                     'set-' || CAST(CAST(floor(o_orderkey / 24) AS BIGINT) AS STRING) AS set_name,
+                     CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS noise FROM orders) b""",
+    "label_lines": """
+        SELECT item_id, '{"record_id": "' || record_id || '", "metric": "' || metric || '"'
+               || (CASE WHEN human = 2 AND run_no = 5 THEN '' ELSE ', "human": ' || CASE
+                     WHEN human = 3 AND run_no < 3 THEN 'true' WHEN human = 4 AND run_no < 3 THEN '"4"'
+                     WHEN human = 5 AND run_no = 1 THEN '5.5' WHEN human = 6 AND run_no = 1 THEN '-6'
+                     WHEN human = 7 AND run_no = 1 THEN '[7]' WHEN human = 0 THEN 'null'
+                     ELSE CAST(human AS STRING) END END) || '}' AS value
+        FROM ratings""",
     "plan_slots": f"""
         SELECT p_partkey + CASE WHEN p_partkey > 900 THEN 2 ELSE 1 END AS slot,
                'SLOT-' || CAST(p_partkey AS STRING) AS slot_id,

@@ -78,7 +78,14 @@ def _counts(spark, name):
 
 @pytest.mark.parametrize("name, scans, exchanges", [
     ("release_verdict", 16, 26), ("a20_merged_usage", 1, 2), ("s10_table_fingerprints", 1, 1),
-    ("d1_metric_plugins", 4, 6)])
+    ("d1_metric_plugins", 4, 6), ("a27_review_counts", 2, 5), ("a24_sets_of_24", 3, 6),
+    ("f13_verbatim_subset", 3, 3), ("a12_agreement_errors", 1, 2)])
 def test_plan_budget(spark, name, scans, exchanges):
     got = _counts(spark, name)
     assert got[0] <= scans and got[1] <= exchanges, got
+
+
+def test_texts_stay_out_of_the_subset_exchange(spark):
+    for line in plan_of(spark, "f13_verbatim_subset").splitlines():
+        if "Project" in line:  # what the joins take: keys, positions and the digest
+            assert "text#" not in line.split("sha2(")[0], line

@@ -265,3 +265,10 @@ def test_percentiles_of_one_narrow_cell_and_of_a_wide_range(rows):
         assert got[name].n == 500 and got[name].p95 == ordered[474]
         assert got[name].median == (ordered[249] + ordered[250]) / 2
     assert ops.stage_latency(frame.limit(0), ["k"]).count() == 0
+
+
+def test_agreement_counts_what_it_leaves_out(rows):
+    pairs = rows([("m", 0, 0), ("m", 3, 3), ("m", None, 1), ("m", 2, None), ("e", None, None)], f"k STRING, {BANDS}")
+    got = {r.k: (r.n, r.errors, r.exact) for r in agree.agreement(pairs, ["k"], errors=True).collect()}
+    assert got == {"m": (2, 2, 1.0), "e": (0, 1, None)}
+    assert [r.k for r in agree.agreement(pairs, ["k"]).collect()] == ["m"]

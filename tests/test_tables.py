@@ -318,3 +318,54 @@ def test_cell_verdicts_leave_unmeasured_metrics_null(rows):
     assert (got["slow"].verdict, got["slow"].missed, got["slow"].published) == ("DISQUALIFIED", ["schema failure rate"], None)
     assert got["bad"].breaches == len(fixed.HARD_BARS)
     assert (got["none"].verdict, got["none"].diagnostic) == ("PASS", None)
+
+
+def test_folder_fingerprints_do_not_depend_on_file_names(spark, tmp_path):
+    for root, names in (("now", "ab"), ("then", "yx")):
+        for folder in ("p=1", "p=2"):
+            (tmp_path / root / folder).mkdir(parents=True)
+            for text, name in zip(("one", folder), names):
+                (tmp_path / root / folder / name).write_text(text)
+    (tmp_path / "then" / "p=2" / "z").write_text("more")
+    now, then = (fingerprint.folder_fingerprints(spark, str(tmp_path / r)) for r in ("now", "then"))
+    assert {(r.name, r.n) for r in then.collect()} == {("p=1", 2), ("p=2", 3)}
+    got = {r.name: r.status for r in fingerprint.drift(now, then, ["name"]).collect()}
+    assert got == {"p=1": "unchanged", "p=2": "changed"}
+
+
+@pytest.mark.parametrize("raw, bad", [
+    ("7", False), ("null", False), ("0", False), ("10", False), ("11", True), ("-1", True), ("true", True),
+    ('"7"', True), ("7.5", True), ("[7]", True), ("{}", True)])
+def test_json_labels_must_be_integers(rows, raw, bad):
+    lines = rows([(f'{{"record_id": "r", "metric": "tone match", "human": {raw}}}',)], "value STRING")
+    found = validate.label_violations(validate.label_lines(lines), kind="kind").collect()
+    assert [(r.key, r.rule) for r in found] == ([("r|tone match", "not an integer 0-10")] if bad else [])
+
+
+def test_json_labels_without_score_or_json(rows):
+    lines = rows([('{"record_id": "r", "metric": "tone match"}',), ("nonsense",), (None,)], "value STRING")
+    got = validate.label_lines(lines)
+    assert [r.kind for r in got.collect()] == ["MISSING", "BROKEN", "BROKEN"]
+    rules = [r.rule for r in validate.label_violations(got, kind="kind").collect()]
+    assert rules.count("not an integer 0-10") == 3
+
+
+def test_review_counts(rows):
+    queue = rows([("a", None, "d"), ("b", None, "d"), ("c", None, "d"), ("e", None, "d"), ("f", "accept", "d")],
+                 "record_id STRING, decision STRING, draft_reply STRING")
+    log = rows([("a", "edit", " d ", 1), ("a", "accept", None, 2), ("a", "discard", None, 3), ("b", "skip", None, 1),
+                ("c", "skip", None, 1), ("c", "edit", "new", 2), ("f", "discard", None, 1), ("x", "accept", None, 1)],
+               "record_id STRING, decision STRING, reviewer_text STRING, ts INT")
+    got = {r.outcome: r.n for r in review.review_counts(queue, log).collect()}
+    assert got == {"accept": 1, "edit": 1, "pending": 2, "skipped": 1}
+    none = review.review_counts(queue.filter("false"), log).collect()
+    assert [tuple(r) for r in none] == [("skipped", 0)]
+
+
+def test_subset_compares_digests(rows):
+    schema = "id INT, text STRING, lang STRING"
+    source = rows([(1, "t", None), (2, "t", "null"), (3, None, "t"), (4, "a", "b")], schema)
+    copy = rows([(1, "t", None), (2, "t", None), (3, "t", None), (4, "a", "b")], schema)
+    subset = copy.withColumn("ord", F.col("id")).withColumn("declared", F.col("id"))
+    found = validate.subset_violations(subset, source, source, ["text", "lang"], "id").collect()
+    assert {(r.key, r.rule) for r in found} == {("2", "not verbatim"), ("3", "not verbatim")}
