@@ -1,11 +1,11 @@
 """Licence scan: blocks of normalised text against licence templates by Dice coefficient.
 
-Blocks are the lines, the paragraphs and the whole of a text. A block and a template
-are compared by the Dice coefficient of their sets of word bigrams. Two bounds prune
-without loss: a block whose number of bigrams is too far from a template's cannot
-reach the threshold, and neither can a text that has none of the template's anchor
-words (``anchors``). Everything is DataFrame expressions on the row; nothing is
-shuffled.
+Blocks are the lines, paragraphs, sentences and clauses of a text, and the whole of it, so
+a notice is also found beside other words in its line or broken over lines. A block and a
+template are compared by the Dice coefficient of their sets of word bigrams. Two bounds
+prune without loss: a block whose number of bigrams is too far from a template's cannot
+reach the threshold, and neither can one that has none of the template's anchor words
+(``anchors``). Everything is DataFrame expressions on the row; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Where a text is cut: lines, paragraphs, sentences (over line ends too), clauses of a line.
+CUTS = ["\n", "\n[ \t\r]*\n", "[.!?][ \t\r\n]+", "[.!?,;:]+[ \t\r\n]+|\n"]
 
 # Public wording of licence notices, (licence, kind, text).
 TEMPLATES: list[tuple[str, str, str]] = [
@@ -100,7 +102,7 @@ def _all(parts: list[Column]) -> Column:
 
 
 def _normal(block: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(block), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(block, "[^a-z0-9]+", " "))
 
 
 def _bigrams(words: Column) -> Column:
@@ -119,7 +121,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES,
     joined by commas.
 
     A null or empty text has no block. A block with fewer than two words has no bigram
-    and matches nothing. Repeated blocks count once. Texts of any length are scanned
+    and matches nothing. Blocks with the same words count once, so a notice that is both a
+    line and a sentence is one block. Texts of any length are scanned
     whole. Other columns pass through; columns named like an added one are replaced.
     """
     docs = docs.drop("licence", "licence_kind", "dice", "n_blocks", "licences")
@@ -136,11 +139,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES,
     # An anchor that contains another is covered by it.
     words = [w for w in words if not any(v != w and v in w for v in words)]
     lower = F.lower("text")
-    flagged = _all([F.contains(lower, F.lit(w)) for w in words])
 
-    text = F.col("text")
-    blocks = F.array_distinct(F.transform(
-        F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)), _normal))
+    def anchored(block: Column) -> Column:
+        return _all([F.contains(block, F.lit(w)) for w in words])
+
+    flagged = anchored(lower)
+    cut = F.array_distinct(F.concat(*[F.split(lower, c) for c in CUTS], F.array(lower)))
+    blocks = F.array_distinct(F.transform(F.filter(cut, anchored), _normal))
     listed = F.transform(blocks, lambda b: F.split(b, " "))
     # At most one bigram per word after the first; repeated ones only lower the number.
     listed = F.filter(listed, lambda w: F.size(w) - 1 >= least)
@@ -176,22 +181,22 @@ def oracle() -> str:
     low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     rows = ", ".join("({}, {}, [{}])".format(_quoted(n), _quoted(k), ", ".join(map(_quoted, bigrams_of(t))))
                      for n, k, t in TEMPLATES)
+    cuts = ", ".join(f"regexp_split_to_array(text, {_quoted(c)})" for c in CUTS)
     return f"""
 WITH templates AS (SELECT * FROM (VALUES {rows}) t(name, kind, grams)),
 blocks AS (
   SELECT DISTINCT doc_id, trim(regexp_replace(lower(b), '[^a-z0-9]+', ' ', 'g'), ' ') AS b FROM (
-    SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
-      regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text])) AS b FROM documents WHERE text IS NOT NULL)),
-listed AS (SELECT doc_id, string_split(b, ' ') AS w FROM blocks WHERE contains(b, ' ')),
+    SELECT doc_id, unnest(list_concat({cuts}, [text])) AS b FROM documents WHERE text IS NOT NULL)),
+listed AS (SELECT doc_id, b, string_split(b, ' ') AS w FROM blocks WHERE contains(b, ' ')),
 grams AS (
-  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM listed),
+  SELECT doc_id, b, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM listed),
 pairs AS (
-  SELECT doc_id, g, name, kind, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  SELECT doc_id, b, name, kind, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
   FROM grams JOIN templates ON len(g) BETWEEN len(grams) * {low!r}::DOUBLE - 1e-9 AND len(grams) * {high!r}::DOUBLE + 1e-9),
 hits AS (SELECT * FROM pairs WHERE dice >= {THRESHOLD}::DOUBLE),
 best AS (
   SELECT doc_id, first(name ORDER BY dice DESC, name) AS licence, first(kind ORDER BY dice DESC, name) AS licence_kind,
-    max(dice) AS dice, count(DISTINCT list_sort(g)) AS n_blocks,
+    max(dice) AS dice, count(DISTINCT b) AS n_blocks,
     string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM hits GROUP BY doc_id)
 SELECT doc_id, licence, licence_kind, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(n_blocks, 0) AS n_blocks,
   coalesce(licences, '') AS licences

@@ -1,3 +1,5 @@
+import pytest
+
 from gradewright.llm import licences as lic
 
 
@@ -5,7 +7,8 @@ def brute(text):
     import re
     if text is None:
         return None, 0.0, 0, ""
-    blocks = {" ".join(lic.words_of(b)) for b in [*text.split("\n"), *re.split("\n[ \t\r]*\n", text), text]}
+    cuts = ["\n", "\n[ \t\r]*\n", "[.!?][ \t\r\n]+", "[.!?,;:]+[ \t\r\n]+|\n"]
+    blocks = {" ".join(lic.words_of(b)) for b in [text, *(b for c in cuts for b in re.split(c, text))]}
     hits, matched = [], set()
     for b in blocks:
         g = lic.bigrams_of(b)
@@ -34,6 +37,19 @@ def test_matches_brute_force_without_pruning(rows):
         assert abs(r.dice - want[1]) < 1e-12
 
 
+@pytest.mark.parametrize("text, licence", [
+    ("Copyright 2024 Example Ltd. All rights reserved.", "Proprietary"),
+    ("Source code here. Released under the MIT License.", "MIT"),
+    ("This is free software. Released under the MIT License. See the file for more.", "MIT"),
+    ("Text by Jane, licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Notes: Licensed under the Apache\nLicense, Version 2.0. Have fun!", "Apache-2.0"),
+    ("We held all rights reserved by the town, and the licence was under review.", None)])
+def test_notices_beside_other_words(rows, text, licence):
+    long = "Some prose here, and more of it. " * 400
+    docs = rows([(1, text), (2, long + text + " " + long)], "doc_id long, text string")
+    assert [r.licence for r in lic.scan(docs).collect()] == [licence] * 2
+
+
 def test_anchors_are_needed():
     for _, _, t in lic.TEMPLATES:
         grams, words = lic.bigrams_of(t), lic.anchors(t)
