@@ -82,6 +82,29 @@ def test_retry_state_is_forgotten_and_open_calls_are_emitted(spark, tmp_path):
     assert 0 < max(rows[10:]) <= max(rows[:10]) < 20
 
 
+def test_calls_share_state_rows_and_stay_apart(spark, tables, tmp_path):
+    """State is a row a bucket, whatever the number of calls; null keys are calls too."""
+    log = responses.validate_responses(tables.view("responses")).withColumn(
+        "payload", F.coalesce("case_type", "draft_reply")).select(
+        F.expr("CASE WHEN event_id % 80 >= 8 THEN run_id END").alias("run_id"), "record_id", "stage", "attempt", "valid",
+        "provider_error", "payload", "event_id")
+    log.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    stream = split_files(spark, log, str(tmp_path / "in"), 3, "event_id")
+    before = spark.conf.get(retries.PROVIDER)
+    spark.conf.set(retries.PROVIDER, retries.ROCKSDB)
+    try:
+        done = runs.start(retries.resolve_stream(stream, timeout_ms=None, buckets=3), str(tmp_path / "out"), str(tmp_path / "cp"))
+        done.awaitTermination()
+    finally:
+        spark.conf.set(retries.PROVIDER, before)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = responses.resolve_retries(log, payload=["payload"]).filter("outcome <> 'open'")
+    assert same(got, want) and got.filter("run_id IS NULL").count() > 0
+    assert got.count() > 100
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress) <= 3
+
+
 def test_timeout_decides_from_what_was_seen():
     resolver = retries.RetryResolver(["k"], 3, 1000)
     assert resolver._decide(0b10, 0b00, 2, 0, force=False) is None
