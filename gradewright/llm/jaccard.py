@@ -8,7 +8,9 @@ shingles that many documents hold last; a pair must share a prefix shingle in al
 1. Documents with equal sets form a class (digest of the set); one stands for it.
 2. Shingle counts, from packed blocks dealt to shards, tell which shingles are common.
 3. First order: prefixes are dealt to shards as packed blocks. Short runs of a shared
-   shingle give pairs (less those that sizes and places rule out), long runs a star.
+   shingle give pairs (less those that sizes and places rule out), long runs their members.
+   Parity sketches of whole sets, about a bit a shingle, bound how much two sets share and
+   rule out most pairs before any set travels; long runs leave a spanning forest.
 4. Connected candidates form clusters, so that each set travels once to where its
    candidates are; a cluster over BLOCK sets is dealt to tiles of two blocks.
 5. There the candidates of all orders are intersected, survivors are verified on whole
@@ -36,6 +38,8 @@ ORDERS = 3
 COMMON = 10                  # a shingle in so many documents is common, and last in every order
 MOST_COMMON = 2_000_000      # common shingles told to the tasks (16 MB); above, COMMON doubles
 RUN = 32                     # longest run of documents that is spelled out as pairs
+SKETCH_BITS = 1 << 14        # bits of a sketch at most; of larger sets it rules out less
+COMPARED = 1 << 30           # words of sketches compared in a long run, above that the rest stays together
 BLOCK = 256                  # sets compared at a time
 ITEMS = 1 << 20              # shingles packed at a time
 PER_SHARD = 4_000_000        # shingles a shard task holds
@@ -183,14 +187,102 @@ def _digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles that fall on each bit; a power of two of bits.
+
+    Two sets differ in at least as many shingles as their sketches do in bits. The halves of
+    a sketch, one exclusive-or the other, are the sketch of half its size.
+    """
+    bits = min(SKETCH_BITS, max(64, 1 << (len(tokens) - 1).bit_length()))
+    odd = np.bincount((mix(tokens, 5000) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, a, b) -> np.ndarray:
+    """Whether sketches of one size leave it open that sets of sizes a and b link."""
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return sizes_fit(a, b) & linked((a + b - differ) // 2, a, b)
+
+
+def _words(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def _open_pairs(batches):
+    """Pairs (a, b, na, nb, sa, sb) that sizes and sketches leave open."""
+    for batch in batches:
+        na, nb = (batch[c].to_numpy() for c in ("na", "nb"))
+        sa, sb = (np.array(batch[c].to_pylist(), object) for c in ("sa", "sb"))
+        la, lb = (np.array([len(s) for s in side], np.int64) for side in (sa, sb))
+        keep = np.zeros(len(na), bool)
+        for p, q in set(zip(la.tolist(), lb.tolist())):
+            if max(p, q) > 2 * min(p, q):
+                continue  # sizes that fit are less than a power of two apart
+            at = np.flatnonzero((la == p) & (lb == q))
+            x, y = _words(sa[at]), _words(sb[at])
+            x, y = _folded(x) if p > q else x, _folded(y) if q > p else y
+            keep[at] = _may_link(x, y, na[at], nb[at])
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
+
+
+def _run_forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Members of a long run, joined where sizes and sketches leave a link open: spanning edges.
+
+    Every member looks once at those not reached yet, so copies cost little. Beyond
+    COMPARED words the rest of the run stays together.
+    """
+    rows = rows.drop_duplicates("b")
+    names, n = [bytes(x) for x in rows["b"]], rows["n"].to_numpy(np.int64)
+    size = np.array([len(s) for s in rows["sketch"]])
+    held = rows["sketch"].to_numpy()
+    levels = {}  # sketches of a size, and those of twice the size folded to it, by the members' places
+    for level in np.unique(size).tolist():
+        own, twice = np.flatnonzero(size == level), np.flatnonzero(size == 2 * level)
+        levels[level] = np.r_[own, twice], np.concatenate(
+            [_words(held[own]), *([_folded(_words(held[twice]))] if len(twice) else [])])
+    new, edges, work = np.ones(len(n), bool), [], 0
+    for start in range(len(n)):
+        if not new[start]:
+            continue
+        new[start] = False
+        queue = [start]
+        while queue and new.any():
+            if work > COMPARED:
+                rest = np.flatnonzero(new).tolist()
+                new[:] = False
+                edges += [(start, k) for k in (*queue, *rest) if k != start]
+                break
+            i = queue.pop()
+            level = int(size[i])
+            for at in (level, level // 2):
+                if at not in levels:
+                    continue
+                places, words = levels[at]
+                row = np.flatnonzero(places == i)[0] if at == level else None
+                mine = words[row:row + 1] if row is not None else _folded(_words([held[i]]))
+                look = np.flatnonzero(new[places])
+                work += len(look) * words.shape[1] + len(places) // 8
+                hit = places[look[_may_link(words[look], mine, n[places[look]], n[i])]]
+                new[hit] = False
+                edges += [(i, k) for k in hit.tolist()]
+                queue += hit.tolist()
+    return pd.DataFrame({"a": [names[i] for i, _ in edges], "b": [names[k] for _, k in edges]})
+
+
 def _set_rows(batches):
     for batch in batches:
-        n, digests = [], []
+        n, digests, sketches = [], [], []
         for s in shingle_sets(batch["text"].to_pylist()):
             n.append(len(s))
             digests.append(_digest(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()),
-                                          pa.array(digests, pa.binary())], ["doc_id", "n", "digest"])
+            sketches.append(sketch(s) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+                                          pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "sketch"])
 
 
 def _sets(batches):
@@ -284,7 +376,10 @@ def _prefix_blocks(order, shards: int):
 
 
 def _pairs(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Candidate edges of a shard: pairs of short runs, stars of long ones."""
+    """Candidates of a shard: pairs (a, b) of short runs, rows (run, b) of each member of long ones.
+
+    Runs of equal members have one name, here and in other shards, and come once.
+    """
     tokens, docs, places, names, sizes, base = [], [], [], [], [], 0
     for raw in blocks["block"]:
         t, d, p, names_, n = pickle.loads(raw)
@@ -309,13 +404,13 @@ def _pairs(blocks: pd.DataFrame) -> pd.DataFrame:
     t, d, p = t[once], d[once], p[once]
     first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
     length = np.diff(np.r_[first, len(t)])
-    left, right = [], []
+    left, right, runs = [], [], {}
     for size in np.unique(length[length > 1]):
         start = first[length == size]
         if size > RUN:
-            for s in start:
-                left.append(np.full(size - 1, d[s]))
-                right.append(d[s + 1:s + size])
+            for s in start:  # classes are numbered in the order of their digests
+                members = d[s:s + size]
+                runs.setdefault(xxhash.xxh3_128_digest(every[members].tobytes()), members)
             continue
         i, j = np.triu_indices(size, 1)
         a, b = (start[:, None] + i).ravel(), (start[:, None] + j).ravel()
@@ -325,11 +420,24 @@ def _pairs(blocks: pd.DataFrame) -> pd.DataFrame:
         fit = sizes_fit(n[x], n[y]) & linked(most, n[x], n[y])
         left.append(x[fit])
         right.append(y[fit])
-    if not left:
-        return pd.DataFrame({"a": [], "b": []})
-    pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
     names = [x.tobytes() for x in every]
-    return pd.DataFrame({"a": [names[i] for i in pair[:, 0]], "b": [names[i] for i in pair[:, 1]]})
+    pair = (np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left
+            else np.zeros((0, 2), np.int64))
+    rows = [(None, names[i], names[j]) for i, j in pair.tolist()]
+    rows += [(run, None, names[j]) for run, members in runs.items() for j in members.tolist()]
+    return pd.DataFrame(rows, columns=["run", "a", "b"])
+
+
+def _candidates(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that sizes and sketches leave open, connected like all open pairs of the runs."""
+    facts = classes.select("digest", "n", "sketch")
+
+    def told(rows: DataFrame, key: str, n: str, words: str) -> DataFrame:
+        return rows.join(facts.withColumnsRenamed({"digest": key, "n": n, "sketch": words}), key)
+    pairs = told(told(found.filter("run is null").select("a", "b"), "a", "na", "sa"), "b", "nb", "sb")
+    open_ = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_open_pairs, "a binary, b binary")
+    runs = told(found.filter("run is not null").select("run", "b"), "b", "n", "sketch")
+    return open_.unionByName(runs.groupBy("run").applyInPandas(_run_forest, "a binary, b binary"))
 
 
 def _token_sets(batches):
@@ -461,15 +569,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(texts.mapInArrow(_set_rows, "doc_id long, n long, digest binary"), "sets")
-    classes = written(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"),
-                                                                 F.max("n").alias("n")), "classes")
+    sets = written(texts.mapInArrow(_set_rows, "doc_id long, n long, digest binary, sketch binary"), "sets")
+    classes = written(sets.filter("n > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    sets = sets.drop("sketch")
     items = classes.agg(F.sum("n")).first()[0] or 0
     shards = max(2 * partitions(spark), -(-items // PER_SHARD))
     whole = texts.select("text")
     order = spark.sparkContext.broadcast(Order(common_shingles(whole, shards), shards))
-    edges = written(whole.mapInArrow(_prefix_blocks(order, shards), "shard long, block binary")
-                    .groupBy("shard").applyInPandas(_pairs, "a binary, b binary").distinct(), "candidates")
+    found = written(whole.mapInArrow(_prefix_blocks(order, shards), "shard long, block binary")
+                    .groupBy("shard").applyInPandas(_pairs, "run binary, a binary, b binary").distinct(), "candidates")
+    edges = written(_candidates(found, classes), "open-candidates")
     clusters = written(components(edges).withColumnsRenamed({"node": "digest", "component": "cluster"}),
                        "clusters")
     # Written, so that it is counted map-side: next to the join, Spark would deal out all rows.
@@ -497,7 +607,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
                         .applyInPandas(_link_tile(order), "a binary, b binary"), "tile-links")
         links = links.unionByName(components(found).select(F.col("component").alias("a"), F.col("node").alias("b"))
                                   .filter("a <> b"))
-    joined = (classes.join(links.select(F.col("b").alias("digest"), F.col("a").alias("root")), "digest", "left")
+    joined = (classes.select("digest", "rep").join(links.select(F.col("b").alias("digest"), F.col("a").alias("root")), "digest", "left")
               .withColumn("root", F.coalesce("root", "digest")))
     lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     facts = join_by_key(joined.select("digest", "root"), lowest, "root").select("digest", "component_id")

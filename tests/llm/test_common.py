@@ -1,6 +1,8 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradewright.llm import common
 
@@ -48,3 +50,16 @@ def test_join_by_key_equals_a_plain_join(rows, monkeypatch, how):
     facts = rows([(k, k * 2) for k in range(0, 100, 2)], "k long, f long")
     assert sorted(map(str, common.join_by_key(left, facts, "k", how).collect())) == sorted(
         map(str, left.join(facts, "k", how).select("k", "v", "f").collect()))
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = files()
+    table = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-shuffle")
+    assert table.count() == 7
+    left = {f.split("_")[1] for f in files() - before}
+    assert len(left) <= 1  # that of the count above
+    assert spark.conf.get(common.SHUFFLE_CLEANUP, None) in (None, "false", "true")

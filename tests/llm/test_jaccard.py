@@ -130,3 +130,57 @@ def test_one_id_on_two_texts(rows, monkeypatch):
     check(rows, data)
     monkeypatch.setattr(jaccard, "BLOCK", 2)
     check(rows, data)
+
+
+def test_sketches_lose_no_link():
+    r = np.random.default_rng(5)
+    for n in (1, 3, 60, 64, 65, 130, 1000, 40_000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for drop in {0, n // 10, n // 5, n // 2}:
+            for add in {0, n // 20, n // 8}:
+                b = np.unique(np.r_[a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)])
+                if not len(b):
+                    continue
+                x, y = (jaccard._words([jaccard.sketch(s)]) for s in (a, b))
+                if max(x.shape[1], y.shape[1]) > 2 * min(x.shape[1], y.shape[1]):
+                    assert not jaccard.sizes_fit(len(a), len(b))
+                    continue
+                x, y = (jaccard._folded(s) if s.shape[1] > min(x.shape[1], y.shape[1]) else s for s in (x, y))
+                assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+                if jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                    assert jaccard._may_link(x, y, np.array([len(a)]), np.array([len(b)])).all()
+
+
+@pytest.mark.parametrize("compared", [1 << 30, -1])
+def test_long_runs_stay_connected_where_sets_link(monkeypatch, compared):
+    monkeypatch.setattr(jaccard, "COMPARED", compared)
+    sets = [s for s in jaccard.shingle_sets([t for _, t in corpus(11, 120)]) if len(s)]
+    sets = list({jaccard._digest(s): s for s in sets}.values())
+    rows = jaccard.pd.DataFrame({"b": [jaccard._digest(s) for s in sets], "n": [len(s) for s in sets],
+                                 "sketch": [jaccard.sketch(s) for s in sets]})
+    edges = jaccard._run_forest(rows)
+    assert len(edges) < len(sets)
+    root = {x: x for x in rows["b"]}
+    for a, b in zip(edges["a"], edges["b"]):
+        old, new = root[b], root[a]
+        root = {k: new if v == old else v for k, v in root.items()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                assert root[rows["b"][i]] == root[rows["b"][j]]
+    assert (len(set(root.values())) > 1) == (compared > 0)
+
+
+def test_unlike_sets_with_a_common_passage_do_not_travel(rows, monkeypatch):
+    r, kept = random.Random(9), {}
+    passage = [f"p{i}" for i in range(25)]
+    data = [(i, " ".join(passage + [f"u{r.randrange(10 ** 9)}" for _ in range(12 + i % 5)])) for i in range(80)]
+    data.append((100, data[0][1] + " tail"))
+    write = jaccard.written
+
+    def noted(frame, purpose):
+        out = kept[purpose] = write(frame, purpose)
+        return out
+    monkeypatch.setattr(jaccard, "written", noted)
+    check(rows, data)
+    assert kept["token-sets"].count() == 2
