@@ -105,6 +105,23 @@ def test_calls_share_state_rows_and_stay_apart(spark, tables, tmp_path):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress) <= 3
 
 
+def test_attempts_without_a_time_count_and_end_nothing(spark, tmp_path):
+    data = [("r", "a", "triage", 1, True, "p", None), ("r", "a", "triage", 1, True, "p", 10), ("r", "b", "triage", 1, False, None, 20),
+            ("r", "b", "triage", 2, True, "q", None), ("r", "c", "triage", 1, False, None, 30)]
+    (spark.createDataFrame(data, "run_id STRING, record_id STRING, stage STRING, attempt INT, valid BOOLEAN, payload STRING, s LONG")
+     .select("*", F.lit(None).cast("string").alias("provider_error"), F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at")).drop("s")
+     .coalesce(1).write.parquet(str(tmp_path / "in")))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    before = spark.conf.get(retries.PROVIDER)
+    spark.conf.set(retries.PROVIDER, retries.ROCKSDB)
+    try:
+        got = run_append(retries.resolve_stream(stream, timeout_ms=1000, buckets=1), tmp_path, spark)
+    finally:
+        spark.conf.set(retries.PROVIDER, before)
+    assert {r.record_id: (r.outcome, r.attempt, r.failed_attempts, r.payload) for r in got.collect()} == {
+        "a": ("ok", 1, 0, "p"), "b": ("ok", 2, 1, "q")}
+
+
 def test_timeout_decides_from_what_was_seen():
     resolver = retries.RetryResolver(["k"], 3, 1000)
     assert resolver._decide(0b10, 0b00, 2, 0, force=False) is None
