@@ -125,6 +125,16 @@ def _features(batches):
                               ("at", pa.binary()), ("share", pa.binary())]))
 
 
+def _forward(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w in doubles, without a copy of all of x as doubles."""
+    return np.concatenate([x[a:a + 512].astype(np.float64) @ w for a in range(0, len(x), 512)])
+
+
+def _backward(err: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """err @ x in doubles, likewise."""
+    return np.concatenate([err @ x[:, a:a + 2048].astype(np.float64) for a in range(0, x.shape[1], 2048)])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps: int
               ) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by full-batch Adam."""
@@ -132,8 +142,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
-        err = (sigmoid(x @ w + b) - y) * weight
-        g = np.append(err @ x + l2 * w, err.sum())
+        err = (sigmoid(_forward(x, w) + b) - y) * weight
+        g = np.append(_backward(err, x) + l2 * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -158,16 +168,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["share"], "<f4")
     y = np.array([r["label"] for r in rows], np.float64)
+    ids = [r["doc_id"] for r in rows]
+    del rows
     scale = (1 / np.sqrt(x.mean(axis=0) + 1e-4)).astype(np.float32)
     x *= scale
     # Fold 1 calibrates, the rest fit; a small sample does both.
-    calib = np.array([crc_fold(r["doc_id"]) == 1 for r in rows])
+    calib = np.array([crc_fold(i) == 1 for i in ids])
     if min(np.bincount(y[calib].astype(int), minlength=2)) < 10:
-        calib = np.ones(len(rows), bool)
+        calib = np.ones(len(ids), bool)
     fit = ~calib if not calib.all() else calib
     half = np.where(y == 1, 0.5 / max(1, y[fit].sum()), 0.5 / max(1, (1 - y[fit]).sum()))
-    w, b = _logistic(x[fit], y[fit], half[fit], 1e-4, 200)
-    raw = x[calib] @ w + b
+    own = x[calib]
+    for k, i in enumerate(np.flatnonzero(fit)):  # rows to fit move to the front: no copy of them
+        x[k] = x[i]
+    w, b = _logistic(x[:fit.sum()], y[fit], half[fit], 1e-4, 200)
+    raw = _forward(own, w) + b
     # Classes were sampled evenly; calibration weighs them as they occur.
     counts = np.bincount(y[calib].astype(int), minlength=2)
     prior = np.array([sizes[0], sizes[1]]) / counts

@@ -171,3 +171,17 @@ def test_toxicity_scores_against_brute_force():
         finally:
             words.SEGMENT = kept
         assert max(abs(a - b) for a, b in zip(got, want)) < 1e-12
+
+
+def test_fitting_needs_no_copy_of_the_rows_as_doubles():
+    import tracemalloc
+    r = np.random.default_rng(2)
+    x = r.random((1300, 5000), np.float32)
+    y, weight = (r.random(1300) < .5).astype(float), np.full(1300, 1 / 1300)
+    assert np.allclose(qr._forward(x, y[:1].repeat(5000)), x.astype(float) @ y[:1].repeat(5000))
+    assert np.allclose(qr._backward(y, x), y @ x.astype(float))
+    tracemalloc.start()
+    qr._logistic(x, y, weight, 1e-4, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * x.nbytes  # a block as doubles at a time; all rows are twice the bytes
