@@ -607,10 +607,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
                         .applyInPandas(_link_tile(order), "a binary, b binary"), "tile-links")
         links = links.unionByName(components(found).select(F.col("component").alias("a"), F.col("node").alias("b"))
                                   .filter("a <> b"))
-    joined = (classes.select("digest", "rep").join(links.select(F.col("b").alias("digest"), F.col("a").alias("root")), "digest", "left")
-              .withColumn("root", F.coalesce("root", "digest")))
-    lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    facts = join_by_key(joined.select("digest", "root"), lowest, "root").select("digest", "component_id")
+    # Each is used several times: written, or the last plan holds all of it that often.
+    joined = written(classes.select("digest", "rep")
+                     .join(links.select(F.col("b").alias("digest"), F.col("a").alias("root")), "digest", "left")
+                     .withColumn("root", F.coalesce("root", "digest")), "joined")
+    lowest = written(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
+    facts = written(join_by_key(joined.select("digest", "root"), lowest, "root").select("digest", "component_id"),
+                    "facts")
     marked = sets.withColumn("digest", F.coalesce("digest", F.unhex(F.concat(F.lit("00"), F.hex("doc_id")))))
     return (join_by_key(marked, facts, "digest", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),

@@ -490,8 +490,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _verified(tokens).select(F.col("b").alias("digest"), F.col("a").alias("root"))
     rooted = written(classes.select("digest", "rep").join(links, "digest", "left")
                      .withColumn("root", F.coalesce("root", "digest")), "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    facts = join_by_key(rooted.select("digest", "root"), lowest, "root").select("digest", "component_id")
+    # Both are used twice: written, or the last plan holds all of them that often.
+    lowest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
+    facts = written(join_by_key(rooted.select("digest", "root"), lowest, "root").select("digest", "component_id"),
+                    "facts")
     # Texts without a set get a name of their own, so that they are no hot key.
     named = sets.select("doc_id", "n", F.coalesce("digest", F.unhex(F.concat(F.lit("00"), F.hex("doc_id")))).alias("digest"))
     return (join_by_key(named, facts, "digest", "left")

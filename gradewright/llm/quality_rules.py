@@ -150,45 +150,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps
     return w, b
 
 
+def _fitted(sizes: dict[int, int]):
+    """Model of all rows of a task, as one row; none if they are of one class."""
+    def fit(batches):
+        rows = [r for b in batches for r in zip(*(b[c].to_pylist() for c in ("doc_id", "at", "share", "label")))]
+        rows.sort()
+        y = np.array([r[3] for r in rows], np.float64)
+        if len(set(y.tolist())) < 2:
+            return
+        x = np.zeros((len(rows), KINDS * SIZE), np.float32)
+        for i, (_, at, share, _) in enumerate(rows):
+            x[i, np.frombuffer(at, "<u2")] = np.frombuffer(share, "<f4")
+        ids = [r[0] for r in rows]
+        del rows
+        scale = (1 / np.sqrt(x.mean(axis=0) + 1e-4)).astype(np.float32)
+        x *= scale
+        # Fold 1 calibrates, the rest fit; a small sample does both.
+        calib = np.array([crc_fold(i) == 1 for i in ids])
+        if min(np.bincount(y[calib].astype(int), minlength=2)) < 10:
+            calib = np.ones(len(ids), bool)
+        use = ~calib if not calib.all() else calib
+        half = np.where(y == 1, 0.5 / max(1, y[use].sum()), 0.5 / max(1, (1 - y[use]).sum()))
+        own = x[calib]
+        for k, i in enumerate(np.flatnonzero(use)):  # rows to fit move to the front: no copy of them
+            x[k] = x[i]
+        w, b = _logistic(x[:use.sum()], y[use], half[use], 1e-4, 200)
+        raw = _forward(own, w) + b
+        # Classes were sampled evenly; calibration weighs them as they occur.
+        counts = np.bincount(y[calib].astype(int), minlength=2)
+        prior = np.array([sizes[0], sizes[1]]) / counts
+        s, o = _logistic((raw / 4)[:, None], y[calib], prior[y[calib].astype(int)], 1e-3, 400)
+        yield pa.RecordBatch.from_pydict({
+            "weights": [(w * scale).astype("<f4").tobytes()], "bias": [float(b)],
+            "slope": [max(float(s[0]) / 4, 1e-3)], "shift": [float(o)]})
+    return fit
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit to at most ``per_class`` labelled rows of each class (fold 0 is never used).
 
-    With rows of one class or none, the model returns that class's share, or 1.
+    One task fits, and the driver gets the model alone. With rows of one class or none,
+    the model returns that class's share, or 1.
     """
     text_batches(docs.sparkSession)
     sample, sizes = labelled_sample(labels, "quality", per_class)
-    rows = (sample_texts(docs, sample)
-            .mapInArrow(_features, "doc_id long, label int, at binary, share binary").collect())
-    rows.sort(key=lambda r: (r["doc_id"], r["at"]))
-    if len({r["label"] for r in rows}) < 2:
+    model = (sample_texts(docs, sample)
+             .mapInArrow(_features, "doc_id long, label int, at binary, share binary").repartition(1)
+             .mapInArrow(_fitted(sizes), "weights binary, bias double, slope double, shift double").collect())
+    if not model:
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 1)
         return Model(np.zeros((KINDS, SIZE), np.float32), 0.0, 1.0, float(np.log(share / max(1e-9, 1 - share)))
                      if share < 1 else 60.0)
-    x = np.zeros((len(rows), KINDS * SIZE), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["share"], "<f4")
-    y = np.array([r["label"] for r in rows], np.float64)
-    ids = [r["doc_id"] for r in rows]
-    del rows
-    scale = (1 / np.sqrt(x.mean(axis=0) + 1e-4)).astype(np.float32)
-    x *= scale
-    # Fold 1 calibrates, the rest fit; a small sample does both.
-    calib = np.array([crc_fold(i) == 1 for i in ids])
-    if min(np.bincount(y[calib].astype(int), minlength=2)) < 10:
-        calib = np.ones(len(ids), bool)
-    fit = ~calib if not calib.all() else calib
-    half = np.where(y == 1, 0.5 / max(1, y[fit].sum()), 0.5 / max(1, (1 - y[fit]).sum()))
-    own = x[calib]
-    for k, i in enumerate(np.flatnonzero(fit)):  # rows to fit move to the front: no copy of them
-        x[k] = x[i]
-    w, b = _logistic(x[:fit.sum()], y[fit], half[fit], 1e-4, 200)
-    raw = _forward(own, w) + b
-    # Classes were sampled evenly; calibration weighs them as they occur.
-    counts = np.bincount(y[calib].astype(int), minlength=2)
-    prior = np.array([sizes[0], sizes[1]]) / counts
-    s, o = _logistic((raw / 4)[:, None], y[calib], prior[y[calib].astype(int)], 1e-3, 400)
-    slope = max(float(s[0]) / 4, 1e-3)
-    return Model((w * scale).astype(np.float32).reshape(KINDS, SIZE), float(b), slope, float(o))
+    m = model[0]
+    return Model(np.frombuffer(m["weights"], "<f4").reshape(KINDS, SIZE), m["bias"], m["slope"], m["shift"])
 
 
 def _score(model: Model):

@@ -184,3 +184,11 @@ def test_unlike_sets_with_a_common_passage_do_not_travel(rows, monkeypatch):
     monkeypatch.setattr(jaccard, "written", noted)
     check(rows, data)
     assert kept["token-sets"].count() == 2
+
+
+def test_the_last_plan_reads_each_written_step_a_few_times(rows, monkeypatch):
+    """Unwritten steps that are used twice each multiply: the driver then plans all of them many times over."""
+    monkeypatch.setattr(jaccard, "RUN", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    plan = jaccard.similar_components(rows(corpus(2, 150, base=2, edits=6), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 8

@@ -163,3 +163,8 @@ def test_descriptions_do_not_depend_on_grouping(monkeypatch):
     for held in (1, 500, 1 << 15):
         monkeypatch.setattr(minhash, "TOGETHER", held)
         assert list(minhash.described(texts)) == alone
+
+
+def test_the_last_plan_reads_each_written_step_a_few_times(rows):
+    plan = minhash.near_duplicates(rows(corpus(3, 160, bases=2), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 8

@@ -185,3 +185,18 @@ def test_fitting_needs_no_copy_of_the_rows_as_doubles():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1.6 * x.nbytes  # a block as doubles at a time; all rows are twice the bytes
+
+
+def test_the_driver_gets_the_model_not_the_rows(rows):
+    import tracemalloc
+    r = np.random.default_rng(3)
+    docs = rows([(i, " ".join(f"{'good' if i % 2 else 'bad'}{k}" for k in r.integers(0, 50, 60))) for i in range(400)],
+                "doc_id long, text string")
+    labels = rows([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    tracemalloc.start()
+    model = qr.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # some 320 rows to fit to take 10 MB
+    cache = qr._Words()
+    assert model.probability("good1 good2 good3", cache) > .8 > .2 > model.probability("bad1 bad2 bad3", cache)
